@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aislewise.functions.measures import ratio
+
 ONLY_FIRST, ONLY_SECOND = "only_first", "only_second"
 
 
@@ -88,7 +90,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         value = F.col(c)
         aggregates += [
             F.sum(value).cast("double").alias(f"{c}|sum"),
-            F.avg(value.cast("double")).alias(f"{c}|avg"),
+            ratio(F.sum(value), F.count(value)).alias(f"{c}|avg"),
             F.min(value).cast("double").alias(f"{c}|min"),
             F.max(value).cast("double").alias(f"{c}|max"),
             F.stddev(value.cast("double")).alias(f"{c}|stddev"),

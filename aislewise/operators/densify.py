@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aislewise.functions.measures import metric
 from aislewise.functions.periods import FACTOR_TOTAL, month_factor
@@ -51,6 +52,12 @@ def fill_months(
     return opened.select(F.col("__month").alias(month), *keys, *zero_filled)
 
 
+def _subtractable(total: Column, series: DataFrame, name: str) -> Column:
+    """One digit below the widest decimal, so that a difference of two totals keeps its scale."""
+    kind = series.schema[name].dataType
+    return total.cast(f"decimal(37,{kind.scale})") if isinstance(kind, T.DecimalType) else total
+
+
 def trailing_sums(
     series: DataFrame,
     keys: Sequence[str],
@@ -68,7 +75,7 @@ def trailing_sums(
     so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
     running = {}
     for name in metrics:
-        running[f"__sum_{name}"] = F.sum(name).over(so_far)
+        running[f"__sum_{name}"] = _subtractable(F.sum(name).over(so_far), series, name)
         running[f"__count_{name}"] = F.count(name).over(so_far)
     for span in spans:
         running[f"__factor_{span}"] = F.sum(month_factor(span, F.col(month))).over(so_far)

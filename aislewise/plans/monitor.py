@@ -89,7 +89,8 @@ def run_attempts(log: DataFrame, month: dt.date) -> DataFrame:
 
 def runs_per_hour(log: DataFrame, start: dt.datetime) -> DataFrame:
     """Runs and failed runs per hour since ``start``."""
-    hour = F.floor(F.timestampdiff("SECOND", F.lit(start).cast("timestamp_ntz"), F.col("end_timestamp").cast("timestamp_ntz")) / 3600)
+    seconds = F.timestamp_diff("SECOND", F.lit(start).cast("timestamp_ntz"), F.col("end_timestamp").cast("timestamp_ntz"))
+    hour = F.floor(seconds / 3600)
     return (
         log.withColumn("hour", hour.cast("bigint"))
         .groupBy("hour")

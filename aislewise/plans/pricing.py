@@ -121,7 +121,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Ma
     return counted.groupBy(*keys).agg(*at) if keys else counted.agg(*at)
 
 
-def _thin_sample_flags(banded: DataFrame, quarters: DataFrame) -> DataFrame:
+def _thin_sample_flags(banded: DataFrame, quarters: DataFrame, min_avg: float, min_median: float) -> DataFrame:
     """One row: how many bands have a thin average and how many a thin median rolling sample.
 
     The sample is rolled per department, class, merchant, channel and band, after summing sub-classes, so
@@ -134,8 +134,8 @@ def _thin_sample_flags(banded: DataFrame, quarters: DataFrame) -> DataFrame:
     averages = rolled.groupBy("price_band").agg(ratio(F.sum(size), F.count(size)).alias("avg_size"))
     medians = exact_percentiles(rolled, ["price_band"], size, {"median_size": 0.5})
     return averages.join(medians, "price_band").agg(
-        F.count_if(F.col("avg_size") < MIN_AVG_SAMPLE).alias("sample_size_flag_avg"),
-        F.count_if(F.col("median_size") < MIN_MEDIAN_SAMPLE).alias("sample_size_flag_median"),
+        F.count_if(F.col("avg_size") < min_avg).alias("sample_size_flag_avg"),
+        F.count_if(F.col("median_size") < min_median).alias("sample_size_flag_median"),
     )
 
 
@@ -175,6 +175,8 @@ def band_share_merchant(
     last_quarter: str | None = None,
     top: int = 10,
     min_sample: int = MIN_DEPARTMENT_SAMPLE,
+    min_avg: float = MIN_AVG_SAMPLE,
+    min_median: float = MIN_MEDIAN_SAMPLE,
 ) -> DataFrame:
     """Rolling four-quarter share of each merchant inside one price band, merchants beyond the top pooled."""
     banded = _banded(charts, start, step, choices, min_sample).persist()
@@ -196,7 +198,7 @@ def band_share_merchant(
         .join(totals, "quarter")
         .select("quarter", "final_name", ratio(F.col("segment_gmv"), F.col("total_gmv")).alias("market_share"))
     )
-    return _shown(shares, _thin_sample_flags(banded, quarters), start, step)
+    return _shown(shares, _thin_sample_flags(banded, quarters, min_avg, min_median), start, step)
 
 
 def band_share(
@@ -209,6 +211,8 @@ def band_share(
     first_quarter: str | None = None,
     last_quarter: str | None = None,
     min_sample: int = MIN_DEPARTMENT_SAMPLE,
+    min_avg: float = MIN_AVG_SAMPLE,
+    min_median: float = MIN_MEDIAN_SAMPLE,
 ) -> DataFrame:
     """Rolling four-quarter share of each price band."""
     banded = _banded(charts, start, step, choices, min_sample).persist()
@@ -222,7 +226,7 @@ def band_share(
         .join(totals, "quarter")
         .select("quarter", "price_band", ratio(F.col("segment_gmv"), F.col("total_gmv")).alias("market_share"))
     )
-    return _shown(shares, _thin_sample_flags(banded, quarters), start, step)
+    return _shown(shares, _thin_sample_flags(banded, quarters, min_avg, min_median), start, step)
 
 
 def band_export(
@@ -234,6 +238,8 @@ def band_export(
     first_quarter: str | None = None,
     last_quarter: str | None = None,
     min_sample: int = MIN_DEPARTMENT_SAMPLE,
+    min_avg: float = MIN_AVG_SAMPLE,
+    min_median: float = MIN_MEDIAN_SAMPLE,
 ) -> DataFrame:
     """Rolling gmv per quarter, channel, category, retailer and band, as exported from the page."""
     banded = _banded(charts, start, step, choices, min_sample).persist()
@@ -245,7 +251,7 @@ def band_export(
             F.col("rolling_merchant_gmv").alias("rolling_4q_merchant_gmv"),
         )
     )
-    shown = _shown(rows, _thin_sample_flags(banded, quarters), start, step)
+    shown = _shown(rows, _thin_sample_flags(banded, quarters, min_avg, min_median), start, step)
     return shown.drop("sample_size_flag_avg", "sample_size_flag_median")
 
 

@@ -1,5 +1,5 @@
 """Registered queries by area, each with the SQL that checks it."""
 
-from aislewise.registry import products, reports, share
+from aislewise.registry import basics, checks, people, products, reports, share
 
-MODULES = (share, products, reports)
+MODULES = (basics, share, products, reports, people, checks)

@@ -144,12 +144,9 @@ ORACLE = {
     "sku_analysis": sql.with_(*_BASE) + "\nUNION ALL\n".join(f"({text})" for text in _INTERVALS.values()),
     "sku_time_series": _SERIES,
     "sku_attributes": sql.with_(*_BASE) + f"""
-SELECT brand, '{{' || array_to_string(list_filter([
-         CASE WHEN finish IS NOT NULL THEN '"finish":"' || finish || '"' END,
-         CASE WHEN region IS NOT NULL THEN '"region":"' || region || '"' END], x -> x IS NOT NULL), ',') || '}}' AS attributes_json,
-       'OBJECT<' || array_to_string(list_filter([
-         CASE WHEN finish IS NOT NULL THEN 'finish: STRING' END,
-         CASE WHEN region IS NOT NULL THEN 'region: STRING' END], x -> x IS NOT NULL), ', ') || '>' AS kind,
+SELECT brand, '{{' || concat_ws(',', '"finish":"' || finish || '"', '"region":"' || region || '"') || '}}' AS attributes_json,
+       'OBJECT<' || concat_ws(', ', CASE WHEN finish IS NOT NULL THEN 'finish: STRING' END,
+                                CASE WHEN region IS NOT NULL THEN 'region: STRING' END) || '>' AS kind,
        count(*) AS product_months, count(finish) AS with_finish
 FROM (SELECT {_KEYS}, month, min(finish) AS finish, min(region) AS region FROM described GROUP BY ALL)
 GROUP BY 1, 2, 3""",
