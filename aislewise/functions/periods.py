@@ -24,7 +24,7 @@ _GRAIN = {"Annually": "year", "Year-to-Date": "year", "Quarterly": "quarter", "W
 
 def floor_to(grain: str, day: Column) -> Column:
     """First day of the year, quarter, month or week that holds ``day``."""
-    return F.date_trunc(grain, day).cast("date")
+    return F.trunc(day, grain)
 
 
 def end_of(grain: str, day: Column) -> Column:

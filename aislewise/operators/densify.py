@@ -64,37 +64,33 @@ def trailing_sums(
     month: str,
     metrics: Sequence[str],
     spans: Sequence[int] = (12, 6, 3),
+    may_be_null: Sequence[str] = (),
 ) -> DataFrame:
     """Sums over the last 12, 6 and 3 rows, kept only where the rows are consecutive months.
 
     A trailing sum is the running total minus the running total ``span`` rows earlier. Running totals
     cost one addition per row, where a sliding frame adds ``span`` rows again for each row. All of them
-    share one window definition, so the data is shuffled and sorted once.
+    share one window definition, so the data is shuffled and sorted once. A metric listed in
+    ``may_be_null`` stays NULL over a window without any value.
     """
     by_key = Window.partitionBy(*keys).orderBy(month)
     so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
-    running = {}
-    for name in metrics:
-        running[f"__sum_{name}"] = _subtractable(F.sum(name).over(so_far), series, name)
-        running[f"__count_{name}"] = F.count(name).over(so_far)
-    for span in spans:
-        running[f"__factor_{span}"] = F.sum(month_factor(span, F.col(month))).over(so_far)
+    running = {f"__sum_{m}": _subtractable(F.sum(m).over(so_far), series, m) for m in metrics}
+    running |= {f"__count_{m}": F.count(m).over(so_far) for m in may_be_null}
     totals = series.withColumns(running)
-
-    def since(column: str, span: int) -> Column:
-        return F.coalesce(F.lag(column, span).over(by_key), F.lit(0).cast(totals.schema[column].dataType))
-
-    earlier = {f"{c}_{span}": since(c, span) for span in spans for c in running if not c.startswith("__factor")}
-    earlier |= {f"__factor_{span}_before": since(f"__factor_{span}", span) for span in spans}
+    earlier = {}
+    for span in spans:
+        for c in running:
+            nothing = F.lit(0).cast(totals.schema[c].dataType)
+            earlier[f"{c}_{span}"] = F.coalesce(F.lag(c, span).over(by_key), nothing)
+        earlier[f"__first_{span}"] = F.lag(month, span - 1).over(by_key)
     both = totals.withColumns(earlier)
     trailing = {}
     for span in spans:
-        full = F.col(f"__factor_{span}") - F.col(f"__factor_{span}_before") == FACTOR_TOTAL[span]
-        for name in metrics:
-            some = F.col(f"__count_{name}") > F.col(f"__count_{name}_{span}")
-            trailing[f"{name}_trailing_{span}m"] = F.when(
-                full & some, F.col(f"__sum_{name}") - F.col(f"__sum_{name}_{span}")
-            )
+        full = F.col(f"__first_{span}") == F.add_months(month, 1 - span)
+        for m in metrics:
+            shown = full & (F.col(f"__count_{m}") > F.col(f"__count_{m}_{span}")) if m in may_be_null else full
+            trailing[f"{m}_trailing_{span}m"] = F.when(shown, F.col(f"__sum_{m}") - F.col(f"__sum_{m}_{span}"))
     return both.withColumns(trailing).drop(*running, *earlier)
 
 

@@ -39,13 +39,14 @@ def scalar(df: DataFrame, value: Column) -> Column:
 def with_group_totals(df: DataFrame, value: str, totals: Mapping[str, Sequence[str]]) -> DataFrame:
     """Attach the sum of ``value`` over each column set in ``totals``.
 
-    An aggregate joined back, not a window: partial sums shrink a hot group before it is shuffled, and
-    the join may broadcast the small side or split the hot key, while a window would put the whole
-    group into one task.
+    Aggregates joined back, not windows: partial sums shrink a hot group before it is shuffled, and the
+    join may broadcast the small side or split the hot key, while a window would put the whole group into
+    one task. The table is summed once, to all the columns involved, and every total is taken from that.
     """
+    finest = list(dict.fromkeys(c for keys in totals.values() for c in keys))
+    sums = df.groupBy(*finest).agg(F.sum(value).alias("__value"))
     for name, keys in totals.items():
-        sums = df.groupBy(*keys).agg(F.sum(value).alias(name))
-        df = null_safe_join(df, sums, list(keys))
+        df = null_safe_join(df, sums.groupBy(*keys).agg(F.sum("__value").alias(name)), list(keys))
     return df
 
 
@@ -114,6 +115,10 @@ def distinct_list(df: DataFrame, column: str, alias: str, separator: str = ", ")
     return df.agg(F.array_join(F.array_sort(F.collect_set(column)), separator).alias(alias))
 
 
+# Most periods a report may have; quarters or months of a panel stay far below it.
+MAX_PERIODS = 4096
+
+
 def ordered_positions(df: DataFrame, column: str, alias: str) -> DataFrame:
     """Number the distinct values of a period column from 1.
 
@@ -140,10 +145,12 @@ def rolling_periods(
 
     The reporting grid (every key in every period) is never built. A fact row is repeated under the
     periods whose window covers it, at most ``span`` of them, and summed there; grid cells whose window
-    holds no fact would be NULL and are dropped by the reports anyway.
+    holds no fact would be NULL and are dropped by the reports anyway. The period list is broadcast; a list
+    too long to be one of periods stops the query.
     """
     numbered = ordered_positions(periods, period, "__at")
-    last = scalar(numbered, F.max("__at"))
+    newest = F.max("__at")
+    last = scalar(numbered, F.when(newest > MAX_PERIODS, F.raise_error(F.lit("too many periods"))).otherwise(newest))
     placed = facts.join(F.broadcast(numbered), period)
     spread = placed.withColumn(
         "__at", F.explode(F.sequence(F.col("__at"), F.least(F.col("__at") + span - 1, last)))

@@ -114,33 +114,26 @@ def blank_check(df: DataFrame, columns: Sequence[str] = NON_EMPTY) -> DataFrame:
 
 
 def duplicate_check(df: DataFrame, identifiers: Sequence[str] = IDENTIFIERS, tolerance: float = 0.01) -> DataFrame:
-    """Repeated whole rows and repeated identifiers.
+    """Repeated whole rows and repeated identifiers, from one scan.
 
     Any repeat of ``order_id`` is a warning, other identifiers are allowed ``tolerance``. Whole rows are
-    compared by a hash of two independent functions, so wide rows are not shuffled.
+    compared by two independent hashes and their pattern of missing values, so wide rows are not shuffled.
     """
-    comparable = [
+    values = [
         F.to_json(f.name) if isinstance(f.dataType, T.VariantType) else F.col(f.name) for f in df.schema.fields
     ]
-    row = F.struct(F.xxhash64(*comparable), F.hash(*comparable)).alias("__row")
+    missing = F.concat(*[v.isNull().cast("int").cast("string") for v in values])
+    row = F.struct(F.xxhash64(*values, missing), F.hash(*values, missing))
     ids = _present(df, identifiers)
-    counted = df.select(row, *ids)
-
-    def measure(name: str, value: Column) -> DataFrame:
-        seen = counted.filter(value.isNotNull()).groupBy(value.alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
-        return seen.agg(
-            F.lit(name).alias("column"),
-            F.coalesce(F.sum("__n"), F.lit(0).cast("bigint")).alias("non_null_count"),
-            F.count(F.lit(1)).alias("distinct_count"),
-        )
-
-    result = measure("complete_row", F.col("__row"))
-    for c in ids:
-        result = result.unionByName(measure(c, F.col(c)))
+    found = _sideways(
+        df.select(row.alias("complete_row"), *ids),
+        ["complete_row", *ids],
+        {"non_null_count": F.count, "distinct_count": F.count_distinct},
+    )
     repeats = F.col("non_null_count") - F.col("distinct_count")
     strict = F.col("column").isin("complete_row", "order_id")
     bad = (strict & (repeats > 0)) | (repeats > F.col("non_null_count") * tolerance)
-    return result.withColumns(
+    return found.withColumns(
         {
             "duplicate_count": repeats,
             "duplicate_percentage": F.coalesce(F.try_divide(repeats * 100.0, F.col("non_null_count")), F.lit(0.0)),

@@ -117,7 +117,7 @@ def market_share(
         implied_units(F.col("gmv"), F.col("item_subtotal_observed"), F.col("item_quantity_observed"))
     )
     dense = dense.withColumn("units", units)
-    trailing = trailing_sums(dense, KEYS, "date", ("gmv", "units", "sample_size"))
+    trailing = trailing_sums(dense, KEYS, "date", ("gmv", "units", "sample_size"), may_be_null=("units",))
     date = F.col("date")
     if calendar == "454":
         months = retail_months(items.sparkSession)

@@ -28,7 +28,7 @@ def class_rollup(
     own = F.struct(F.col("class").alias("class"), F.col("class").alias("old_class"))
     rolled = [F.when(m.isNotNull(), F.struct(m.alias("class"), m.alias("old_class"))) for m in memberships]
     kept = items.filter(F.col("department").isNotNull())
-    spread = kept.withColumn("__class", F.explode(F.array_compact(F.array(*rolled, own))))
+    spread = kept.withColumn("__class", F.explode(F.array(*rolled, own))).filter(F.col("__class").isNotNull())
     return spread.withColumns({"class": F.col("__class.class"), "old_class": F.col("__class.old_class")}).drop("__class")
 
 

@@ -26,11 +26,6 @@ ITEM_COLUMNS = (
 INTERVALS = ("Last Year", "Year-To-Date", "Last Quarter", "Last Month", "Trailing 12 Months")
 
 
-def _packed(attributes: Sequence[str]) -> list[Column]:
-    """Attribute columns reduced to one value per group; variants cannot be grouped, their parts can."""
-    return [F.min(a).alias(f"__attr_{a}") for a in attributes]
-
-
 def _unpacked(df: DataFrame, attributes: Sequence[str]) -> DataFrame:
     names = [f"__attr_{a}" for a in attributes]
     if not attributes:
@@ -39,13 +34,29 @@ def _unpacked(df: DataFrame, attributes: Sequence[str]) -> DataFrame:
     return df.withColumn("product_attributes", F.parse_json(F.to_json(packed))).drop(*names)
 
 
+SUMS = ("total_spend", "total_units", "gmv", "observations")
+
+
+def _texts(items: DataFrame, attributes: Sequence[str]) -> dict[str, str]:
+    """Text columns that are reduced to their smallest value: output name and item column.
+
+    Attributes travel as parts, since a variant can be neither grouped nor compared.
+    """
+    present = {c: c for c in OPTIONAL if c in items.columns}
+    return present | {f"__attr_{a}": a for a in attributes}
+
+
 def _monthly(items: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """The one aggregate behind all product marts: metrics per product key and month."""
-    items = with_optional(items, OPTIONAL).filter(F.col("web_description").isNotNull())
-    keyed = items.drop("merchant").withColumnRenamed("merchant_clean", "merchant")
-    return keyed.groupBy(*KEYS, "month").agg(
-        *_packed(attributes),
-        *[F.min(c).alias(c) for c in OPTIONAL],
+    """The one aggregate behind all product marts: metrics per product key and month.
+
+    The smallest text of a group needs a sort-based aggregate. Items are therefore first summed with the
+    texts as extra keys, which hashing can do and which shrinks a hot product, and only the sums are
+    sorted. The result is partitioned by product key, as all later windows need it.
+    """
+    texts = _texts(items, attributes)
+    described = items.filter(F.col("web_description").isNotNull())
+    keyed = described.drop("merchant").withColumnRenamed("merchant_clean", "merchant")
+    hashed = keyed.groupBy(*KEYS, "month", *[F.col(c).alias(f"{out}__") for out, c in texts.items()]).agg(
         F.sum(F.col("item_price") * F.col("item_quantity")).alias("total_spend"),
         F.sum("item_quantity").alias("total_units"),
         F.sum("gmv").alias("gmv"),
@@ -53,17 +64,26 @@ def _monthly(items: DataFrame, attributes: Sequence[str]) -> DataFrame:
         F.min("order_date").alias("first_observation_in_month"),
         F.max("order_date").alias("last_observation_in_month"),
     )
+    return hashed.repartition(*KEYS).groupBy(*KEYS, "month").agg(
+        *[F.min(f"{out}__").alias(out) for out in texts],
+        *[F.sum(c).alias(c) for c in SUMS],
+        F.min("first_observation_in_month").alias("first_observation_in_month"),
+        F.max("last_observation_in_month").alias("last_observation_in_month"),
+    )
 
 
 def _window_lags(df: DataFrame, season: Sequence[str], order: str, first_keys: Sequence[str]) -> DataFrame:
-    """Metrics of the period before, and whether the period is the first of its product."""
+    """Metrics of the period before, and whether the period is the first of its product.
+
+    The first period is the smallest of the group, which needs no second sort next to the seasonal one.
+    """
     by_season = Window.partitionBy(*first_keys, *season).orderBy(order)
-    by_key = Window.partitionBy(*first_keys).orderBy(order)
+    whole = Window.partitionBy(*first_keys)
     return df.withColumns(
         {
             "last_obs": F.lag("observations").over(by_season),
             "last_gmv": F.lag("gmv").over(by_season),
-            "new_sku_flag": (F.row_number().over(by_key) == 1).cast("int"),
+            "new_sku_flag": (F.col(order) == F.min(order).over(whole)).cast("int"),
         }
     )
 
@@ -82,7 +102,7 @@ def sku_time_series(
             "max_date": last,
         }
     ).withColumnRenamed("month", "period_month")
-    return _unpacked(series, attributes)
+    return _unpacked(with_optional(series, OPTIONAL), attributes)
 
 
 def _placements(month: Column, last: Column) -> dict[str, Column]:
@@ -108,15 +128,15 @@ def _placements(month: Column, last: Column) -> dict[str, Column]:
     }
 
 
-def _shown_period(interval: Column, last: Column) -> Column:
+def _shown_period(last: Column) -> dict[str, Column]:
     """The period each interval reports (compared with the ordering date of a row)."""
-    return (
-        F.when(interval == "Last Year", F.add_months(floor_to("year", last), -12))
-        .when(interval == "Year-To-Date", floor_to("year", last))
-        .when(interval == "Last Quarter", F.add_months(floor_to("quarter", last), -3))
-        .when(interval == "Last Month", last)
-        .otherwise(F.add_months(last, -11))
-    )
+    return {
+        "Last Year": F.add_months(floor_to("year", last), -12),
+        "Year-To-Date": floor_to("year", last),
+        "Last Quarter": F.add_months(floor_to("quarter", last), -3),
+        "Last Month": last,
+        "Trailing 12 Months": F.add_months(last, -11),
+    }
 
 
 def _reported_max(interval: Column, last: Column) -> Column:
@@ -137,7 +157,8 @@ def sku_analysis(
     """Latest period of each interval next to the comparable period before it.
 
     The monthly aggregate is read once: each month is repeated under the intervals it belongs to and
-    summed again, then one window per key and interval finds the previous period.
+    summed again, then one window per key and interval finds the previous period. A month is repeated
+    only under intervals whose reported period the product sold in, as no other row can be reported.
 
     "Last Year" and "Last Quarter" report the last complete year and quarter. Asking for the running
     one, after having kept only earlier ones, would always be empty. ``max_date`` is the last month (or,
@@ -145,33 +166,40 @@ def sku_analysis(
     """
     last = floor_to("month", scalar(items if dates is None else dates, F.max("order_date")))
     month = F.col("month")
-    placed = _placements(month, last)
+    placed, shown_at = _placements(month, last), _shown_period(last)
+    monthly = _monthly(items, attributes).drop("first_observation_in_month", "last_observation_in_month")
+    by_key = Window.partitionBy(*KEYS)
+    sold = {
+        f"__sold_{i}": F.bool_or(placed[name]["order"] == shown_at[name]).over(by_key) for i, name in enumerate(intervals)
+    }
     slots = F.array(
         *[
-            F.when(placed[name].isNotNull(), F.struct(F.lit(name).alias("display_interval"), placed[name].alias("at")))
-            for name in intervals
+            F.when(
+                F.col(f"__sold_{i}") & placed[name].isNotNull(),
+                F.struct(F.lit(name).alias("display_interval"), placed[name].alias("at")),
+            )
+            for i, name in enumerate(intervals)
         ]
     )
-    monthly = _monthly(items, attributes).drop("first_observation_in_month", "last_observation_in_month")
-    spread = monthly.withColumn("__slot", F.explode(F.array_compact(slots))).select(
+    flagged = monthly.withColumns(sold)
+    spread = flagged.withColumn("__slot", F.explode(slots)).filter(F.col("__slot").isNotNull()).select(
         "*",
         F.col("__slot.display_interval").alias("display_interval"),
         F.col("__slot.at.period").alias("period_starting"),
         F.col("__slot.at.season").alias("__season"),
         F.col("__slot.at.order").alias("__order"),
     )
-    attrs = [f"__attr_{a}" for a in attributes]
-    summed = spread.groupBy(*KEYS, "display_interval", "period_starting", "__season", "__order").agg(
-        *[F.min(a).alias(a) for a in attrs],
-        *[F.min(c).alias(c) for c in OPTIONAL],
-        *[F.sum(c).alias(c) for c in ("total_spend", "total_units", "gmv", "observations")],
+    # Still partitioned by product key: neither this aggregate nor the window below moves a row.
+    summed = spread.groupBy(*KEYS, "display_interval", "__season", "__order", "period_starting").agg(
+        *[F.min(c).alias(c) for c in _texts(items, attributes)], *[F.sum(c).alias(c) for c in SUMS]
     )
     lagged = _window_lags(summed, ["__season"], "__order", [*KEYS, "display_interval"])
-    shown = lagged.filter(F.col("__order") == _shown_period(F.col("display_interval"), last))
+    reported = F.coalesce(*[F.when(F.col("display_interval") == name, at) for name, at in shown_at.items()])
+    shown = lagged.filter(F.col("__order") == reported)
     shown = shown.withColumns(
         {"product_id_type": F.lit(product_id_type), "max_date": _reported_max(F.col("display_interval"), last)}
     )
-    return _unpacked(shown.drop("__season", "__order"), attributes)
+    return _unpacked(with_optional(shown.drop("__season", "__order"), OPTIONAL), attributes)
 
 
 def sku_scorecard(analysis: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ from aislewise.operators import compare, publish, quality, schema
 from aislewise.operators.grouping import latest_per_key
 from aislewise.plans import monitor
 from aislewise.registry import sql
-from aislewise.registry.common import at, shared_folder, tidy
+from aislewise.registry.common import at, tidy
 from aislewise.sources import inputs
 from aislewise.sources.calendars import retail_days
 from aislewise.sources.client_config import client_config, read_config_csv
 from aislewise.sources.items import filter_items
+from aislewise.sources.sinks import materialize, shared_folder
 
 DQ_COLUMNS = ["order_date", "brand", "parent_brand", "merchant", "item_price", "item_quantity", "gmv", "user_id", "order_id",
               "product_id", "web_description", "finish"]
@@ -236,10 +237,9 @@ def null_type_repair(spark, sf_dir):
 def copy_check(spark, sf_dir):
     """Orders copied to shared storage and counted on both sides."""
     orders = at(spark, sf_dir)("orders")
-    target = f"{shared_folder(spark)}/orders_copy"
-    orders.write.mode("overwrite").parquet(target)
+    copy = materialize(orders, "orders_copy")
     counts = orders.agg(F.count(F.lit(1)).alias("source_rows"))
-    return counts.withColumn("target_rows", spark.read.parquet(target).agg(F.count(F.lit(1))).scalar()).withColumn(
+    return counts.withColumn("target_rows", copy.agg(F.count(F.lit(1))).scalar()).withColumn(
         "match", F.col("source_rows") == F.col("target_rows")
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +29,3 @@ def tidy(df: DataFrame) -> DataFrame:
 
 def rounded(df: DataFrame, columns, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the session names, a temporary one where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="aislewise-")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.labels import first_match
 from aislewise.functions.periods import floor_to
-from aislewise.sources.tables import Tables
+from aislewise.sources.tables import Tables, spread
 
 # Optional item columns and the type they take when the source lacks them (fixed values).
 OPTIONAL_TYPES = {
@@ -139,7 +139,7 @@ def source_items(tables: Tables, columns: Iterable[str] | None = None) -> DataFr
     """
     wanted = list(dict.fromkeys(columns if columns is not None else _STAR))
     used = {_STAR[c][0] for c in wanted}
-    items = tables("lineitem")
+    items = spread(tables("lineitem"), "l_orderkey")
     if used & {"orders", "customer"}:
         orders = tables("orders")
         if "customer" in used:

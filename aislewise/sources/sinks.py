@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 from fnmatch import fnmatchcase
 
@@ -41,6 +43,23 @@ def write_table(
     return full
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the one the session names, a temporary one where none is named."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="aislewise-")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate mart once and read it back.
+
+    For marts that several steps read. The files survive a lost executor, and each reader scans only the
+    columns it needs.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def stamped(df: DataFrame) -> DataFrame:
     """Add the audit column every published table carries."""
     return df.withColumn("_updated_timestamp", F.current_timestamp())
