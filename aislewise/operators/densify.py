@@ -23,11 +23,15 @@ def fill_months(
     last_month: Column,
     first_month: dt.date | None = None,
     margin: int = 12,
+    blank: Sequence[str] = (),
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Give every key one row per month with 0 for months it lacks.
 
     A series reaches ``margin`` months before its first row, not before ``first_month``, and ``margin``
     months after its last row, not beyond ``last_month``. ``series`` must hold one row per key and month.
+    Columns in ``blank`` are NULL in added months; columns in ``carry``, such as running totals, keep the
+    value of the last row and are 0 before the first.
 
     Each row covers the months from itself up to the next row of its key; the first row also covers the
     lead-in and the last row the tail. That needs one shuffle on the keys and no calendar join, treats
@@ -49,7 +53,10 @@ def fill_months(
     opened = covered.withColumn("__month", F.explode(F.sequence("__from", "__to", F.expr(_MONTH))))
     real = F.col("__month") == here
     zero_filled = [F.when(real, F.col(m)).otherwise(F.lit(0)).cast(opened.schema[m].dataType).alias(m) for m in metrics]
-    return opened.select(F.col("__month").alias(month), *keys, *zero_filled)
+    null_filled = [F.when(real, F.col(c)).alias(c) for c in blank]
+    before = F.col("__month") < here
+    carried = [F.when(before, F.lit(0)).otherwise(F.col(c)).cast(opened.schema[c].dataType).alias(c) for c in carry]
+    return opened.select(F.col("__month").alias(month), *keys, *zero_filled, *null_filled, *carried)
 
 
 def _subtractable(total: Column, series: DataFrame, name: str) -> Column:
@@ -58,26 +65,35 @@ def _subtractable(total: Column, series: DataFrame, name: str) -> Column:
     return total.cast(f"decimal(37,{kind.scale})") if isinstance(kind, T.DecimalType) else total
 
 
-def trailing_sums(
-    series: DataFrame,
+def running_totals(
+    series: DataFrame, keys: Sequence[str], month: str, metrics: Sequence[str], may_be_null: Sequence[str] = ()
+) -> tuple[DataFrame, list[str]]:
+    """Add the running total of each metric, and its running count where it may be NULL.
+
+    Also returns the names of the added columns, which :func:`fill_months` can carry into added months:
+    totals are then summed over the observed rows only, before the gaps are filled.
+    """
+    so_far = Window.partitionBy(*keys).orderBy(month).rowsBetween(Window.unboundedPreceding, 0)
+    running = {f"__sum_{m}": _subtractable(F.sum(m).over(so_far), series, m) for m in metrics}
+    running |= {f"__count_{m}": F.count(m).over(so_far) for m in may_be_null}
+    return series.withColumns(running), list(running)
+
+
+def trailing_from_totals(
+    totals: DataFrame,
     keys: Sequence[str],
     month: str,
     metrics: Sequence[str],
     spans: Sequence[int] = (12, 6, 3),
     may_be_null: Sequence[str] = (),
 ) -> DataFrame:
-    """Sums over the last 12, 6 and 3 rows, kept only where the rows are consecutive months.
+    """Trailing sums of a series with running totals: the total now minus the total ``span`` rows earlier.
 
-    A trailing sum is the running total minus the running total ``span`` rows earlier. Running totals
-    cost one addition per row, where a sliding frame adds ``span`` rows again for each row. All of them
-    share one window definition, so the data is shuffled and sorted once. A metric listed in
-    ``may_be_null`` stays NULL over a window without any value.
+    A window counts only when its rows are consecutive months. A metric in ``may_be_null`` stays NULL over
+    a window without any value.
     """
     by_key = Window.partitionBy(*keys).orderBy(month)
-    so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
-    running = {f"__sum_{m}": _subtractable(F.sum(m).over(so_far), series, m) for m in metrics}
-    running |= {f"__count_{m}": F.count(m).over(so_far) for m in may_be_null}
-    totals = series.withColumns(running)
+    running = [f"__sum_{m}" for m in metrics] + [f"__count_{m}" for m in may_be_null]
     earlier = {}
     for span in spans:
         for c in running:
@@ -90,10 +106,28 @@ def trailing_sums(
         full = F.col(f"__first_{span}") == F.add_months(month, 1 - span)
         for m in metrics:
             shown = full & (F.col(f"__count_{m}") > F.col(f"__count_{m}_{span}")) if m in may_be_null else full
-            trailing[f"{m}_trailing_{span}m"] = F.when(shown, F.col(f"__sum_{m}") - F.col(f"__sum_{m}_{span}"))
+            difference = F.coalesce(F.col(f"__sum_{m}"), F.lit(0)) - F.col(f"__sum_{m}_{span}")
+            trailing[f"{m}_trailing_{span}m"] = F.when(shown, difference)
     return both.withColumns(trailing).drop(*running, *earlier)
 
 
+def trailing_sums(
+    series: DataFrame,
+    keys: Sequence[str],
+    month: str,
+    metrics: Sequence[str],
+    spans: Sequence[int] = (12, 6, 3),
+    may_be_null: Sequence[str] = (),
+) -> DataFrame:
+    """Sums over the last 12, 6 and 3 rows, kept only where the rows are consecutive months.
+
+    Running totals cost one addition per row, where a sliding frame adds ``span`` rows again for each row.
+    All windows share one definition, so the data is shuffled and sorted once.
+    """
+    totals, _ = running_totals(series, keys, month, metrics, may_be_null)
+    return trailing_from_totals(totals, keys, month, metrics, spans, may_be_null)
+
+
 def trailing_gaps(series: DataFrame, keys: Sequence[str], month: str, since=None, span: int = 12) -> DataFrame:
     """Rows whose trailing window is not ``span`` consecutive months, with the factor found."""
     rows = Window.partitionBy(*keys).orderBy(month).rowsBetween(1 - span, 0)

@@ -5,13 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislewise.functions import labels
 from aislewise.functions.measures import implied_units, metric
 from aislewise.functions.periods import DISPLAY_INTERVALS, end_of, floor_to
-from aislewise.operators.densify import fill_months, trailing_sums
+from aislewise.operators.densify import fill_months, running_totals, trailing_from_totals
 from aislewise.operators.grouping import ITEM_METRICS, hier_agg, scalar
 from aislewise.sources.calendars import month_start, retail_days, retail_months
 
@@ -61,38 +61,38 @@ def _share_keys(items: DataFrame, attribute: str, name_missing: bool, name_missi
     return items.select(*plain, special, *brands, merchant.alias("merchant"))
 
 
-def _dense_series(
+def _monthly_series(
     items: DataFrame,
     attribute: str,
-    start_date,
+    first: dt.date | None,
     calendar: str,
     name_missing: bool,
     name_missing_merchant: bool,
     dates: DataFrame | None,
-) -> tuple[DataFrame, object]:
-    """Monthly metrics per key, gaps filled, and the last month of the whole table."""
-    first = month_start(start_date) if start_date is not None else None
+) -> tuple[DataFrame, Column]:
+    """Observed monthly metrics per key from ``first`` on, and the last month of the whole table."""
     dates = items if dates is None else dates
     keyed = _share_keys(items, attribute, name_missing, name_missing_merchant)
     if calendar == "454":
         days = F.broadcast(retail_days(items.sparkSession).select("cal_day", "retail_month_for_trailing"))
-        on_day = F.col("order_date") == F.col("cal_day")
-        dated = keyed.join(days, on_day, "left").withColumn("date", F.col("retail_month_for_trailing"))
+        dated = keyed.join(days, F.col("order_date") == F.col("cal_day"), "left")
+        dated = dated.withColumn("date", F.col("retail_month_for_trailing"))
         newest = days.filter(F.col("cal_day") == scalar(dates, F.max("order_date")))
         last = scalar(newest, F.max("retail_month_for_trailing"))
     else:
         dated = keyed.withColumn("date", floor_to("month", F.col("order_date")))
         last = floor_to("month", scalar(dates, F.max("order_date")))
     monthly = hier_agg(dated, ["date", *KEYS])
-    dense = fill_months(monthly, KEYS, "date", ITEM_METRICS, last, first)
-    return dense, last
+    return (monthly if first is None else monthly.filter(F.col("date") >= F.lit(first))), last
 
 
 def market_share_dense(
     items: DataFrame, attribute: str = "major_cat", start_date=None, dates: DataFrame | None = None
 ) -> DataFrame:
     """First-generation mart: gap-filled monthly metrics keyed by ``trunc_day``, no trailing sums."""
-    dense, _ = _dense_series(items, attribute, start_date, "standard", False, False, dates)
+    first = month_start(start_date) if start_date is not None else None
+    monthly, last = _monthly_series(items, attribute, first, "standard", False, False, dates)
+    dense = fill_months(monthly, KEYS, "date", ITEM_METRICS, last, first)
     return dense.withColumnRenamed("date", "trunc_day")
 
 
@@ -112,16 +112,17 @@ def market_share(
     month always spans the twelve months before it (or all months since ``start_date``), the calendar
     alone answers that.
     """
-    dense, last = _dense_series(items, attribute, start_date, calendar, True, calendar == "standard", dates)
-    units = metric(
-        implied_units(F.col("gmv"), F.col("item_subtotal_observed"), F.col("item_quantity_observed"))
-    )
-    dense = dense.withColumn("units", units)
-    trailing = trailing_sums(dense, KEYS, "date", ("gmv", "units", "sample_size"), may_be_null=("units",))
+    first = month_start(start_date) if start_date is not None else None
+    monthly, last = _monthly_series(items, attribute, first, calendar, True, calendar == "standard", dates)
+    units = implied_units(F.col("gmv"), F.col("item_subtotal_observed"), F.col("item_quantity_observed"))
+    summed = ("gmv", "units", "sample_size")
+    # Totals run over observed months; added months repeat them, so the gaps add no summing.
+    totals, running = running_totals(monthly.withColumn("units", metric(units)), KEYS, "date", summed, ["units"])
+    dense = fill_months(totals, KEYS, "date", ITEM_METRICS, last, first, blank=["units"], carry=running)
+    trailing = trailing_from_totals(dense, KEYS, "date", summed, may_be_null=["units"])
     date = F.col("date")
     if calendar == "454":
         months = retail_months(items.sparkSession)
-        first = month_start(start_date) if start_date is not None else None
         reach = F.add_months(last, -11)
         seen = months.filter(F.col("retail_month_for_trailing") <= last).filter(
             F.col("retail_month_for_trailing") >= (reach if first is None else F.greatest(reach, F.lit(first)))
