@@ -36,6 +36,16 @@ def scalar(df: DataFrame, value: Column) -> Column:
     return df.agg(value).scalar()
 
 
+def largest(df: DataFrame, column: str) -> Column:
+    """Largest value of a column of a shuffled aggregate, as a scalar subquery that shares its shuffle.
+
+    A plain ``max`` would prune the other columns away, giving a different shuffle and a second pass over
+    the raw rows. Comparing whole rows, the wanted column first, keeps the aggregate as the query has it.
+    """
+    rest = [c for c in df.columns if c != column]
+    return df.agg(F.max(F.struct(column, *rest))[column]).scalar()
+
+
 def with_group_totals(df: DataFrame, value: str, totals: Mapping[str, Sequence[str]]) -> DataFrame:
     """Attach the sum of ``value`` over each column set in ``totals``.
 

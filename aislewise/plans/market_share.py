@@ -12,7 +12,7 @@ from aislewise.functions import labels
 from aislewise.functions.measures import implied_units, metric
 from aislewise.functions.periods import DISPLAY_INTERVALS, end_of, floor_to
 from aislewise.operators.densify import fill_months, running_totals, trailing_from_totals
-from aislewise.operators.grouping import ITEM_METRICS, hier_agg, scalar
+from aislewise.operators.grouping import ITEM_METRICS, hier_agg, largest, scalar
 from aislewise.sources.calendars import month_start, retail_days, retail_months
 
 KEYS = (
@@ -68,30 +68,25 @@ def _monthly_series(
     calendar: str,
     name_missing: bool,
     name_missing_merchant: bool,
-    dates: DataFrame | None,
 ) -> tuple[DataFrame, Column]:
     """Observed monthly metrics per key from ``first`` on, and the last month of the whole table."""
-    dates = items if dates is None else dates
     keyed = _share_keys(items, attribute, name_missing, name_missing_merchant)
     if calendar == "454":
         days = F.broadcast(retail_days(items.sparkSession).select("cal_day", "retail_month_for_trailing"))
         dated = keyed.join(days, F.col("order_date") == F.col("cal_day"), "left")
         dated = dated.withColumn("date", F.col("retail_month_for_trailing"))
-        newest = days.filter(F.col("cal_day") == scalar(dates, F.max("order_date")))
-        last = scalar(newest, F.max("retail_month_for_trailing"))
     else:
         dated = keyed.withColumn("date", floor_to("month", F.col("order_date")))
-        last = floor_to("month", scalar(dates, F.max("order_date")))
     monthly = hier_agg(dated, ["date", *KEYS])
-    return (monthly if first is None else monthly.filter(F.col("date") >= F.lit(first))), last
+    if first is not None:
+        monthly = monthly.filter(F.col("date") >= F.lit(first))
+    return monthly, largest(monthly, "date")
 
 
-def market_share_dense(
-    items: DataFrame, attribute: str = "major_cat", start_date=None, dates: DataFrame | None = None
-) -> DataFrame:
+def market_share_dense(items: DataFrame, attribute: str = "major_cat", start_date=None) -> DataFrame:
     """First-generation mart: gap-filled monthly metrics keyed by ``trunc_day``, no trailing sums."""
     first = month_start(start_date) if start_date is not None else None
-    monthly, last = _monthly_series(items, attribute, first, "standard", False, False, dates)
+    monthly, last = _monthly_series(items, attribute, first, "standard", False, False)
     dense = fill_months(monthly, KEYS, "date", ITEM_METRICS, last, first)
     return dense.withColumnRenamed("date", "trunc_day")
 
@@ -101,19 +96,16 @@ def market_share(
     attribute: str = "major_cat",
     start_date: dt.date | str | None = None,
     calendar: str = "standard",
-    dates: DataFrame | None = None,
 ) -> DataFrame:
     """Market-share mart for one attribute on the ``standard`` or the ``454`` calendar.
 
-    ``dates`` may name a cheaper frame with the same ``order_date`` values; only its maximum is read.
-
     ``max_month`` and ``max_quarter`` are those of the last month on the standard calendar. On the 4-5-4
     calendar they are the largest numbers that occur in the mart; since the key that sells in the last
     month always spans the twelve months before it (or all months since ``start_date``), the calendar
     alone answers that.
     """
     first = month_start(start_date) if start_date is not None else None
-    monthly, last = _monthly_series(items, attribute, first, calendar, True, calendar == "standard", dates)
+    monthly, last = _monthly_series(items, attribute, first, calendar, True, calendar == "standard")
     units = implied_units(F.col("gmv"), F.col("item_subtotal_observed"), F.col("item_quantity_observed"))
     summed = ("gmv", "units", "sample_size")
     # Totals run over observed months; added months repeat them, so the gaps add no summing.

@@ -73,7 +73,7 @@ def first_seen(spark, sf_dir):
 
 def reconcile_gmv(spark, sf_dir):
     t = at(spark, sf_dir)
-    share = ms.market_share_dense(filter_items(t, ms.ITEM_COLUMNS, START_DATE), "major_cat", START_DATE, dates(t))
+    share = ms.market_share_dense(filter_items(t, ms.ITEM_COLUMNS, START_DATE), "major_cat", START_DATE)
     columns = ["month", "order_date", "web_description", "merchant_clean", "major_cat", "gmv"]
     return tidy(sku.reconcile_gmv(filter_items(t, columns), share, dates(t)))
 

@@ -31,17 +31,17 @@ def _items(t, columns=ms.ITEM_COLUMNS):
 
 
 def _dense(t):
-    return ms.market_share_dense(_items(t), "major_cat", START_DATE, dates(t))
+    return ms.market_share_dense(_items(t), "major_cat", START_DATE)
 
 
 def market_share_std(spark, sf_dir):
     t = at(spark, sf_dir)
-    return _mart_report(ms.market_share(_items(t), "major_cat", START_DATE, "standard", dates(t)))
+    return _mart_report(ms.market_share(_items(t), "major_cat", START_DATE, "standard"))
 
 
 def market_share_454(spark, sf_dir):
     t = at(spark, sf_dir)
-    return _mart_report(ms.market_share(_items(t), "major_cat", START_DATE, "454", dates(t)))
+    return _mart_report(ms.market_share(_items(t), "major_cat", START_DATE, "454"))
 
 
 def market_share_dense(spark, sf_dir):

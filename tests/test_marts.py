@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from aislewise.functions import labels
 from aislewise.plans import brands, display, leakage, market_share, pricing, regions, shopper, sku
 from aislewise.plans.monitor import run_attempts, run_status
-from aislewise.registry.common import START_DATE, dates
+from aislewise.registry.common import START_DATE
 from aislewise.sources import inputs
 from aislewise.sources.calendars import fiscal_quarters, retail_days, retail_months
 from aislewise.sources.items import filter_items, prep_filter_items, source_items, with_optional
@@ -21,7 +21,7 @@ from aislewise.sources.items import filter_items, prep_filter_items, source_item
 @pytest.fixture(scope="module")
 def dense(tables):
     items = filter_items(tables, market_share.ITEM_COLUMNS, START_DATE)
-    return market_share.market_share_dense(items, "major_cat", START_DATE, dates(tables)).persist()
+    return market_share.market_share_dense(items, "major_cat", START_DATE).persist()
 
 
 def test_items_keep_every_line_whatever_columns_are_asked_for(tables):
