@@ -22,6 +22,11 @@ TRAILING_SPANS = {"Trailing 12 Months": 12, "Trailing 6 Months": 6, "Trailing 3
 _GRAIN = {"Annually": "year", "Year-to-Date": "year", "Quarterly": "quarter", "Weekly": "week"}
 
 
+def moment(value, kind="timestamp") -> Column:
+    """A point in time as written, in the session's time zone whatever the driver's zone is."""
+    return F.lit(str(value)).cast(kind)
+
+
 def floor_to(grain: str, day: Column) -> Column:
     """First day of the year, quarter, month or week that holds ``day``."""
     return F.trunc(day, grain)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aislewise.functions.periods import moment
+
 
 def _digest(df: DataFrame, columns: Sequence[str]) -> Column:
     """128 bits of the row content. Missing values are told apart from empty texts."""
@@ -37,7 +39,7 @@ def changes_table(previous: DataFrame, current: DataFrame, keys: Sequence[str],
         (F.coalesce(F.col(f"__new.{c}"), F.when(F.col("__new").isNull(), F.col(f"__old.{c}"))) if c in columns else F.col(f"__new.{c}")).alias(c)
         for c in rest
     ]
-    stamp = F.current_timestamp() if released_at is None else F.lit(released_at).cast("timestamp")
+    stamp = F.current_timestamp() if released_at is None else moment(released_at)
     return joined.filter(F.col("record_status").isNotNull()).select(
         *keys, *content, "record_status", stamp.alias("record_status_timestamp")
     )
@@ -45,12 +47,12 @@ def changes_table(previous: DataFrame, current: DataFrame, keys: Sequence[str],
 
 def pit_rows(release: DataFrame, released_at, stamp: str = "publication_timestamp") -> DataFrame:
     """Rows of a release under its release time, ready to append to the history."""
-    return release.withColumn(stamp, F.lit(released_at).cast("timestamp"))
+    return release.withColumn(stamp, moment(released_at))
 
 
 def pit_as_of(history: DataFrame, keys: Sequence[str], as_of, stamp: str = "publication_timestamp") -> DataFrame:
     """The newest version of each key released at or before ``as_of``."""
-    known = history.filter(F.col(stamp) <= F.lit(as_of).cast("timestamp"))
+    known = history.filter(F.col(stamp) <= moment(as_of))
     rest = [c for c in history.columns if c not in (*keys, stamp)]
     newest = F.max_by(F.struct(stamp, *rest), F.col(stamp)).alias("__row")
     return known.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in (*rest, stamp)])
@@ -58,7 +60,7 @@ def pit_as_of(history: DataFrame, keys: Sequence[str], as_of, stamp: str = "publ
 
 def release_as_of(history: DataFrame, as_of, stamp: str = "publication_timestamp") -> DataFrame:
     """The whole release that was current at ``as_of``: rows dropped by it do not come back."""
-    known = history.filter(F.col(stamp) <= F.lit(as_of).cast("timestamp"))
+    known = history.filter(F.col(stamp) <= moment(as_of))
     return known.filter(F.col(stamp) == known.agg(F.max(stamp)).scalar())
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aislewise.functions.periods import moment
 from aislewise.operators.grouping import latest_by
 
 
@@ -19,7 +20,7 @@ def latest_runs(log: DataFrame, since=None) -> DataFrame:
     """Newest run per client."""
     found = runs(log)
     if since is not None:
-        found = found.filter(F.col("end_timestamp") > F.lit(since).cast(log.schema["end_timestamp"].dataType))
+        found = found.filter(F.col("end_timestamp") > moment(since, log.schema["end_timestamp"].dataType))
     return latest_by(found, ["demo_name"], ["end_timestamp", "run_id"], ["user", "error"])
 
 
@@ -89,7 +90,7 @@ def run_attempts(log: DataFrame, month: dt.date) -> DataFrame:
 
 def runs_per_hour(log: DataFrame, start: dt.datetime) -> DataFrame:
     """Runs and failed runs per hour since ``start``."""
-    seconds = F.timestamp_diff("SECOND", F.lit(start).cast("timestamp_ntz"), F.col("end_timestamp").cast("timestamp_ntz"))
+    seconds = F.timestamp_diff("SECOND", moment(start, "timestamp_ntz"), F.col("end_timestamp").cast("timestamp_ntz"))
     hour = F.floor(seconds / 3600)
     return (
         log.withColumn("hour", hour.cast("bigint"))

@@ -131,7 +131,7 @@ def fn_date(spark, sf_dir):
     items = filter_items(at(spark, sf_dir), ["order_date"])
     day = F.col("order_date")
     text = F.concat(F.date_format(day, "M/d/yyyy"), F.lit(" 7:05:09"))
-    parsed = F.to_timestamp(text, "M/d/yyyy H:mm:ss")
+    parsed = F.to_timestamp_ntz(text, F.lit("M/d/yyyy H:mm:ss"))
     newest = items.agg(F.max("order_date")).scalar()
     return items.groupBy("order_date").agg(F.count(F.lit(1)).alias("n_items")).select(
         "order_date", "n_items",
@@ -143,7 +143,7 @@ def fn_date(spark, sf_dir):
         F.datediff(newest, day).alias("age_days"),
         F.months_between(F.trunc(newest, "month"), F.trunc(day, "month")).cast("int").alias("age_months"),
         (F.hour(parsed) * 3600 + F.minute(parsed) * 60 + F.second(parsed)).alias("parsed_seconds"),
-        F.timestamp_diff("HOUR", F.lit("1995-01-01 00:00:00").cast("timestamp"), parsed).alias("hours_since"),
+        F.timestamp_diff("HOUR", F.lit("1995-01-01 00:00:00").cast("timestamp_ntz"), parsed).alias("hours_since"),
     )
 
 
