@@ -43,11 +43,6 @@ def interval_start(interval: str, day: Column) -> Column:
     return floor_to(_GRAIN.get(interval, "month"), day)
 
 
-def fiscal_quarter_label(year: Column, quarter: Column) -> Column:
-    """``'2024 3Q'``. Sorting the text sorts the quarters."""
-    return F.concat(year.cast("string"), F.lit(" "), quarter.cast("string"), F.lit("Q"))
-
-
 def month_factor(span: int, month: Column) -> Column:
     """Position of a month inside its year (12), half year (6) or quarter (3).
 

@@ -115,11 +115,6 @@ def rows_of_top_keys(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     return df.join(F.broadcast(top_n(df, key, value, n)), key, "left_semi")
 
 
-def previous(value: str, keys: Sequence[str], order: str, descending: bool = False) -> Column:
-    by = F.desc(order) if descending else F.asc(order)
-    return F.lag(value).over(Window.partitionBy(*keys).orderBy(by))
-
-
 def distinct_list(df: DataFrame, column: str, alias: str, separator: str = ", ") -> DataFrame:
     """Sorted distinct values as one text. For short lists such as the kept brands of a chart."""
     return df.agg(F.array_join(F.array_sort(F.collect_set(column)), separator).alias(alias))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from aislewise.functions import labels
 from aislewise.functions.measures import ratio
-from aislewise.functions.periods import fiscal_quarter_label
 from aislewise.functions.predicates import page_filter
 from aislewise.operators.calendar_join import interval_join
 from aislewise.operators.grouping import label_others, last_periods, rolling_periods, top_ranked
@@ -212,9 +211,3 @@ def scorecard(
     else:
         shown = source.filter(F.lower("quarter") == quarter.lower())
     return shown.agg(F.sum(value).alias("market_size"))
-
-
-__all__ = [
-    "brand_chart", "brand_view", "competitor_base", "competitor_share", "fiscal_quarter_label", "quarter_of",
-    "quarterly_report", "report_quarters", "scorecard", "with_fiscal_quarter",
-]

@@ -196,11 +196,6 @@ def compare_stats(spark, sf_dir):
     return stats.withColumns({c: F.round(c, 4) for c in ("stddev", "stddev_second")})
 
 
-def _versioned(t):
-    old, new = inputs.releases(t)
-    return old, new
-
-
 def changes_table(spark, sf_dir):
     old, new = inputs.releases(at(spark, sf_dir))
     return publish.changes_table(old, new, ["o_orderkey"], dt.datetime(2024, 1, 1)).drop("record_status_timestamp")
