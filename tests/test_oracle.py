@@ -11,10 +11,13 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from aislewise.registry import MODULES
 
 duckdb = pytest.importorskip("duckdb")
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+# Queries of the optional subpackage have their own tests.
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE = {name: text for module in MODULES for name, text in module.ORACLE.items()}
 # Too slow or approximate in SQL: tested elsewhere.
 ROWS_ONLY = {"schema_report", "schema_change", "quartiles", "csv_config"}
 
