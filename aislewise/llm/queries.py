@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.llm import simhash
+from aislewise.llm import simhash, toxicity
 from aislewise.llm.common import table
+from aislewise.llm.sampling import remainder
 
 
 def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op3_simhash_anchors": op3_simhash_anchors}
+def op8_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "spans")
+
+
+QUERIES = {"op3_simhash_anchors": op3_simhash_anchors, "op8_toxic_spans": op8_toxic_spans}
 
 ORACLE: dict[str, str] = {}
