@@ -1,9 +1,10 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Training: documents are labelled, not tokens, so tokens get their labels first. Words and word beginnings
-that are frequent in toxic training documents and (almost) absent from clean ones are candidates; a greedy
-cover keeps those that explain toxic documents which no earlier one explains, so words that merely occur
-beside them are not taken. A token of a toxic document with a kept feature is labelled 1, every other
+that are far more frequent in toxic training documents than in clean ones are candidates; a greedy cover keeps
+those that explain toxic documents which fewer than three earlier ones explain, so words that merely
+occur beside them are not taken. Many candidates with the very same documents are the words of one copied
+text and left out. A token of a toxic document with a kept feature is labelled 1, every other
 token 0. The field has two states with hashed word and word-beginning features and transition weights; it
 is trained on shards of a bounded sample by the gradient of its log-likelihood (forward-backward) and the
 shards' weights are averaged.
@@ -25,13 +26,15 @@ from aislewise.llm.common import bytes_of, cut, map_arrow, slices
 from aislewise.llm.sampling import labelled
 from aislewise.llm.tokens import Tokens, mix, tokenize
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 BITS = 18
 MAX_ROWS = 20_000
 SHARDS = 8
 STEPS = 240
 MIN_SUPPORT = 5
-MAX_CLEAN_SHARE = 0.001
+MIN_LIFT = 40
+COVER = 3
+MAX_BUNDLE = 12
 MAX_CANDIDATES = 50_000
 
 
@@ -166,12 +169,13 @@ def cue_features(rows: DataFrame, max_candidates: int) -> np.ndarray:
             ["feature", "toxic", "clean"],
         )
 
-    n_clean = rows.where("label = 0").count()
+    n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    lift = F.col("toxic") * n.get(0, 0) >= MIN_LIFT * n.get(1, 0) * (F.col("clean") + 0.5)
     candidates = (
         map_arrow(rows.select("doc_id", "text", "label"), counts, "feature long, toxic long, clean long", "text")
         .groupBy("feature")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= MIN_SUPPORT) & (F.col("clean") <= MAX_CLEAN_SHARE * n_clean))
+        .where((F.col("toxic") >= MIN_SUPPORT) & lift)
         .orderBy(F.desc("toxic"), "feature")
         .limit(max_candidates)
         .select("feature", "clean")
@@ -195,15 +199,20 @@ def cue_features(rows: DataFrame, max_candidates: int) -> np.ndarray:
     pairs = map_arrow(rows.where("label = 1").select("doc_id", "text"), held, "doc_id long, feature long", "text").toPandas()
     docs, doc = np.unique(pairs.doc_id.to_numpy(), return_inverse=True)
     names, name = np.unique(pairs.feature.to_numpy(), return_inverse=True)
-    cost = np.array([10 * clean[n] for n in names.tolist()])
-    kept, open_ = [], np.ones(len(docs), bool)
+    # The same set of documents gives the same sum of random numbers.
+    mark = np.bincount(name, np.random.default_rng(0).random(len(docs))[doc], len(names)).round(9)
+    _, at, bundle = np.unique(mark, return_inverse=True, return_counts=True)
+    loose = bundle[at] <= MAX_BUNDLE
+    cost = np.array([5 * clean[k] for k in names.tolist()])
+    kept, need = [], np.full(len(docs), COVER)
     while len(name):
-        gain = np.bincount(name, open_[doc], len(names)) - cost
+        gain = np.where(loose, np.bincount(name, need[doc] > 0, len(names)) - cost, 0)
         best = int(gain.argmax())
         if gain[best] < MIN_SUPPORT:
             break
         kept.append(names[best])
-        open_[doc[name == best]] = False
+        loose[best] = False
+        need[doc[name == best]] -= 1
     return np.sort(np.array(kept, np.int64))
 
 
