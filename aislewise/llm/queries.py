@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.llm import quality, simhash, toxicity
+from aislewise.llm import decontaminate, quality, simhash, toxicity
 from aislewise.llm.common import table
 from aislewise.llm.sampling import remainder
 
@@ -13,6 +13,10 @@ def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(4) != 2)
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
@@ -23,6 +27,6 @@ def op8_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_anchors, op7_quality_ftrl, op8_toxic_spans)}
+QUERIES = {f.__name__: f for f in (op3_simhash_anchors, op6_positional_index, op7_quality_ftrl, op8_toxic_spans)}
 
 ORACLE: dict[str, str] = {}
