@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.llm import decontaminate, quality, simhash, toxicity
+from aislewise.llm import decontaminate, pieces, quality, simhash, toxicity
 from aislewise.llm.common import table
 from aislewise.llm.sampling import remainder
 
@@ -27,6 +27,10 @@ def op8_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_anchors, op6_positional_index, op7_quality_ftrl, op8_toxic_spans)}
+def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_anchors, op6_positional_index, op7_quality_ftrl, op8_toxic_spans, op10_nbest_pieces)}
 
 ORACLE: dict[str, str] = {}
