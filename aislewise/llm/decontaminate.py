@@ -25,6 +25,11 @@ RAREST = 3
 KEY = ["doc_id", "copy"]
 
 
+def offered(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A list of words with the hint to broadcast it, if it has at most ``most`` rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def words_of(text: Column) -> Column:
     """Words as written. A null text has none."""
     return F.coalesce(F.filter(F.split(text, BREAKS), lambda w: w != ""), F.array().cast("array<string>"))
@@ -56,7 +61,7 @@ def phrases_of(wins: DataFrame) -> DataFrame:
 def term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``(word, n)``: how often each of ``terms(word)`` occurs in all of ``texts``."""
     seen = texts.select(F.explode(words_of(F.col("text"))).alias("word")).select(folded(F.col("word")).alias("word"))
-    found = seen.join(terms, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    found = seen.join(offered(terms), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     return terms.join(found, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -74,7 +79,7 @@ def rarest_terms(phrases: DataFrame, counts: DataFrame, keep: int = RAREST) -> D
 def index(texts: DataFrame, terms: DataFrame, name: str = "postings") -> DataFrame:
     """Store the postings ``(word, doc_id, copy, pos)`` of ``terms(word)`` in ``texts`` (see ``keyed``); positions count words from zero."""
     seen = texts.select(*KEY, F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    return cut(seen.select(folded(F.col("word")).alias("word"), *KEY, "pos").join(terms, "word", "left_semi"), name)
+    return cut(seen.select(folded(F.col("word")).alias("word"), *KEY, "pos").join(offered(terms), "word", "left_semi"), name)
 
 
 def phrase_starts(postings: DataFrame, rarest: DataFrame, keep: int = RAREST) -> DataFrame:
@@ -147,6 +152,23 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"].cast("long"))
 
 
+def judge(texts: DataFrame, items: DataFrame, size: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """Of each row of ``texts`` (see ``keyed``) its hits and verdict, and the phrases with the items that hold them."""
+    wins = cut(windows(items.where(F.col("item_id").isNotNull()), size), "windows")
+    phrases = phrases_of(wins)
+    terms = cut(phrases.select(F.explode("phrase").alias("word")).distinct(), "terms")
+    rarest = cut(rarest_terms(phrases, cut(term_counts(texts, terms), "counts")), "rarest")
+    postings = index(texts, cut(rarest.select("word").distinct(), "terms"))
+    found = exact_matches(texts, phrase_starts(postings, rarest), phrases)
+    hits = F.coalesce("hits", F.array().cast(found.schema["hits"].dataType))
+    verdict = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+    judged = found.select(
+        "own_id", *KEY, "n_words", covered(hits).alias("n_hit"), F.array_distinct(F.transform(hits, lambda h: h["phrase_id"])).alias("phrases")
+    )
+    owners = wins.join(phrases, "phrase").select("phrase_id", "item_id").distinct()
+    return cut(judged.withColumn("contaminated", verdict), "judged"), cut(owners, "owners")
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` of every row of ``docs``.
 
@@ -155,21 +177,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     are judged by their own text. Items without an id or words take no part. No document or no item gives
     no match.
     """
-    texts = keyed(docs)
-    wins = cut(windows(items.where(F.col("item_id").isNotNull()), size), "windows")
-    phrases = phrases_of(wins)
-    terms = cut(phrases.select(F.explode("phrase").alias("word")).distinct(), "terms")
-    rarest = cut(rarest_terms(phrases, cut(term_counts(texts, terms), "counts")), "rarest")
-    postings = index(texts, rarest.select("word").distinct())
-    found = exact_matches(texts, phrase_starts(postings, rarest), phrases)
-    hits = F.coalesce("hits", F.array().cast(found.schema["hits"].dataType))
-    judged = cut(
-        found.select(
-            "own_id", *KEY, "n_words", covered(hits).alias("n_hit"), F.array_distinct(F.transform(hits, lambda h: h["phrase_id"])).alias("phrases")
-        ),
-        "judged",
-    )
-    owners = cut(wins.join(phrases, "phrase").select("phrase_id", "item_id").distinct(), "owners")
+    judged, owners = judge(keyed(docs), items, size, share)
     of_doc = (
         judged.where("n_hit > 0")
         .select(*KEY, F.explode("phrases").alias("phrase_id"))
@@ -183,5 +191,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
         "n_hit",
         F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "contaminated",
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    judged, _ = judge(keyed(docs), items, size, share)
+    bad = cut(judged.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("copy").alias("bad_copy")).distinct(), "contaminated")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == bad["bad_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["bad_copy"])
+    return docs.join(bad, same, "left_anti")
