@@ -99,6 +99,20 @@ def map_arrow(df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, for whose texts ``keep`` says so."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            plain = batch.set_column(at, "text", batch.column(at).cast(pa.string()))
+            for part in slices(plain, "text"):
+                yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Forest:
     """Union-find over integers; ``edges`` spans what was joined."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.llm.common import bytes_of, cut, map_arrow, slices
+from aislewise.llm.common import bytes_of, cut, kept_rows, map_arrow, slices
 from aislewise.llm.sampling import labelled
 from aislewise.llm.tokens import mix, tokenize
 
@@ -103,14 +103,18 @@ def fit(rows: DataFrame) -> Model:
     return Model(weights.astype(np.float32), float(sum(s * r.bias for s, r in zip(share, found, strict=True))))
 
 
+def probabilities(texts: pa.Array, model: Model) -> np.ndarray:
+    x = vectors(*bytes_of(texts))
+    rows = np.repeat(np.arange(len(texts)), np.diff(x.at))
+    margin = np.bincount(rows, model.weights[x.slot] * x.value, len(texts)) + model.bias
+    return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``(doc_id, score, predicted)`` of every row. A null or empty text has the score of the bias alone."""
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = vectors(*bytes_of(batch.column(1)))
-        rows = np.repeat(np.arange(batch.num_rows), np.diff(x.at))
-        margin = np.bincount(rows, model.weights[x.slot] * x.value, batch.num_rows) + model.bias
-        p = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+        p = probabilities(batch.column(1), model)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"]
         )
@@ -122,3 +126,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 def grade(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = 0.7, max_rows: int = MAX_ROWS) -> DataFrame:
     """Train on at most ``max_rows`` usable labelled documents and score every row of ``docs``."""
     return score(docs, fit(labelled(docs, labels, "quality", usable, max_rows)), threshold)
+
+
+def good(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = 0.7, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``threshold``."""
+    model = fit(labelled(docs, labels, "quality", usable, max_rows))
+    return kept_rows(docs, lambda texts: probabilities(texts, model) >= threshold)

@@ -159,3 +159,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_column: str = "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
         (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"),
     )
+
+
+def representatives(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay when one document of each group does.
+
+    The smallest id of a group stays. Of rows that repeat an id one stays; rows without an id all stay.
+    """
+    kept = near_duplicates(docs, words).where("kept and doc_id is not null").groupBy("doc_id").count()
+    kept = cut(kept.select(F.col("doc_id").alias("kept_id"), F.col("count").alias("kept_rows")), "kept")
+    same = docs["doc_id"].cast("long") == kept["kept_id"]
+    once = docs.join(kept.where("kept_rows = 1"), same, "left_semi")
+    repeated = kept.where("kept_rows > 1")
+    if not repeated.isEmpty():
+        once = once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    return once.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.llm.common import bytes_of, cut, map_arrow, slices
+from aislewise.llm.common import bytes_of, cut, kept_rows, map_arrow, slices
 from aislewise.llm.sampling import labelled
 from aislewise.llm.tokens import Tokens, mix, tokenize
 
@@ -263,8 +263,7 @@ def score(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
         data, offsets = bytes_of(batch.column(1))
         tokens = tokenize(data, offsets, PREFIXES)
         p = marginals(field, tokens)
-        best = np.zeros(batch.num_rows)
-        np.maximum.at(best, tokens.doc, p)
+        best = largest(tokens, p, batch.num_rows)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(best), pa.array((best >= threshold).astype(np.int32)), pa.array(spans(data, offsets, tokens, p, threshold), SPANS)],
             ["doc_id", "score", "predicted", "spans"],
@@ -274,6 +273,13 @@ def score(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
     return map_arrow(rows, part, "doc_id long, score double, predicted int, spans array<struct<start:long,end:long,p:double>>", "text")
 
 
+def largest(tokens: Tokens, p: np.ndarray, n: int) -> np.ndarray:
+    """Largest marginal of each of ``n`` texts, 0 without tokens."""
+    best = np.zeros(n)
+    np.maximum.at(best, tokens.doc, p)
+    return best
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
 
@@ -297,3 +303,14 @@ def spans(data: np.ndarray, offsets: np.ndarray, tokens: Tokens, p: np.ndarray,
 def tag(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
     """Train on at most ``max_rows`` usable labelled documents and score every row of ``docs``."""
     return score(docs, fit(labelled(docs, labels, "toxic", usable, max_rows)), threshold)
+
+
+def harmless(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    field = fit(labelled(docs, labels, "toxic", usable, max_rows))
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        tokens = tokenize(*bytes_of(texts), PREFIXES)
+        return largest(tokens, marginals(field, tokens), len(texts)) < threshold
+
+    return kept_rows(docs, keep)
