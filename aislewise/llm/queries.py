@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.llm import decontaminate, pieces, quality, simhash, toxicity
+from aislewise.llm import decontaminate, lengths, pieces, quality, simhash, toxicity, warc
 from aislewise.llm.common import table
 from aislewise.llm.sampling import remainder
 
 
+def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.suffix_sums(lengths.histogram(lengths.token_lengths(table(spark, sf_dir, "documents"))))
+
+
 def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -27,10 +31,37 @@ def op8_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "spans")
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicated(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
 def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_anchors, op6_positional_index, op7_quality_ftrl, op8_toxic_spans, op10_nbest_pieces)}
-
-ORACLE: dict[str, str] = {}
+_OPERATORS = (
+    op2_length_histogram,
+    op3_simhash_anchors,
+    op6_positional_index,
+    op7_quality_ftrl,
+    op8_toxic_spans,
+    op9_warc_revisits,
+    op10_nbest_pieces,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+
+ORACLE = {
+    "op9_warc_revisits": """
+        WITH p AS (
+            SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (SELECT payload_digest, min(page_id) AS source FROM p GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 100 AND page_id > source THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id > source THEN source END AS refers_to,
+            replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS url
+        FROM p JOIN f USING (payload_digest)
+    """,
+}
