@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.llm import decontaminate, lengths, pieces, quality, simhash, toxicity, warc
+from aislewise.llm import decontaminate, embeddings, lengths, pieces, quality, simhash, toxicity, warc
 from aislewise.llm.common import table
 from aislewise.llm.sampling import remainder
 
@@ -17,6 +17,10 @@ def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,7 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OPERATORS = (
     op2_length_histogram,
     op3_simhash_anchors,
+    op5_rotation_codes,
     op6_positional_index,
     op7_quality_ftrl,
     op8_toxic_spans,
