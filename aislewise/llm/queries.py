@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.llm import decontaminate, embeddings, lengths, pieces, quality, simhash, toxicity, warc
+from aislewise.llm import decontaminate, embeddings, html_text, lengths, licenses, pieces, quality, simhash, toxicity, warc
 from aislewise.llm.common import table
 from aislewise.llm.sampling import remainder
 
 
+def op1_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(lengths.token_lengths(table(spark, sf_dir, "documents"))))
 
@@ -17,6 +21,10 @@ def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -46,8 +54,10 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OPERATORS = (
+    op1_best_region,
     op2_length_histogram,
     op3_simhash_anchors,
+    op4_conditional_compression,
     op5_rotation_codes,
     op6_positional_index,
     op7_quality_ftrl,
