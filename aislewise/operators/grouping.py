@@ -112,7 +112,7 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
 
 def rows_of_top_keys(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """All rows of the ``n`` keys with the largest total."""
-    return df.join(F.broadcast(top_n(df, key, value, n)), key, "left_semi")
+    return df.join(top_n(df, key, value, n), key, "left_semi")
 
 
 def distinct_list(df: DataFrame, column: str, alias: str, separator: str = ", ") -> DataFrame:
@@ -120,10 +120,6 @@ def distinct_list(df: DataFrame, column: str, alias: str, separator: str = ", ")
     return df.agg(F.array_join(F.array_sort(F.collect_set(column)), separator).alias(alias))
 
 
-# Most periods a report may have; quarters or months of a panel stay far below it.
-MAX_PERIODS = 4096
-
-
 def ordered_positions(df: DataFrame, column: str, alias: str) -> DataFrame:
     """Number the distinct values of a period column from 1.
 
@@ -150,15 +146,14 @@ def rolling_periods(
 
     The reporting grid (every key in every period) is never built. A fact row is repeated under the
     periods whose window covers it, at most ``span`` of them, and summed there; grid cells whose window
-    holds no fact would be NULL and are dropped by the reports anyway. The period list is broadcast; a list
-    too long to be one of periods stops the query.
+    holds no fact would be NULL and are dropped by the reports anyway. Spark broadcasts a short period list
+    by itself.
     """
     numbered = ordered_positions(periods, period, "__at")
-    newest = F.max("__at")
-    last = scalar(numbered, F.when(newest > MAX_PERIODS, F.raise_error(F.lit("too many periods"))).otherwise(newest))
-    placed = facts.join(F.broadcast(numbered), period)
+    last = scalar(numbered, F.max("__at"))
+    placed = facts.join(numbered, period)
     spread = placed.withColumn(
         "__at", F.explode(F.sequence(F.col("__at"), F.least(F.col("__at") + span - 1, last)))
     ).drop(period)
     sums = spread.groupBy(*keys, "__at").agg(*[F.sum(src).alias(out) for out, src in values.items()])
-    return sums.join(F.broadcast(numbered), "__at").drop("__at")
+    return sums.join(numbered, "__at").drop("__at")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -97,10 +99,15 @@ def schema_change(previous: T.StructType, current: T.StructType) -> tuple[str, l
 
 
 def next_version(name: str, kind: str) -> str:
-    """Table name of the next release: the ``__dmv__NNN`` number grows with every major change."""
-    stem, _, number = name.partition("__dmv__")
-    current = int(number) if number else 0
-    return f"{stem}__dmv__{current + (kind == 'major'):03d}"
+    """Table name of the next release: the ``__vNNN`` number grows with every major change."""
+    stem, version, _ = release_of(name)
+    return f"{stem}__v{version + (kind == 'major'):03d}"
+
+
+def release_of(name: str) -> tuple[str, int, int]:
+    """Stem, version and revision of a table name; ``mart__v002_r0005`` is the sixth table of its third layout."""
+    found = re.fullmatch(r"(.*?)(?:__v(\d+)(?:_r(\d+))?)?", name)
+    return found[1], int(found[2] or 0), int(found[3] or 0)
 
 
 def schema_change_report(previous: DataFrame, current: DataFrame) -> DataFrame:

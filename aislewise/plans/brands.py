@@ -12,9 +12,8 @@ from aislewise.functions.measures import ratio
 from aislewise.functions.predicates import page_filter
 from aislewise.operators.calendar_join import interval_join
 from aislewise.operators.grouping import label_others, last_periods, rolling_periods, top_ranked
-from aislewise.sources.calendars import fiscal_quarters
+from aislewise.sources.calendars import fiscal_quarter_of
 
-ROW_LIMIT = 25001
 QUARTERS_SHOWN = 17
 TOP_SHOWN = 15
 FOCUS_WEIGHT = 10000000
@@ -26,15 +25,14 @@ def quarter_of(fiscal_year: Column, fiscal_qtr: Column) -> Column:
 
 
 def with_fiscal_quarter(items: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
-    """Add ``fiscal_year`` and ``fiscal_qtr`` of the interval that holds the order date."""
-    generated = calendar is None
-    calendar = fiscal_quarters(items.sparkSession) if generated else calendar
+    """Add ``fiscal_year`` and ``fiscal_qtr`` of the order date: by rule, or of the interval of a given calendar."""
+    if calendar is None:
+        year, quarter = fiscal_quarter_of(F.col("order_date"))
+        return items.withColumns({"fiscal_qtr": quarter, "fiscal_year": year})
     named = calendar.select(
         F.col("qtr").alias("fiscal_qtr"), F.col("year").cast("string").alias("fiscal_year"), "start_date", "end_date"
     )
-    return interval_join(items, named, "order_date", "start_date", "end_date", small=generated).drop(
-        "start_date", "end_date"
-    )
+    return interval_join(items, named, "order_date", "start_date", "end_date").drop("start_date", "end_date")
 
 
 def quarterly_report(items: DataFrame) -> DataFrame:
@@ -124,12 +122,12 @@ def _chart(
     """Share per quarter of the top names, everything else pooled.
 
     Names are ranked over the whole source; quarters and page choices narrow only what is shown. The
-    source is first summed to what the chart can distinguish, and those rows feed all later steps.
+    source is first summed to what the chart can distinguish; the later steps share that aggregate's exchange.
     """
     dims = list(dict.fromkeys([name, "quarter", *choices]))
-    small = source.groupBy(*dims).agg(F.sum(value).alias("__value")).persist()
+    small = source.groupBy(*dims).agg(F.sum(value).alias("__value"))
     kept = top_ranked(small, name, weight, top)
-    shown_quarters = F.broadcast(last_periods(small, "quarter", quarters))
+    shown_quarters = last_periods(small, "quarter", quarters)
     shown = page_filter(small, choices).join(shown_quarters, "quarter", "left_semi")
     named = label_others(shown, kept, name, other)
     by_quarter = named.groupBy(name, "quarter").agg(F.sum("__value").alias("__sum"))
@@ -144,7 +142,7 @@ def brand_chart(
     choices: Mapping[str, Sequence] | None = None,
     quarters: int = QUARTERS_SHOWN,
     top: int = TOP_SHOWN,
-    limit: int = ROW_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Share of the top brands per quarter; brands outside the top are pooled.
 
@@ -154,7 +152,7 @@ def brand_chart(
     chart = _chart(
         source, "clean_brand", "rolling_merchant_gmv", F.sum("__value"), labels.OTHER_BRANDS, choices or {}, quarters, top
     )
-    return (
+    rows = (
         chart.select(
             F.col("clean_brand").alias("brand_name"),
             F.col("__name_total").alias("brand_total_gmv"),
@@ -162,8 +160,8 @@ def brand_chart(
             ratio(F.col("__sum"), F.col("__quarter_total")).alias("brand_share"),
         )
         .orderBy("brand_total_gmv", "brand_name", "quarter")
-        .limit(limit)
     )
+    return rows if limit is None else rows.limit(limit)
 
 
 def _focus_weight(focus: str) -> Column:
@@ -179,14 +177,14 @@ def competitor_share(
     choices: Mapping[str, Sequence] | None = None,
     quarters: int = QUARTERS_SHOWN,
     top: int = TOP_SHOWN,
-    limit: int = ROW_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Rolling market share of the top retailers per quarter, the focus retailer always among them."""
     source = page_filter(base, source_choices or {})
     chart = _chart(
         source, "merchant", "gmv", _focus_weight(focus), labels.OTHER_RETAILERS, choices or {}, quarters, top
     )
-    return (
+    rows = (
         chart.select(
             F.col("merchant").alias("retailer_name"),
             F.col("__name_total").alias("retailer_total_gmv"),
@@ -194,8 +192,8 @@ def competitor_share(
             ratio(F.col("__sum"), F.col("__quarter_total")).alias("market_share"),
         )
         .orderBy("retailer_total_gmv", "retailer_name", "quarter")
-        .limit(limit)
     )
+    return rows if limit is None else rows.limit(limit)
 
 
 def scorecard(

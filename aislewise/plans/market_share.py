@@ -13,7 +13,7 @@ from aislewise.functions.measures import implied_units, metric
 from aislewise.functions.periods import DISPLAY_INTERVALS, end_of, floor_to
 from aislewise.operators.densify import fill_months, running_totals, trailing_from_totals
 from aislewise.operators.grouping import ITEM_METRICS, hier_agg, largest, scalar
-from aislewise.sources.calendars import month_start, retail_days, retail_months
+from aislewise.sources.calendars import month_start, retail_month_columns, retail_month_number, retail_month_of
 
 KEYS = (
     "channel", "parent_brand", "brand", "sub_brand", "merchant", "major_cat", "sub_cat", "minor_cat",
@@ -72,9 +72,7 @@ def _monthly_series(
     """Observed monthly metrics per key from ``first`` on, and the last month of the whole table."""
     keyed = _share_keys(items, attribute, name_missing, name_missing_merchant)
     if calendar == "454":
-        days = F.broadcast(retail_days(items.sparkSession).select("cal_day", "retail_month_for_trailing"))
-        dated = keyed.join(days, F.col("order_date") == F.col("cal_day"), "left")
-        dated = dated.withColumn("date", F.col("retail_month_for_trailing"))
+        dated = keyed.withColumn("date", retail_month_of(F.col("order_date")))
     else:
         dated = keyed.withColumn("date", floor_to("month", F.col("order_date")))
     monthly = hier_agg(dated, ["date", *KEYS])
@@ -114,21 +112,14 @@ def market_share(
     trailing = trailing_from_totals(dense, KEYS, "date", summed, may_be_null=["units"])
     date = F.col("date")
     if calendar == "454":
-        months = retail_months(items.sparkSession)
         reach = F.add_months(last, -11)
-        seen = months.filter(F.col("retail_month_for_trailing") <= last).filter(
-            F.col("retail_month_for_trailing") >= (reach if first is None else F.greatest(reach, F.lit(first)))
-        )
-        named = months.withColumnsRenamed(
-            {c: c.replace("retail_", "") for c in months.columns if c != "retail_month_for_trailing"}
-        ).withColumnsRenamed({"month_number": "month", "quarter_rank": "quarter"})
-        dated = trailing.join(F.broadcast(named), date == F.col("retail_month_for_trailing"), "left")
-        dated = dated.withColumns(
-            {
-                "max_month": scalar(seen, F.max("retail_month_number")),
-                "max_quarter": scalar(seen, F.max("retail_quarter_rank")),
-                "max_date": last,
-            }
+        since = retail_month_number(reach if first is None else F.greatest(reach, F.lit(first)))
+        # Months that pass a year's end hold its last one.
+        newest = F.when(since > retail_month_number(last), 12).otherwise(retail_month_number(last))
+        named = {"retail_month_number": "month", "retail_quarter_rank": "quarter"}
+        dated = trailing.withColumns(
+            {named.get(name, name.replace("retail_", "")): c for name, c in retail_month_columns(date).items()}
+            | {"max_month": newest, "max_quarter": F.ceil(newest / 3).cast("int"), "max_date": last}
         )
     else:
         dated = trailing.withColumns(

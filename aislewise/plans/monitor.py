@@ -11,56 +11,50 @@ from aislewise.functions.periods import moment
 from aislewise.operators.grouping import latest_by
 
 
-def runs(log: DataFrame, job: str = "run_everything") -> DataFrame:
+def runs(log: DataFrame, job: str) -> DataFrame:
     """Runs of a job with the client taken from the first argument."""
     return log.filter(F.col("name").startswith(job)).withColumn("demo_name", F.get_json_object("args", "$[0]"))
 
 
-def latest_runs(log: DataFrame, since=None) -> DataFrame:
+def latest_runs(log: DataFrame, job: str, since=None) -> DataFrame:
     """Newest run per client."""
-    found = runs(log)
+    found = runs(log, job)
     if since is not None:
         found = found.filter(F.col("end_timestamp") > moment(since, log.schema["end_timestamp"].dataType))
     return latest_by(found, ["demo_name"], ["end_timestamp", "run_id"], ["user", "error"])
 
 
 def _status(runs_count: Column, errors: Column, last_error: Column) -> Column:
-    clean = last_error.isNull()
-    return (
-        F.when(clean & (runs_count > 1) & (errors > 0), "fixed")
-        .when(clean & (runs_count > 0), "success")
-        .when(clean & runs_count.isNull(), "needs_run")
-        .otherwise("needs_fix")
-    )
+    """Verdict on a client's month: what happened, and whether the newest attempt went well."""
+    ran = F.coalesce(runs_count, F.lit(0)) > 0
+    recovered = F.coalesce(errors, F.lit(0)) > 0
+    good = F.when(recovered, "fixed").otherwise("success")
+    return F.when(~ran, "needs_run").otherwise(F.when(last_error.isNull(), good).otherwise("needs_fix"))
 
 
-def _in_month(log: DataFrame, month: dt.date) -> DataFrame:
+def _in_month(log: DataFrame, job: str, month: dt.date) -> DataFrame:
     first = month.replace(day=1)
     following = (first + dt.timedelta(days=32)).replace(day=1)
     stamp = log.schema["end_timestamp"].dataType
-    return runs(log).filter(
+    return runs(log, job).filter(
         (F.col("end_timestamp") >= F.lit(first).cast(stamp)) & (F.col("end_timestamp") < F.lit(following).cast(stamp))
     )
 
 
-def run_status(log: DataFrame, clients: DataFrame, month: dt.date, pack_limit: int = 1000) -> DataFrame:
-    """Per client: attempts in the month, last error, verdict and last run without error.
+def run_status(log: DataFrame, clients: DataFrame, job: str, month: dt.date) -> DataFrame:
+    """Per client: number, first and last of the attempts in the month, last error, verdict and last run without error.
 
-    ``attempt_timestamps`` is packed for clients with at most ``pack_limit`` attempts, so that no array
-    grows without bound; :func:`run_attempts` lists the attempts of every client as rows.
+    The attempts themselves are rows of :func:`run_attempts`, for every client.
     """
-    base = _in_month(log, month)
     newest = F.max_by(F.struct("user", "error"), F.struct("end_timestamp", "run_id"))
-    summary = base.groupBy("demo_name").agg(
-        newest.alias("__last"), F.count(F.lit(1)).alias("runs_count"), F.count("error").alias("runs_with_error")
-    )
-    few = summary.filter(F.col("runs_count") <= pack_limit).select("demo_name")
-    attempts = (
-        base.join(few, "demo_name", "left_semi")
-        .groupBy("demo_name")
-        .agg(F.array_sort(F.collect_list("end_timestamp")).alias("attempt_timestamps"))
+    summary = _in_month(log, job, month).groupBy("demo_name").agg(
+        newest.alias("__last"),
+        F.count(F.lit(1)).alias("runs_count"),
+        F.count("error").alias("runs_with_error"),
+        F.min("end_timestamp").alias("first_attempt"),
+        F.max("end_timestamp").alias("last_attempt"),
     )
-    succeeded = runs(log).filter(F.col("error").isNull()).groupBy("demo_name").agg(
+    succeeded = runs(log, job).filter(F.col("error").isNull()).groupBy("demo_name").agg(
         F.max("end_timestamp").alias("last_successful_run")
     )
     last_error = F.col("__last.error")
@@ -68,11 +62,11 @@ def run_status(log: DataFrame, clients: DataFrame, month: dt.date, pack_limit: i
     return (
         clients.join(succeeded, "demo_name", "left")
         .join(summary, "demo_name", "left")
-        .join(attempts, "demo_name", "left")
         .select(
             F.col("demo_name").alias("args"),
             F.col("__last.user").alias("user"),
-            "attempt_timestamps",
+            "first_attempt",
+            "last_attempt",
             "runs_count",
             "runs_with_error",
             _status(F.col("runs_count"), F.col("runs_with_error"), last_error).alias("status"),
@@ -83,9 +77,9 @@ def run_status(log: DataFrame, clients: DataFrame, month: dt.date, pack_limit: i
     )
 
 
-def run_attempts(log: DataFrame, month: dt.date) -> DataFrame:
+def run_attempts(log: DataFrame, job: str, month: dt.date) -> DataFrame:
     """All attempts of a month, one row each."""
-    return _in_month(log, month).select(F.col("demo_name").alias("args"), "end_timestamp", "user", "error")
+    return _in_month(log, job, month).select(F.col("demo_name").alias("args"), "end_timestamp", "user", "error")
 
 
 def runs_per_hour(log: DataFrame, start: dt.datetime) -> DataFrame:

@@ -179,14 +179,13 @@ def band_share_merchant(
     min_median: float = MIN_MEDIAN_SAMPLE,
 ) -> DataFrame:
     """Rolling four-quarter share of each merchant inside one price band, merchants beyond the top pooled."""
-    banded = _banded(charts, start, step, choices, min_sample).persist()
+    banded = _banded(charts, start, step, choices, min_sample)
     wanted = dict(zip("ABCDE", labels.price_band_labels(start, step))).get(band[0], labels.price_band_labels(start, step)[4])
     segment = (
         _rolled(banded, quarters)
         .filter(F.col("price_band") == wanted)
         .groupBy("quarter", F.col("merchant").alias("final_name"))
         .agg(F.sum("rolling_merchant_gmv").alias("segment_gmv"))
-        .persist()
     )
     kept = top_n(segment, "final_name", "segment_gmv", top)
     totals = segment.groupBy("quarter").agg(F.sum("segment_gmv").alias("total_gmv"))
@@ -215,7 +214,7 @@ def band_share(
     min_median: float = MIN_MEDIAN_SAMPLE,
 ) -> DataFrame:
     """Rolling four-quarter share of each price band."""
-    banded = _banded(charts, start, step, choices, min_sample).persist()
+    banded = _banded(charts, start, step, choices, min_sample)
     segment = _rolled(banded, quarters).groupBy("quarter", "price_band").agg(
         F.sum("rolling_merchant_gmv").alias("segment_gmv")
     )
@@ -242,7 +241,7 @@ def band_export(
     min_median: float = MIN_MEDIAN_SAMPLE,
 ) -> DataFrame:
     """Rolling gmv per quarter, channel, category, retailer and band, as exported from the page."""
-    banded = _banded(charts, start, step, choices, min_sample).persist()
+    banded = _banded(charts, start, step, choices, min_sample)
     rows = (
         _rolled(banded, quarters)
         .filter(_quarter_range("quarter", first_quarter, last_quarter))

@@ -13,6 +13,7 @@ from aislewise.operators.grouping import hier_agg, null_safe_join
 from aislewise.plans.brands import with_fiscal_quarter
 from aislewise.registry import sql
 from aislewise.registry.common import at, tidy
+from aislewise.sources.calendars import fiscal_quarters
 from aislewise.sources.items import ITEM_COLUMNS, filter_items
 
 LINE = ["order_id", "line_number"]
@@ -98,7 +99,8 @@ def brand_any_level(spark, sf_dir):
 
 def fiscal_range_join(spark, sf_dir):
     items = filter_items(at(spark, sf_dir), [*LINE, "order_date"])
-    return with_fiscal_quarter(items)
+    years = items.agg(F.min(F.year("order_date")), F.max(F.year("order_date"))).first()
+    return with_fiscal_quarter(items, fiscal_quarters(spark, years[0] - 1, years[1]))
 
 
 def null_safe(spark, sf_dir):

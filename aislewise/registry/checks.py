@@ -13,10 +13,10 @@ from aislewise.plans import monitor
 from aislewise.registry import sql
 from aislewise.registry.common import at, tidy
 from aislewise.sources import inputs
-from aislewise.sources.calendars import retail_days
+from aislewise.sources.calendars import retail_month_columns, retail_month_of
 from aislewise.sources.client_config import client_config, read_config_csv
 from aislewise.sources.items import filter_items
-from aislewise.sources.sinks import materialize, shared_folder
+from aislewise.sources.sinks import copy_files, warehouse_folder
 
 DQ_COLUMNS = ["order_date", "brand", "parent_brand", "merchant", "item_price", "item_quantity", "gmv", "user_id", "order_id",
               "product_id", "web_description", "finish"]
@@ -232,7 +232,7 @@ def null_type_repair(spark, sf_dir):
 def copy_check(spark, sf_dir):
     """Orders copied to shared storage and counted on both sides."""
     orders = at(spark, sf_dir)("orders")
-    copy = materialize(orders, "orders_copy")
+    copy = copy_files(orders, "orders_copy")
     counts = orders.agg(F.count(F.lit(1)).alias("source_rows"))
     return counts.withColumn("target_rows", copy.agg(F.count(F.lit(1))).scalar()).withColumn(
         "match", F.col("source_rows") == F.col("target_rows")
@@ -244,22 +244,15 @@ MONTH = dt.date(2024, 1, 15)
 
 def run_status(spark, sf_dir):
     t = at(spark, sf_dir)
-    status = monitor.run_status(inputs.run_log(t), inputs.log_clients(t), MONTH)
-    attempts = F.col("attempt_timestamps")
-    return status.withColumns(
-        {
-            "first_attempt": F.get(attempts, F.lit(0)), "last_attempt": F.element_at(attempts, -1),
-            "attempts_packed": F.size(attempts),
-        }
-    ).drop("attempt_timestamps")
+    return monitor.run_status(inputs.run_log(t), inputs.log_clients(t), inputs.JOB, MONTH)
 
 
 def run_attempts(spark, sf_dir):
-    return monitor.run_attempts(inputs.run_log(at(spark, sf_dir)), MONTH)
+    return monitor.run_attempts(inputs.run_log(at(spark, sf_dir)), inputs.JOB, MONTH)
 
 
 def latest_runs(spark, sf_dir):
-    return monitor.latest_runs(inputs.run_log(at(spark, sf_dir)), dt.datetime(2024, 1, 10))
+    return monitor.latest_runs(inputs.run_log(at(spark, sf_dir)), inputs.JOB, dt.datetime(2024, 1, 10))
 
 
 def runs_per_hour(spark, sf_dir):
@@ -305,21 +298,26 @@ def brand_ready(spark, sf_dir):
     return tidy(quality.brand_ready(filter_items(t, ["parent_brand", "brand", "gmv"]), expected))
 
 
+def _retail_dates(days):
+    """Order dates with their 4-5-4 month."""
+    dated = days.withColumnRenamed("order_date", "cal_day").withColumn("retail_month_for_trailing", retail_month_of(F.col("cal_day")))
+    columns = retail_month_columns(F.col("retail_month_for_trailing"))
+    return dated.withColumns({c: columns[c] for c in ("retail_month_start", "retail_month_end")})
+
+
 def calendar_check(spark, sf_dir):
     """4-5-4 months touched by orders and whether each maps to one trailing month."""
-    days = retail_days(spark).select("cal_day", "retail_month_start", "retail_month_for_trailing")
-    sold = filter_items(at(spark, sf_dir), ["order_date"]).join(F.broadcast(days), F.col("order_date") == F.col("cal_day"))
-    return quality.calendar_check(sold)
+    return quality.calendar_check(_retail_dates(filter_items(at(spark, sf_dir), ["order_date"]).distinct().where("order_date is not null")))
 
 
 def compare_calendars(spark, sf_dir):
-    """First sale per 4-5-4 month for two panels side by side."""
-    days = retail_days(spark).select("cal_day", "retail_month_start", "retail_month_end")
+    """First sale of each merchant per 4-5-4 month for the two panels side by side."""
     items = filter_items(at(spark, sf_dir), ["order_date", "merchant", "source"])
-    sold = items.join(F.broadcast(days), F.col("order_date") == F.col("cal_day"))
-    keys = ["retail_month_start", "retail_month_end"]
-    first = sold.filter((F.col("merchant") == "NATION_3") & (F.col("source") == "panel_b")).groupBy(*keys).agg(F.min("order_date").alias("date"))
-    second = sold.filter((F.col("merchant") == "NATION_9") & (F.col("source") == "panel_b")).groupBy(*keys).agg(F.min("order_date").alias("date"))
+    sold = _retail_dates(items.groupBy("order_date", "merchant", "source").agg(F.lit(1).alias("n")).where("order_date is not null"))
+    keys = ["merchant", "retail_month_start", "retail_month_end"]
+    first, second = (
+        sold.filter(F.col("source") == panel).groupBy(*keys).agg(F.min("cal_day").alias("date")) for panel in ("panel_a", "panel_b")
+    )
     return compare.side_by_side(first, second, keys, "date")
 
 
@@ -339,8 +337,8 @@ def client_configuration(spark, sf_dir):
 def csv_config(spark, sf_dir):
     """The form written as CSV under its long questions, read back and renamed."""
     form = inputs.config_form(at(spark, sf_dir))
-    question = "demo_name (lower case, no space, no version e.g..: shopname)"
-    target = f"{shared_folder(spark)}/config_csv"
+    question = "Short name of the client"
+    target = warehouse_folder(spark, "config_csv")
     form.withColumnsRenamed({"demo_name": question, "timestamp": "Timestamp"}).write.mode("overwrite").csv(
         target, header=True, escape='"'
     )
@@ -549,7 +547,7 @@ UNION ALL SELECT {_LINE}, count(*), 'only_second' FROM (SELECT * FROM second_row
     "numeric_stats": sql.with_(sql.ITEMS) + _rows([
         f"SELECT '{c}' AS \"column\", {_stat_columns(c)} FROM items" for c in ("item_price", "item_quantity", "gmv", "panel_flag")]),
     "compare_stats": sql.with_(sql.ITEMS) + _rows([
-        f"SELECT '{c}' AS \"column\", {_stat_columns(c)}, {_stat_columns(c, '_second', chr(99) + 'hannel = ' + repr('ONLINE'))}, "
+        f"SELECT '{c}' AS \"column\", {_stat_columns(c)}, {_stat_columns(c, '_second', "channel = 'ONLINE'")}, "
         "FALSE AS stats_match FROM items" for c in ("item_price", "item_quantity", "gmv")]),
     "changes_table": sql.with_(*_RELEASES) + """SELECT o_orderkey, coalesce(n.o_custkey, p.o_custkey) AS o_custkey,
        coalesce(n.o_orderstatus, p.o_orderstatus) AS o_orderstatus, coalesce(n.o_totalprice, p.o_totalprice) AS o_totalprice,
@@ -564,7 +562,8 @@ WHERE p.o_custkey IS NULL OR n.o_custkey IS NULL
 FROM history WHERE publication_timestamp <= DATE '{day}') WHERE rn = 1""" for name, day in (("between", "2024-01-15"), ("after", "2024-02-15"))]),
     "null_type_repair": sql.with_(sql.ITEMS) + """SELECT brand, CAST(sum(gmv) AS DOUBLE) AS gmv, CAST(NULL AS VARCHAR) AS gender,
        CAST(NULL AS VARCHAR) AS product_attributes FROM items GROUP BY brand""",
-    "copy_check": "SELECT count(*) AS source_rows, count(*) AS target_rows, TRUE AS match FROM orders",
+    "copy_check": """SELECT (SELECT count(*) FROM orders) AS source_rows, (SELECT count(o_orderkey) FROM orders) AS target_rows,
+       (SELECT count(*) FROM orders) = (SELECT count(o_orderkey) FROM orders) AS match""",
     "run_status": sql.with_(_LOG, """summary AS (SELECT demo_name, count(*) AS runs_count, count(error) AS runs_with_error,
          min(end_timestamp) AS first_attempt, max(end_timestamp) AS last_attempt,
          arg_max("user", (end_timestamp, run_id)) AS "user" FROM log WHERE end_timestamp >= '2024-01-01' AND end_timestamp < '2024-02-01'
@@ -574,12 +573,10 @@ FROM history WHERE publication_timestamp <= DATE '{day}') WHERE rn = 1""" for na
         """clients AS (SELECT 'client_' || json_extract_string(props, '$.k') AS demo_name,
          CASE WHEN sum(value) >= 2500 THEN 'Monthly' ELSE 'Quarterly' END AS frequency FROM events GROUP BY 1)""")
     + """SELECT c.demo_name AS args, "user", runs_count, runs_with_error,
-       CASE WHEN error IS NULL AND runs_count > 1 AND runs_with_error > 0 THEN 'fixed' WHEN error IS NULL AND runs_count > 0 THEN 'success'
-            WHEN error IS NULL AND runs_count IS NULL THEN 'needs_run' ELSE 'needs_fix' END AS status,
+       CASE WHEN runs_count IS NULL THEN 'needs_run' WHEN error IS NOT NULL THEN 'needs_fix'
+            ELSE if(runs_with_error = 0, 'success', 'fixed') END AS status,
        left(error, 200) || CASE WHEN length(error) > 200 THEN '...' ELSE '' END AS error, last_successful_run, frequency,
-       CASE WHEN runs_count <= 1000 THEN first_attempt END AS first_attempt,
-       CASE WHEN runs_count <= 1000 THEN last_attempt END AS last_attempt,
-       CASE WHEN runs_count <= 1000 THEN CAST(runs_count AS INTEGER) END AS attempts_packed
+       first_attempt, last_attempt
 FROM clients c LEFT JOIN good USING (demo_name) LEFT JOIN summary USING (demo_name) LEFT JOIN last_error USING (demo_name)""",
     "run_attempts": sql.with_(_LOG) + """SELECT demo_name AS args, end_timestamp, "user", error FROM log
 WHERE end_timestamp >= '2024-01-01' AND end_timestamp < '2024-02-01'""",
@@ -604,11 +601,11 @@ FROM supplier LEFT JOIN (SELECT coalesce(parent_brand, brand) AS b, sum(gmv) AS
        count(DISTINCT retail_month_for_trailing) > 1 AS calendar_issue
 FROM items JOIN retail_days ON order_date = cal_day GROUP BY retail_month_start""",
     "compare_calendars": sql.with_(sql.ITEMS, sql.RETAIL_CALENDAR,
-        "sold AS (SELECT merchant, order_date, retail_month_start, retail_month_end FROM items JOIN retail_days ON order_date = cal_day WHERE source = 'panel_b')",
-        "a AS (SELECT retail_month_start, retail_month_end, min(order_date) AS first_date FROM sold WHERE merchant = 'NATION_3' GROUP BY ALL)",
-        "b AS (SELECT retail_month_start, retail_month_end, min(order_date) AS second_date FROM sold WHERE merchant = 'NATION_9' GROUP BY ALL)")
-    + """SELECT retail_month_start, retail_month_end, first_date, second_date, CAST(first_date - second_date AS INTEGER) AS date_difference_days
-FROM a FULL JOIN b USING (retail_month_start, retail_month_end)""",
+        """sold AS (SELECT merchant, source, retail_month_start, retail_month_end, min(order_date) AS day
+         FROM items JOIN retail_days ON order_date = cal_day GROUP BY ALL)""")
+    + """SELECT merchant, retail_month_start, retail_month_end, first_date, second_date, CAST(first_date - second_date AS INTEGER) AS date_difference_days
+FROM (SELECT merchant, retail_month_start, retail_month_end, min(CASE WHEN source = 'panel_a' THEN day END) AS first_date,
+             min(CASE WHEN source = 'panel_b' THEN day END) AS second_date FROM sold GROUP BY ALL)""",
     "client_config": sql.with_(_FORM) + f"""SELECT demo_name, "timestamp", prod_schema, brands_display, start_date_of_data, packages,
        prod_schema = 'prospects_gold' AS is_prospect, {_has('Market Share')} AS market_share, {_has('Shopper Insights')} AS shopper_insights,
        {_has('Pro')} AS pro_module, {_has('Pricing & Promo')} AS pricing_n_promo, o_custkey AS how_many_rows

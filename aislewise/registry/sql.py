@@ -45,7 +45,7 @@ MAPPING = """mapping AS (
 RETAIL_CALENDAR = """retail_starts AS (
   SELECT y, anchor + CAST(CASE WHEN d <= 3 THEN -d ELSE 7 - d END AS INTEGER) + 1 AS starts
   FROM (SELECT y, make_date(y, 1, 31) AS anchor, (dayofweek(make_date(y, 1, 31)) + 1) % 7 AS d
-        FROM (SELECT CAST(unnest(range(1990, 2037)) AS INTEGER) AS y))
+        FROM (SELECT CAST(unnest(range((SELECT year(min(o_orderdate)) - 1 FROM orders), (SELECT year(max(o_orderdate)) + 4 FROM orders))) AS INTEGER) AS y))
 ), retail_spans AS (
   SELECT y, starts, lead(starts) OVER (ORDER BY y) AS following FROM retail_starts
 ), retail_walk AS (
@@ -78,7 +78,7 @@ FISCAL = """fiscal AS (
          CAST(q + 1 AS VARCHAR) || 'Q' || substr(CAST(y AS VARCHAR), 3, 2) AS fiscal_qtr,
          CAST(make_date(y, 2, 1) + (3 * q) * INTERVAL 1 MONTH AS DATE) AS start_date,
          CAST(make_date(y, 2, 1) + (3 * q + 3) * INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS end_date
-  FROM (SELECT CAST(unnest(range(1990, 2036)) AS INTEGER) AS y), (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS q)
+  FROM (SELECT CAST(unnest(range((SELECT year(min(o_orderdate)) - 1 FROM orders), (SELECT year(max(o_orderdate)) + 2 FROM orders))) AS INTEGER) AS y), (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS q)
 )"""
 
 FISCAL_ITEMS = """fiscal_items AS (

@@ -100,12 +100,16 @@ def priced_items(tables: Tables) -> DataFrame:
     )
 
 
+# Name of the job in the derived run log.
+JOB = "monthly_marts"
+
+
 def run_log(tables: Tables) -> DataFrame:
     """Job runs as a telemetry table keeps them: arguments as a JSON array, error text or NULL."""
     key = F.get_json_object("props", "$.k")
     return tables("events").select(
         F.col("event_id").alias("run_id"),
-        F.lit("run_everything").alias("name"),
+        F.lit(JOB).alias("name"),
         F.concat(F.lit('["client_'), key, F.lit('"]')).alias("args"),
         F.col("ts").alias("end_timestamp"),
         F.col("user_id").alias("user"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 from fnmatch import fnmatchcase
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislewise.operators.quality import standardize_attributes, validate_attributes
-from aislewise.operators.schema import next_version, repair_null_types, schema_change
+from aislewise.operators.schema import next_version, release_of, repair_null_types, schema_change
 
 
 def table_name(schema: str, name: str) -> str:
@@ -43,21 +42,16 @@ def write_table(
     return full
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the session names, a temporary one where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="aislewise-")
+def warehouse_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the session's warehouse, which driver and executors share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate mart once and read it back.
-
-    For marts that several steps read. The files survive a lost executor, and each reader scans only the
-    columns it needs.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def copy_files(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to its own folder in the warehouse and return the copy."""
+    path = warehouse_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def stamped(df: DataFrame) -> DataFrame:
@@ -85,22 +79,22 @@ def provenance(spark: SparkSession, full_name: str) -> dict[str, str | None]:
     return {"version": properties.get("build.version"), "commit": properties.get("build.commit")}
 
 
-def compare_provenance(first: dict, second: dict) -> dict:
-    """Why two marts may differ: built by hand, by different commits, or on a calendar changed between."""
-    both = all(p["version"] and p["commit"] for p in (first, second))
-    same_commit = first["commit"] == second["commit"]
-    if not both:
-        cause = "a table was not built by this library"
-    elif not same_commit:
-        cause = "different commits"
-    else:
-        cause = "calendar changed between runs"
-    return {
-        "both_have_metadata": both,
-        "same_version": first["version"] == second["version"],
-        "same_commit": same_commit,
-        "likely_cause": cause,
-    }
+def provenance_differences(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
+    """``(property, values, tables_without)``: build properties in which some tables differ.
+
+    One row per property with its distinct values and the tables that lack it; tables built from one commit
+    of one version give no row.
+    """
+    found = [(name, key, value) for name in tables for key, value in provenance(spark, name).items()]
+    rows = spark.createDataFrame(found, "name string, property string, value string")
+    return (
+        rows.groupBy("property")
+        .agg(
+            F.array_sort(F.collect_set("value")).alias("values"),
+            F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.col("name")))).alias("tables_without"),
+        )
+        .where((F.size("values") > 1) | (F.size("tables_without") > 0))
+    )
 
 
 def publish_view(spark: SparkSession, view: str, full_name: str) -> None:
@@ -118,20 +112,23 @@ def create_as_select(spark: SparkSession, full_name: str, query: str) -> None:
 
 
 def publish_version(df: DataFrame, schema: str, name: str, variant_columns: Sequence[str] = ()) -> str:
-    """Write the next release of a table and move its view to it.
+    """Write the next release of a table beside the former ones, then move its view to it.
 
-    The ``__dmv__NNN`` number grows when a column was dropped or retyped, so readers of the old layout
-    keep their table.
+    The version grows when a column was dropped or retyped; any other release is a new revision of its
+    version. The table that the view shows is never written to, so readers see no gap and ``df`` may read it.
+    Former tables stay until someone drops them.
     """
     spark = df.sparkSession
-    versions = sorted(t.name for t in spark.catalog.listTables(schema) if t.name.startswith(f"{name.lower()}__dmv__"))
+    prefix = f"{name.lower()}__v"
+    former = sorted((release_of(t.name)[1:], t.name) for t in spark.catalog.listTables(schema) if t.name.startswith(prefix))
     repaired = repair_null_types(df, variant_columns)
-    if versions:
-        kind, _ = schema_change(spark.table(table_name(schema, versions[-1])).schema, repaired.schema)
-        target = next_version(versions[-1], kind)
-    else:
-        target = next_version(name, "same")
-    full = write_table(repaired, schema, target)
+    target, revision = next_version(name, "same"), 0
+    if former:
+        (version, last), newest = former[-1]
+        kind, _ = schema_change(spark.table(table_name(schema, newest)).schema, repaired.schema)
+        target = next_version(newest, kind)
+        revision = last + 1 if release_of(target)[1] == version else 0
+    full = write_table(repaired, schema, f"{target}_r{revision:04d}")
     publish_view(spark, table_name(schema, name), full)
     return full
 

@@ -22,22 +22,3 @@ class Tables:
         if self.folder is not None:
             return self.spark.read.parquet(f"{self.folder}/{self.prefix}{name}.parquet")
         return self.spark.table(f"{self.schema}.{self.prefix}{name}")
-
-
-# Bytes one input task should at least be worth before a small table is left as its files split it.
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute a table that is too small for its files to occupy every core.
-
-    A file with one row group is read by one task, and everything up to the next shuffle stays in it. The
-    size is the one Spark knows from the file listing; a table with enough bytes for all cores is left
-    alone, so no shuffle is added where it would cost.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # a remote session gives no access to plan statistics
-        return df
-    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df

@@ -13,7 +13,7 @@ from aislewise.operators import compare, publish, quality, schema
 from aislewise.operators.grouping import latest_per_key, with_group_totals
 from aislewise.sources import sinks
 from aislewise.sources.client_config import any_date, client_config, list_text, read_config_csv
-from aislewise.sources.tables import Tables, spread
+from aislewise.sources.tables import Tables
 
 
 @pytest.fixture()
@@ -90,9 +90,10 @@ def test_schema_versions(spark):
     assert kind("state string, gmv double, month date") == "minor"
     assert kind("state int, month date, gmv double") == "major"
     assert kind("state string, month date") == "major"
-    assert schema.next_version("geo__dmv__004", "major") == "geo__dmv__005"
-    assert schema.next_version("geo__dmv__004", "minor") == "geo__dmv__004"
-    assert schema.next_version("geo", "same") == "geo__dmv__000"
+    assert schema.next_version("geo__v004_r0002", "major") == "geo__v005"
+    assert schema.next_version("geo__v004", "minor") == "geo__v004"
+    assert schema.next_version("geo", "same") == "geo__v000"
+    assert schema.next_version("geo__v999_r0001", "major") == "geo__v1000"
 
 
 def test_schema_report_accepts_sized_decimals(spark):
@@ -148,17 +149,21 @@ def test_repair_copy_and_provenance(spark, store):
     assert sinks.copy_table(spark, full, store, "copied") == {"source_rows": 3, "target_rows": 3, "match": True}
     sinks.set_provenance(spark, full, "3.8", "it's")
     assert sinks.provenance(spark, full) == {"version": "3.8", "commit": "it's"}
-    verdict = sinks.compare_provenance(sinks.provenance(spark, full), sinks.provenance(spark, f"{store}.copied"))
-    assert verdict["likely_cause"] == "a table was not built by this library"
+    rows = {r["property"]: r for r in sinks.provenance_differences(spark, [full, f"{store}.copied"]).collect()}
+    assert rows["commit"].tables_without == [f"{store}.copied"] and rows["version"]["values"] == ["3.8"]
+    assert sinks.provenance_differences(spark, [full, full]).count() == 0
     with pytest.raises(Exception):
         sinks.write_table(df, store, "base", overwrite=False)
 
 
 def test_versions_and_views(spark, store):
     df = spark.range(2).withColumn("v", F.lit("a"))
-    assert sinks.publish_version(df, store, "mart").endswith("mart__dmv__000")
-    assert sinks.publish_version(df.withColumn("extra", F.lit(1)), store, "mart").endswith("__dmv__000")
-    assert sinks.publish_version(df.select("id"), store, "mart").endswith("__dmv__001")
+    assert sinks.publish_version(df, store, "mart").endswith("mart__v000_r0000")
+    # A release may read the view it replaces.
+    wider = spark.table(f"{store}.mart").withColumn("extra", F.lit(1))
+    assert sinks.publish_version(wider, store, "mart").endswith("__v000_r0001")
+    assert spark.table(f"{store}.mart__v000_r0000").columns == ["id", "v"]
+    assert sinks.publish_version(df.select("id"), store, "mart").endswith("__v001_r0000")
     assert spark.table(f"{store}.mart").columns == ["id"]
     sinks.publish_temp_view(df, "shown_rows")
     sinks.create_as_select(spark, f"{store}.chosen", "SELECT id FROM shown_rows")
@@ -187,12 +192,3 @@ def test_bulk_attribute_fix_reports_before_it_writes(spark, store):
     sinks.standardize_tables(spark, [store], "*_filter_items", ["finish"], dry_run=False)
     fixed = spark.table(f"{store}.one_filter_items_standardized")
     assert fixed.filter("finish = 'N/A'").count() == 1
-
-
-def test_materialized_mart_is_read_from_files(spark):
-    df = sinks.materialize(spark.range(5), "numbers")
-    assert df.count() == 5 and "FileScan" in df._jdf.queryExecution().executedPlan().toString()
-
-
-def test_small_tables_are_spread_over_the_cores(spark, tables):
-    assert spread(tables("orders"), "o_orderkey").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -14,7 +14,14 @@ from aislewise.plans import brands, display, leakage, market_share, pricing, reg
 from aislewise.plans.monitor import run_attempts, run_status
 from aislewise.registry.common import START_DATE
 from aislewise.sources import inputs
-from aislewise.sources.calendars import fiscal_quarters, retail_days, retail_months
+from aislewise.sources.calendars import (
+    fiscal_quarter_of,
+    fiscal_quarters,
+    retail_days,
+    retail_month_columns,
+    retail_month_of,
+    retail_months,
+)
 from aislewise.sources.items import filter_items, prep_filter_items, source_items, with_optional
 
 
@@ -243,14 +250,28 @@ def test_projected_month_is_appended(spark):
     assert out.count() == 3
 
 
-def test_busy_client_is_not_packed_but_listed(spark):
+def test_attempts_of_a_busy_client_are_all_there(spark):
     stamp = dt.datetime(2024, 1, 3)
-    rows = [(i, "run_everything", '["busy"]', stamp + dt.timedelta(minutes=i), 1, None) for i in range(50)]
-    rows += [(90, "run_everything", '["calm"]', stamp, 2, "x" * 300), (91, "other_job", '["calm"]', stamp, 2, None)]
+    rows = [(i, "nightly", '["busy"]', stamp + dt.timedelta(minutes=i), 1, None) for i in range(5000)]
+    rows += [(9000, "nightly", '["calm"]', stamp, 2, "x" * 300), (9001, "other_job", '["calm"]', stamp, 2, None)]
     log = spark.createDataFrame(rows, "run_id int, name string, args string, end_timestamp timestamp, user int, error string")
     clients = spark.createDataFrame([("busy", "Monthly"), ("calm", "Monthly"), ("idle", "Quarterly")], "demo_name string, frequency string")
-    out = {r.args: r for r in run_status(log, clients, dt.date(2024, 1, 9), pack_limit=10).collect()}
-    assert out["busy"].attempt_timestamps is None and out["busy"].status == "success"
-    assert out["calm"].status == "needs_fix" and len(out["calm"].error) == 203 and len(out["calm"].attempt_timestamps) == 1
-    assert out["idle"].status == "needs_run"
-    assert run_attempts(log, dt.date(2024, 1, 9)).filter("args = 'busy'").count() == 50
+    out = {r.args: r for r in run_status(log, clients, "nightly", dt.date(2024, 1, 9)).collect()}
+    assert out["busy"].runs_count == 5000 and out["busy"].status == "success"
+    assert (out["busy"].first_attempt, out["busy"].last_attempt) == (stamp, stamp + dt.timedelta(minutes=4999))
+    assert out["calm"].status == "needs_fix" and len(out["calm"].error) == 203 and out["calm"].runs_count == 1
+    assert out["idle"].status == "needs_run" and out["idle"].first_attempt is None
+    assert run_attempts(log, "nightly", dt.date(2024, 1, 9)).filter("args = 'busy'").count() == 5000
+
+
+def test_calendars_have_no_first_or_last_year(spark):
+    days = spark.createDataFrame([(dt.date(y, m, d),) for y in (1985, 2019, 2040) for m in range(1, 13) for d in (1, 15, 28)], "cal_day date")
+    by_rule = days.withColumn("retail_month_for_trailing", retail_month_of(F.col("cal_day")))
+    by_rule = by_rule.withColumns(retail_month_columns(F.col("retail_month_for_trailing")))
+    listed = retail_days(spark, 1984, 2041)
+    assert by_rule.exceptAll(listed.select(*by_rule.columns).join(days, "cal_day", "left_semi").select(*by_rule.columns)).count() == 0
+    year, quarter = fiscal_quarter_of(F.col("cal_day"))
+    ruled = days.withColumns({"y": year, "q": quarter})
+    quarters = fiscal_quarters(spark, 1984, 2041)
+    joined = days.join(quarters, F.col("cal_day").between(F.col("start_date"), F.col("end_date")))
+    assert ruled.exceptAll(joined.select("cal_day", F.col("year").cast("string").alias("y"), F.col("qtr").alias("q"))).count() == 0
