@@ -51,7 +51,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each; a longer text is a part of its own."""
     sizes = np.diff(offsets_of(batch.column(column)))
     start, total = 0, 0
@@ -88,12 +88,14 @@ def texts_of(array: pa.Array) -> Iterator[bytes]:
         yield whole[a:b]
 
 
-def map_arrow(df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str) -> DataFrame:
+def map_arrow(
+    df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str, limit: int = 2 << 20
+) -> DataFrame:
     """``mapInArrow`` over parts of bounded text size. ``column`` is the text that bounds a part."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield per_slice(part)
 
     return df.mapInArrow(run, schema)

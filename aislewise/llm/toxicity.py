@@ -156,14 +156,13 @@ def cue_features(rows: DataFrame, max_candidates: int) -> np.ndarray:
 
     def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = tokenize(*bytes_of(batch.column(1)), PREFIXES)
-        toxic = batch.column(2).to_numpy(zero_copy_only=False)[tokens.doc] > 0
-        out = []
-        for side in (toxic, ~toxic):
-            hashes = features(tokens)[:, side]
-            docs = np.tile(tokens.doc[side], len(hashes))
-            pairs = np.unique(np.stack([hashes.ravel(), docs.astype(np.uint64)]), axis=1)[0] if hashes.size else np.zeros(0, np.uint64)
-            out.append(np.unique(pairs, return_counts=True))
-        (a, n), (b, m) = out
+        hashes = features(tokens)
+        label = batch.column(2).to_numpy(zero_copy_only=False)
+        bounds = np.searchsorted(tokens.doc, np.arange(batch.num_rows + 1))
+        sides = ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
+        for i, y in enumerate(label.tolist()):
+            sides[y == 0].append(np.unique(hashes[:, bounds[i] : bounds[i + 1]]))
+        (a, n), (b, m) = (np.unique(np.concatenate(side), return_counts=True) for side in sides)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([a, b]).astype(np.int64)), pa.array(np.concatenate([n, 0 * m])), pa.array(np.concatenate([0 * n, m]))],
             ["feature", "toxic", "clean"],
@@ -172,7 +171,7 @@ def cue_features(rows: DataFrame, max_candidates: int) -> np.ndarray:
     n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     lift = F.col("toxic") * n.get(0, 0) >= MIN_LIFT * n.get(1, 0) * (F.col("clean") + 0.5)
     candidates = (
-        map_arrow(rows.select("doc_id", "text", "label"), counts, "feature long, toxic long, clean long", "text")
+        map_arrow(rows.select("doc_id", "text", "label"), counts, "feature long, toxic long, clean long", "text", 1 << 20)
         .groupBy("feature")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("toxic") >= MIN_SUPPORT) & lift)
@@ -190,13 +189,13 @@ def cue_features(rows: DataFrame, max_candidates: int) -> np.ndarray:
         hashes = features(tokens).astype(np.int64)
         hit = np.isin(hashes, known)
         docs = np.broadcast_to(tokens.doc, hashes.shape)[hit]
-        pairs = np.unique(np.stack([docs, hashes[hit]]), axis=1)
+        found = np.unique(np.rec.fromarrays([docs, hashes[hit]], names="doc,feature"))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays([pa.array(ids[pairs[0]]), pa.array(pairs[1])], ["doc_id", "feature"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[found.doc]), pa.array(found.feature)], ["doc_id", "feature"])
 
     if not len(known):
         return known
-    pairs = map_arrow(rows.where("label = 1").select("doc_id", "text"), held, "doc_id long, feature long", "text").toPandas()
+    pairs = map_arrow(rows.where("label = 1").select("doc_id", "text"), held, "doc_id long, feature long", "text", 1 << 20).toPandas()
     docs, doc = np.unique(pairs.doc_id.to_numpy(), return_inverse=True)
     names, name = np.unique(pairs.feature.to_numpy(), return_inverse=True)
     # The same set of documents gives the same sum of random numbers.
