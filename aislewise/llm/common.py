@@ -48,7 +48,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.cut_path = path
+    return read
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames from :func:`cut` that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -184,6 +194,9 @@ def components(edges: DataFrame) -> DataFrame:
             ),
             "labels",
         )
-        labels = jumped.select("node", "label")
-        if jumped.where("was <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        done = jumped.where("was <> label").isEmpty()
+        discard(labels, hung)
+        if done:
+            discard(both)
+            return jumped.select("node", F.col("label").alias("component"))
+        labels = jumped

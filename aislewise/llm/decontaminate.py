@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aislewise.llm.common import cut
+from aislewise.llm.common import cut, discard
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -166,7 +166,9 @@ def judge(texts: DataFrame, items: DataFrame, size: int, share: int) -> tuple[Da
         "own_id", *KEY, "n_words", covered(hits).alias("n_hit"), F.array_distinct(F.transform(hits, lambda h: h["phrase_id"])).alias("phrases")
     )
     owners = wins.join(phrases, "phrase").select("phrase_id", "item_id").distinct()
-    return cut(judged.withColumn("contaminated", verdict), "judged"), cut(owners, "owners")
+    written = cut(judged.withColumn("contaminated", verdict), "judged"), cut(owners, "owners")
+    discard(postings)
+    return written
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:

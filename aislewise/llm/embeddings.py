@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.llm.common import components, cut
+from aislewise.llm.common import components, cut, discard
 
 THRESHOLD = 0.98
 MISS = 1e-6
@@ -215,7 +215,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     dealt = met.join(crowds, place).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("id", "at", "key", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-    full = cut(dealt, "dealt").join(keyed, "id")
+    dealt = cut(dealt, "dealt")
+    full = dealt.join(keyed, "id")
     found = cut(full.groupBy(*place, "first", "second").applyInArrow(lambda group: compare(group, p), "a long, b long, n long"), "links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     classes = components(found.where("n = 0").select("a", "b").distinct())
@@ -228,6 +229,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
         ),
         "judged",
     )
+    discard(keyed, crowds, dealt, found)
     linked = rows.select("vec_id", *same).join(judged, same).select("vec_id", "n_links", "component_id")
     valid = linked.unionByName(alone(vectors))
     return valid.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

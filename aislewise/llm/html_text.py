@@ -131,6 +131,10 @@ class Weights(NamedTuple):
     tag: dict[str, float]
 
 
+def size(text: str) -> int:
+    return len((entities.unescape(text) if "&" in text else text).split())
+
+
 def counted(page: str) -> Counter:
     """Of a labelled page: how often each feature stands inside and outside the content; else nothing."""
     opened = len(re.findall(r"<(?:article|main)\b", page, re.IGNORECASE))
@@ -142,7 +146,7 @@ def counted(page: str) -> Counter:
             if run.text is None:
                 found["tag", run.feature, run.inside] += 1
             else:
-                found["word", run.feature, run.inside] += len(run.text.split())
+                found["word", run.feature, run.inside] += size(run.text)
     return found
 
 
@@ -189,8 +193,8 @@ def main_text(page: str, weights: Weights) -> str:
             # What a menu within the content holds must not divide it.
             total += -0.05 if run.off else weights.tag.get(run.feature, -0.5)
         elif not run.off:
-            n = len(run.text.split())
-            total += n * weights.word.get(run.feature, 0.7 if not run.feature.endswith("+a") else 0.2)
+            n = size(run.text)
+            total += n * weights.word.get(run.feature, 1.0 if not run.feature.endswith("+a") else 0.2)
             if n and total >= best and (total > best or best_at[0] == start):
                 best, best_at = total, (start, k + 1)
         if total <= 0:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.llm.common import bytes_of, cut, kept_rows, map_arrow, slices
+from aislewise.llm.common import bytes_of, cut, discard, kept_rows, map_arrow, slices
 from aislewise.llm.sampling import labelled
 from aislewise.llm.tokens import mix, tokenize
 
@@ -96,6 +96,7 @@ def fit(rows: DataFrame) -> Model:
     """A model from ``rows(doc_id, text, label)``, a bounded number of them. Without rows every score is one half."""
     rows = cut(rows.repartition(SHARDS, F.xxhash64("doc_id")), "quality-sample")
     found = [r for r in rows.coalesce(SHARDS).mapInArrow(train, "weights binary, bias double, n long").collect() if r.n]
+    discard(rows)
     if not found:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
     share = np.array([r.n for r in found]) / sum(r.n for r in found)

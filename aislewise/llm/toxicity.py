@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.llm.common import bytes_of, cut, kept_rows, map_arrow, slices
+from aislewise.llm.common import bytes_of, cut, discard, kept_rows, map_arrow, slices
 from aislewise.llm.sampling import labelled
 from aislewise.llm.tokens import Tokens, mix, tokenize
 
@@ -138,6 +138,7 @@ def fit(rows: DataFrame, max_candidates: int = MAX_CANDIDATES) -> Field:
     cues = cue_features(rows, max_candidates)
     found = rows.coalesce(SHARDS).mapInArrow(lambda batches: train(batches, cues), "weights binary, bias double, step array<double>, n long").collect()
     found = [r for r in found if r.n]
+    discard(rows)
     if not found:
         return Field(np.zeros(1 << BITS), -20.0, np.zeros((2, 2)))
     share = np.array([r.n for r in found]) / sum(r.n for r in found)
