@@ -232,18 +232,27 @@ def attribute_fill(tagged: DataFrame, group: str, attribute: str, marker: str =
     )
 
 
-def attribute_status(checked: DataFrame) -> DataFrame:
-    """Number of tables per verdict on their product attributes."""
-    flag = F.col
-    status = (
-        F.when(~flag("table_exists"), "Table Not Found")
-        .when(~flag("column_exists"), "Column Not Found")
-        .when(flag("is_valid"), "AFFECTED (Valid product_attributes)")
-        .when(flag("null_percentage") == 100, "product_attributes 100% Null")
-        .when(~flag("is_variant"), "Not Variant Type")
-        .otherwise("Other")
-    )
-    return checked.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("client_count"))
+def attribute_validity(frames: Mapping[str, DataFrame | None], column: str) -> DataFrame:
+    """``(table_name, rows, filled, verdict)``: whether each table carries ``column`` as a filled variant.
+
+    A frame of None stands for a table that does not exist. Types are looked up in the schemas; each table
+    is read once for its two counts. The verdict names the first thing that is amiss: ``no table``,
+    ``no column``, ``other type``, ``empty``, else ``usable``.
+    """
+    spark = next(df for df in frames.values() if df is not None).sparkSession
+    found = spark.createDataFrame([(n, None, None, "no table") for n, df in frames.items() if df is None], _VALIDITY)
+    for name, df in frames.items():
+        if df is None:
+            continue
+        filled = F.count(column) if column in df.columns else F.lit(None).cast("bigint")
+        variant = column in df.columns and df.schema[column].dataType.typeName() == "variant"
+        verdict = F.when(F.col("filled") > 0, "usable").otherwise("empty") if variant else F.lit("other type" if column in df.columns else "no column")
+        counts = df.agg(F.count(F.lit(1)).alias("rows"), filled.alias("filled"))
+        found = found.unionByName(counts.select(F.lit(name).alias("table_name"), "rows", "filled", verdict.alias("verdict")))
+    return found
+
+
+_VALIDITY = "table_name string, rows bigint, filled bigint, verdict string"
 
 
 def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.functions.periods import floor_to
-from aislewise.operators.grouping import scalar
 
 CELL = ("source", "merchant", "brand", "quarter", "major_cat", "sub_cat", "minor_cat")
 
@@ -49,61 +48,35 @@ def leakage_users(
     )
 
 
+def leakage_cells(users: DataFrame) -> DataFrame:
+    """One row per cell of the market: its whole spend, whoever the spender is."""
+    return users.groupBy(*CELL).agg(F.sum("item_subtotal").alias("spend"), F.max("total_panelists").alias("total_panelists"))
+
+
 def leakage_retailer(users: DataFrame) -> DataFrame:
-    """For every retailer, the market split into spend of its closers and of everyone else.
+    """For every retailer the cells in which its closers spend, with their spend and that of everyone else.
 
-    A user is a closer of a retailer in the quarters after the first one active there. One join of users
-    with the retailers they shop at replaces a pass per retailer. Non-closer spend is the total of a cell
-    minus its closer spend, so users are never paired with retailers they do not know.
+    A user is a closer of a retailer in the quarters after the first one active there. Users meet only the
+    retailers they shop at, and a cell only the retailers that have closers in it: where a retailer has no row
+    for a cell, all of :func:`leakage_cells` is spend of others. The full product of cells and retailers is
+    never built.
     """
-    first_visit = users.groupBy("user_id", F.col("merchant").alias("key_retailer")).agg(
-        F.min("first_active_quarter").alias("first_q")
-    )
-    per_user = users.groupBy("user_id", *CELL).agg(
-        F.sum("item_subtotal").alias("spend"),
-        F.count(F.lit(1)).alias("rows"),
-        F.max("total_panelists").alias("total_panelists"),
-    )
-    nothing = {"closer_spend": F.lit(0).cast("decimal(38,4)"), "closer_rows": F.lit(0).cast("bigint")}
+    first_visit = users.groupBy("user_id", F.col("merchant").alias("key_retailer")).agg(F.min("first_active_quarter").alias("first_q"))
+    per_user = users.groupBy("user_id", *CELL).agg(F.sum("item_subtotal").alias("spend"))
     closers = (
         per_user.join(first_visit, "user_id")
         .filter(F.col("first_q") < F.col("quarter"))
         .groupBy("key_retailer", *CELL)
-        .agg(F.sum("spend").alias("closer_spend"), F.sum("rows").alias("closer_rows"))
-    )
-    # Merchants are a dimension; the list is one row of distinct names.
-    retailers = scalar(users, F.array_sort(F.collect_set("merchant")))
-    totals = (
-        per_user.groupBy(*CELL)
-        .agg(F.sum("spend").alias("spend"), F.sum("rows").alias("rows"), F.max("total_panelists").alias("total_panelists"))
-        .withColumn("key_retailer", F.explode(retailers))
-        .withColumns(nothing)
-    )
-    both = totals.unionByName(closers, allowMissingColumns=True)
-    cells = both.groupBy("key_retailer", *CELL).agg(
-        F.sum("spend").alias("spend"),
-        F.sum("rows").alias("rows"),
-        F.max("total_panelists").alias("total_panelists"),
-        F.sum("closer_spend").alias("closer_spend"),
-        F.sum("closer_rows").alias("closer_rows"),
+        .agg(F.sum("spend").alias("closer_spend"))
     )
-
-    def side(flag, spend, rows):
-        return F.struct(
-            F.lit(flag).alias("closer_flag"),
-            spend.cast("decimal(38,4)").alias("item_subtotal"),
-            rows.alias("rows"),
-        )
-
-    sides = F.array(
-        side("Closer", F.col("closer_spend"), F.col("closer_rows")),
-        side("Non-closer", F.col("spend") - F.col("closer_spend"), F.col("rows") - F.col("closer_rows")),
-    )
-    return (
-        cells.withColumn("__side", F.explode(sides))
-        .filter(F.col("__side.rows") > 0)
-        .select(
-            "key_retailer", *CELL, F.col("__side.closer_flag").alias("closer_flag"),
-            F.col("__side.item_subtotal").alias("item_subtotal"), "total_panelists",
-        )
+    same = F.lit(True)
+    cells = leakage_cells(users)
+    for c in CELL:
+        same = same & closers[c].eqNullSafe(cells[c])
+    return closers.join(cells, same).select(
+        "key_retailer",
+        *[closers[c] for c in CELL],
+        F.col("closer_spend").cast("decimal(38,4)").alias("closer_spend"),
+        (F.col("spend") - F.col("closer_spend")).cast("decimal(38,4)").alias("other_spend"),
+        "total_panelists",
     )

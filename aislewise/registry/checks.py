@@ -114,22 +114,17 @@ def attr_top_values(spark, sf_dir):
 
 
 def attr_status(spark, sf_dir):
-    """Verdict per parent brand and finish: some pairs hold no attributes, some were never sold."""
-    items = filter_items(at(spark, sf_dir), ["sku", "brand", "major_cat", "product_attributes"])
-    # The type of the column is metadata of the frame, not of its rows.
-    is_variant = items.schema["product_attributes"].dataType.typeName() == "variant"
-    checked = items.groupBy("sku").agg(
-        F.count(F.lit(1)).alias("n"), F.count("product_attributes").alias("filled"), F.min("brand").alias("brand")
-    )
-    return quality.attribute_status(
-        checked.select(
-            (F.col("n") > 1).alias("table_exists"),
-            (F.col("brand") != "Brand#1").alias("column_exists"),
-            F.lit(is_variant).alias("is_variant"),
-            ((1 - F.col("filled") / F.col("n")) * 100).alias("null_percentage"),
-            (F.lit(is_variant) & (F.col("filled") > 0)).alias("is_valid"),
-        )
-    )
+    """Validity of the product attributes in tables with, without and with other kinds of them."""
+    t = at(spark, sf_dir)
+    items = filter_items(t, ["sku", "product_attributes"])
+    frames = {
+        "items": items,
+        "items_as_text": items.withColumn("product_attributes", F.to_json("product_attributes")),
+        "items_without": items.where(F.col("product_attributes").isNull()),
+        "orders": t("orders"),
+        "returns": None,
+    }
+    return quality.attribute_validity(frames, "product_attributes")
 
 
 def freshness(spark, sf_dir):
@@ -520,10 +515,10 @@ FROM (SELECT demo_name, count(*) AS n, count(attrs_json) AS f, count(*) FILTER (
     "attr_top_values": sql.with_(sql.ITEMS, _TAGGED) + """SELECT attrs_json, count,
        round(CAST(count AS DOUBLE) * 100.0 / (SELECT count(attrs_json) FROM tagged), 2) AS percentage
 FROM (SELECT attrs_json, count(*) AS count FROM tagged WHERE attrs_json IS NOT NULL GROUP BY 1) ORDER BY count DESC, attrs_json LIMIT 10""",
-    "attr_status": sql.with_(sql.ITEMS) + """SELECT CASE WHEN n <= 1 THEN 'Table Not Found' WHEN brand = 'Brand#1' THEN 'Column Not Found'
-            WHEN filled > 0 THEN 'AFFECTED (Valid product_attributes)' WHEN filled = 0 THEN 'product_attributes 100% Null' END AS status,
-       count(*) AS client_count
-FROM (SELECT sku, count(*) AS n, count(attributes_json) AS filled, min(brand) AS brand FROM items GROUP BY sku) GROUP BY 1""",
+    "attr_status": sql.with_(sql.ITEMS, "n AS (SELECT count(*) AS a, count(attributes_json) AS f FROM items)")
+    + """SELECT 'items' AS table_name, a AS rows, f AS filled, 'usable' AS verdict FROM n
+UNION ALL SELECT 'items_as_text', a, f, 'other type' FROM n UNION ALL SELECT 'items_without', a - f, 0, 'empty' FROM n
+UNION ALL SELECT 'orders', count(*), NULL, 'no column' FROM orders UNION ALL SELECT 'returns', NULL, NULL, 'no table'""",
     "freshness": sql.with_(sql.ITEMS, sql.MAPPING, """expected AS (
   SELECT merchant AS table_name FROM mapping UNION SELECT final_name || '_missing' FROM mapping)""",
         "newest AS (SELECT state, max(order_date) AS max_date FROM items GROUP BY state)") + """

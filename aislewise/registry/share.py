@@ -124,20 +124,16 @@ QUERIES = {
 # --- oracle -----------------------------------------------------------------------------------------
 
 def _trailing_sql() -> str:
-    parts = []
-    for span, total, factor in (
-        (12, 78, "month(date)"),
-        (6, 21, "CASE WHEN month(date) <= 6 THEN month(date) ELSE month(date) - 6 END"),
-        (3, 6, "month(date) - month(date_trunc('quarter', date)) + 1"),
-    ):
-        for c in ("gmv", "units", "sample_size"):
-            parts.append(f"CASE WHEN sum({factor}) OVER w{span} = {total} THEN sum({c}) OVER w{span} END AS {c}_trailing_{span}m")
-    return ",\n         ".join(parts)
+    """Sums over the last months on the calendar, where every one of those months has a row."""
+    def column(c, span):
+        return f"CASE WHEN count(*) OVER w{span} = {span} THEN sum({c}) OVER w{span} END AS {c}_trailing_{span}m"
+
+    return ", ".join(column(c, span) for span in (3, 6, 12) for c in ("sample_size", "units", "gmv"))
 
 
 def _windows_sql() -> str:
-    by = f"PARTITION BY {sql.SHARE_KEYS} ORDER BY date"
-    return ", ".join(f"w{s} AS ({by} ROWS BETWEEN {s - 1} PRECEDING AND CURRENT ROW)" for s in (12, 6, 3))
+    frame = "w{0} AS (PARTITION BY {1} ORDER BY date RANGE BETWEEN INTERVAL {2} MONTH PRECEDING AND CURRENT ROW)"
+    return ", ".join(frame.format(span, sql.SHARE_KEYS, span - 1) for span in (3, 6, 12))
 
 
 _PRICED_UNITS = f"""measured AS (
@@ -300,7 +296,8 @@ ORACLE = {
     + " SELECT display_cat, breakdown_ssg, is_over_threshold FROM guard",
     "risk_message": f"WITH page AS ({_view_sql(VIEWS['share_display_month'])}) "
     "SELECT CASE WHEN min(sample_size) < 200 OR count(*) FILTER (WHERE display_cat = 'Other Categories') > 0 "
-    f"THEN '{view.RISK_TEXT}' ELSE ' ' END AS risk_message FROM page",
+    "THEN 'The sample behind part of this view is thin, so some categories are pooled. A longer period or fewer filters show more.' "
+    "ELSE ' ' END AS risk_message FROM page",
     "trailing_gaps": sql.with_(
         sql.ITEMS,
         "series AS (SELECT month, channel, brand, merchant_clean, major_cat, sum(gmv) AS gmv FROM items GROUP BY ALL)",

@@ -193,15 +193,15 @@ def test_band_share_is_hidden_without_a_step(tables):
 
 
 def brute_leakage(rows):
-    first = {}
-    for user, merchant, faq, *_ in rows:
-        first[merchant, user] = min(first.get((merchant, user), faq), faq)
-    out = defaultdict(int)
+    first, spent, closer = {}, defaultdict(int), defaultdict(int)
+    for user, merchant, since, quarter, spend in rows:
+        first[merchant, user] = min(first.get((merchant, user), since), since)
+        spent[merchant, quarter] += spend
     for retailer in {r[1] for r in rows}:
         for user, merchant, _, quarter, spend in rows:
-            closer = (retailer, user) in first and first[retailer, user] < quarter
-            out[retailer, merchant, quarter, "Closer" if closer else "Non-closer"] += spend
-    return dict(out)
+            if first.get((retailer, user), quarter) < quarter:
+                closer[retailer, merchant, quarter] += spend
+    return {(k, m, q): (c, spent[m, q] - c) for (k, m, q), c in closer.items()}
 
 
 def leakage_frame(spark, rows):
@@ -215,10 +215,8 @@ def test_leakage_with_one_user_holding_a_third_of_the_rows(spark):
     rows = [(0, f"m{i % 4}", i % 3, i % 5, 10 + i) for i in range(60)]
     rows += [(1 + i % 40, f"m{i % 4}", i % 3, (i * 7) % 5, i) for i in range(120)]
     result = leakage.leakage_retailer(leakage_frame(spark, rows)).collect()
-    got = defaultdict(int)
-    for r in result:
-        got[r.key_retailer, r.merchant, r.quarter, r.closer_flag] += int(r.item_subtotal)
-    assert dict(got) == brute_leakage(rows)
+    got = {(r.key_retailer, r.merchant, r.quarter): (int(r.closer_spend), int(r.other_spend)) for r in result}
+    assert got == brute_leakage(rows) and got
 
 
 def test_closer_and_non_closer_add_up_to_the_total_for_every_retailer(tables):
@@ -227,9 +225,10 @@ def test_closer_and_non_closer_add_up_to_the_total_for_every_retailer(tables):
     users = leakage.leakage_users(
         filter_items(tables, columns), inputs.retail_users(tables), inputs.panelists(tables, False), inputs.panelists(tables, True)
     ).persist()
-    total = users.agg(F.sum("item_subtotal")).first()[0]
-    per = leakage.leakage_retailer(users).groupBy("key_retailer").agg(F.sum("item_subtotal").alias("s")).collect()
-    assert len(per) == 5 and all(r.s == total for r in per)
+    cells = leakage.leakage_cells(users)
+    assert cells.agg(F.sum("spend")).first()[0] == users.agg(F.sum("item_subtotal")).first()[0]
+    both = leakage.leakage_retailer(users).join(cells.withColumnRenamed("total_panelists", "size"), list(leakage.CELL))
+    assert both.count() > 0 and both.where("closer_spend + other_spend <> spend or closer_spend < 0 or other_spend < 0").count() == 0
 
 
 def test_panel_flag_of_every_membership(spark):
