@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aislewise.functions import labels
 from aislewise.functions.measures import ratio
 from aislewise.functions.predicates import page_filter
-from aislewise.operators.grouping import label_others, rolling_periods, top_n, with_group_totals
+from aislewise.operators.grouping import label_others, null_safe_join, rolling_periods, top_n, with_group_totals
 from aislewise.plans.brands import _final_merchant
 from aislewise.plans.sku import product_hash
 
@@ -111,14 +111,37 @@ def _banded(charts: DataFrame, start: int, step: int, choices: Mapping[str, Sequ
     )
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float]) -> DataFrame:
-    """Interpolated percentiles per group from a table of distinct values and their frequency.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float], parts: int = 64) -> DataFrame:
+    """Interpolated percentiles per group, whose values are never together in one task.
 
-    Counting first keeps the state of a group at its number of distinct values instead of its rows.
+    Values are counted first. Approximate quantiles of each group only divide its different values into
+    ``parts`` stretches; running counts within a stretch, on top of the counts of the stretches below, give
+    every value its exact rank, and the two neighbours of each percentile are picked and interpolated.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    at = [F.percentile(F.col(value), p, F.col("__n")).alias(name) for name, p in points.items()]
-    return counted.groupBy(*keys).agg(*at) if keys else counted.agg(*at)
+    group = [*keys] or ["__all"]
+    counted = df.filter(F.col(value).isNotNull())
+    counted = counted if keys else counted.withColumn("__all", F.lit(0))
+    counted = counted.groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = counted.groupBy(*group).agg(F.percentile_approx("__v", shares, F.lit(1000)).alias("__cuts"), F.sum("__n").alias("__total"))
+    # Without keys there is one row of cuts.
+    placed = null_safe_join(counted, cuts if keys else F.broadcast(cuts), group, "inner")
+    placed = placed.withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
+    below = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = placed.groupBy(*group, "__part").agg(F.sum("__n").alias("__sum"))
+    stretches = stretches.select(*group, "__part", F.coalesce(F.sum("__sum").over(below), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*group, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = null_safe_join(placed, stretches, [*group, "__part"], "inner")
+    ranked = ranked.withColumn("__upto", F.col("__before") + F.sum("__n").over(inside))
+    picked, shown = [F.first("__total").alias("__total")], []
+    for name, p in points.items():
+        at = (F.col("__total") - 1) * p
+        for side, rank in (("lower", F.floor(at)), ("upper", F.ceil(at))):
+            picked.append(F.min(F.when(F.col("__upto") > rank, F.col("__v"))).cast("double").alias(f"__{side}_{name}"))
+        low, high = F.col(f"__lower_{name}"), F.col(f"__upper_{name}")
+        mixed = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+        shown.append(F.when(F.ceil(at) == F.floor(at), low).otherwise(mixed).alias(name))
+    return ranked.groupBy(*group).agg(*picked).select(*keys, *shown)
 
 
 def _thin_sample_flags(banded: DataFrame, quarters: DataFrame, min_avg: float, min_median: float) -> DataFrame:

@@ -10,6 +10,7 @@ from aislewise.functions import labels
 from aislewise.operators import compare, publish, quality, schema
 from aislewise.operators.grouping import latest_per_key
 from aislewise.plans import monitor
+from aislewise.plans.pricing import exact_percentiles
 from aislewise.registry import sql
 from aislewise.registry.common import at, tidy
 from aislewise.sources import inputs
@@ -278,11 +279,9 @@ def size_class(spark, sf_dir):
 
 
 def quartiles(spark, sf_dir):
-    """Approximate quartiles of the rows per user."""
+    """Exact quartiles of the rows per user."""
     counted = filter_items(at(spark, sf_dir), ["user_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("how_many_rows"))
-    return counted.agg(
-        *[F.percentile_approx("how_many_rows", p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
-    )
+    return exact_percentiles(counted, (), "how_many_rows", {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def brand_ready(spark, sf_dir):
@@ -601,6 +600,18 @@ FROM items JOIN retail_days ON order_date = cal_day GROUP BY retail_month_start"
     + """SELECT merchant, retail_month_start, retail_month_end, first_date, second_date, CAST(first_date - second_date AS INTEGER) AS date_difference_days
 FROM (SELECT merchant, retail_month_start, retail_month_end, min(CASE WHEN source = 'panel_a' THEN day END) AS first_date,
              min(CASE WHEN source = 'panel_b' THEN day END) AS second_date FROM sold GROUP BY ALL)""",
+    "quartiles": sql.with_(sql.ITEMS) + """SELECT quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.75) AS q3
+FROM (SELECT count(*) AS n FROM items GROUP BY user_id)""",
+    "schema_change": sql.with_(sql.ITEMS) + """SELECT * FROM (VALUES ('brand', 'dropped', 'major'), ('major_cat', 'retyped', 'major'),
+       ('super_brand', 'added', 'major')) AS v("column", change, version_step),
+     (SELECT count(*) AS rows_previous FROM (SELECT DISTINCT state, major_cat, brand FROM items))""",
+    "csv_config": """SELECT strftime(o_orderdate, '%-m/%-d/%Y ') || hour(o_orderdate) || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || ':'
+         || lpad(CAST((o_orderkey // 60) % 60 AS VARCHAR), 2, '0') AS "timestamp",
+       'client_' || o_custkey AS demo_name, if(o_orderstatus = 'O', 'prospects_gold', 'clients_gold') AS prod_schema,
+       if(o_orderstatus = 'O', format('[{0}O{0}, {0}{1}{0}]', chr(39), o_orderpriority), o_orderpriority) AS brands_display,
+       if(o_orderstatus = 'O', strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d'), strftime(o_orderdate + INTERVAL 30 DAY, '%-m/%-d/%Y')) AS start_date_of_data,
+       if(o_orderpriority = '1-URGENT', 'Market Share, Pro', if(o_orderpriority = '5-LOW', 'Shopper Insights,Pricing & Promo', NULL)) AS packages
+FROM orders""",
     "client_config": sql.with_(_FORM) + f"""SELECT demo_name, "timestamp", prod_schema, brands_display, start_date_of_data, packages,
        prod_schema = 'prospects_gold' AS is_prospect, {_has('Market Share')} AS market_share, {_has('Shopper Insights')} AS shopper_insights,
        {_has('Pro')} AS pro_module, {_has('Pricing & Promo')} AS pricing_n_promo, o_custkey AS how_many_rows

@@ -18,8 +18,8 @@ duckdb = pytest.importorskip("duckdb")
 # Queries of the optional subpackage have their own tests.
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: text for module in MODULES for name, text in module.ORACLE.items()}
-# Too slow or approximate in SQL: tested elsewhere.
-ROWS_ONLY = {"schema_report", "schema_change", "quartiles", "csv_config"}
+# Metadata of the frame, tested elsewhere.
+ROWS_ONLY = {"schema_report"}
 
 
 @pytest.fixture(scope="module")
