@@ -17,9 +17,9 @@ TRAILING = [c for c in ms.METRIC_COLUMNS if "trailing" in c]
 BASE = ["gmv", "units", "sample_size", "item_subtotal_observed", "item_quantity_observed"]
 
 
-def _mart_report(mart):
+def _mart_report(mart, key="brand"):
     """The mart summed over categories: every row of it counts, the result stays small enough to compare."""
-    by = [*ms.CALENDAR_COLUMNS, "channel", "brand"]
+    by = [*ms.CALENDAR_COLUMNS, "channel", key]
     sums = [F.sum(c).alias(c) for c in (*BASE, *TRAILING)]
     filled = [F.count(f"gmv_trailing_{s}m").alias(f"full_windows_{s}m") for s in (3, 6, 12)]
     out = mart.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *sums, *filled)
@@ -44,6 +44,15 @@ def market_share_454(spark, sf_dir):
     return _mart_report(ms.market_share(_items(t), "major_cat", START_DATE, "454"))
 
 
+def _by_attribute(calendar):
+    """Market share of a special attribute, items without one under their category."""
+    def query(spark, sf_dir):
+        items = _items(at(spark, sf_dir), [*ms.ITEM_COLUMNS, "finish"])
+        return _mart_report(ms.market_share(items, "finish", START_DATE, calendar), "special_attribute")
+
+    return query
+
+
 def market_share_dense(spark, sf_dir):
     t = at(spark, sf_dir)
     out = _dense(t).groupBy("trunc_day", "parent_brand", "merchant", "major_cat").agg(
@@ -112,6 +121,8 @@ def trailing_gap_rows(spark, sf_dir):
 QUERIES = {
     "market_share_std": market_share_std,
     "market_share_454": market_share_454,
+    "market_share_attribute": _by_attribute("standard"),
+    "market_share_attribute_454": _by_attribute("454"),
     "market_share_dense": market_share_dense,
     "display_intervals": display_intervals,
     **{name: _display(name) for name in VIEWS},
@@ -157,31 +168,34 @@ _STD_CALENDAR = """date AS month_start, last_day(date) AS month_end, CAST(month(
          CAST(year(date) AS INTEGER) AS year, max(date) OVER () AS max_date"""
 
 
-def _report_sql(source: str) -> str:
-    by = ", ".join([*ms.CALENDAR_COLUMNS, "channel", "brand"])
+def _report_sql(source: str, key: str) -> str:
+    by = ", ".join([*ms.CALENDAR_COLUMNS, "channel", key])
     return f"SELECT {by}, " + ",\n       ".join(_REPORT_SELECT) + f"\nFROM {source} GROUP BY {by}"
 
 
-_STD = sql.with_(
-    sql.ITEMS,
-    sql.dense("month", "items", True, True),
-    _PRICED_UNITS,
-    f"dated AS (SELECT *, {_STD_CALENDAR} FROM measured)",
-    f"""mart AS (
+def _standard_sql(attribute: str, key: str) -> str:
+    return sql.with_(
+        sql.ITEMS,
+        sql.dense("month", "items", True, True, attribute=attribute),
+        _PRICED_UNITS,
+        f"dated AS (SELECT *, {_STD_CALENDAR} FROM measured)",
+        f"""mart AS (
   SELECT *, CAST(month(max_date) AS INTEGER) AS max_month, CAST(quarter(max_date) AS INTEGER) AS max_quarter,
          {_trailing_sql()}
   FROM dated WINDOW {_windows_sql()}
 )""",
-) + _report_sql("mart")
-
-_454 = sql.with_(
-    sql.ITEMS,
-    sql.RETAIL_CALENDAR,
-    "day_items AS (SELECT items.*, retail_month_for_trailing AS trailing_month FROM items "
-    "LEFT JOIN retail_days ON order_date = cal_day)",
-    sql.dense("trailing_month", "day_items", True, False),
-    _PRICED_UNITS,
-    """dated AS (
+    ) + _report_sql("mart", key)
+
+
+def _retail_sql(attribute: str, key: str) -> str:
+    return sql.with_(
+        sql.ITEMS,
+        sql.RETAIL_CALENDAR,
+        "day_items AS (SELECT items.*, retail_month_for_trailing AS trailing_month FROM items "
+        "LEFT JOIN retail_days ON order_date = cal_day)",
+        sql.dense("trailing_month", "day_items", True, False, attribute=attribute),
+        _PRICED_UNITS,
+        """dated AS (
   SELECT m.*, retail_month_start AS month_start, retail_month_end AS month_end, retail_month_number AS month,
          retail_quarter_start AS quarter_start, retail_quarter_end AS quarter_end, retail_quarter_rank AS quarter,
          retail_year_start AS year_start, retail_year_end AS year_end, retail_year AS year,
@@ -189,8 +203,9 @@ _454 = sql.with_(
          max(date) OVER () AS max_date
   FROM measured m LEFT JOIN retail_months ON date = retail_month_for_trailing
 )""",
-    f"mart AS (SELECT *, {_trailing_sql()} FROM dated WINDOW {_windows_sql()})",
-) + _report_sql("mart")
+        f"mart AS (SELECT *, {_trailing_sql()} FROM dated WINDOW {_windows_sql()})",
+    ) + _report_sql("mart", key)
+
 
 _OLD = sql.with_(sql.ITEMS, sql.dense("month", "items", False, False))
 
@@ -287,8 +302,10 @@ SELECT display_interval, count(DISTINCT display_time) AS periods, min(display_ti
 FROM shown GROUP BY display_interval"""
 
 ORACLE = {
-    "market_share_std": _STD,
-    "market_share_454": _454,
+    "market_share_std": _standard_sql("major_cat", "brand"),
+    "market_share_454": _retail_sql("major_cat", "brand"),
+    "market_share_attribute": _standard_sql("finish", "special_attribute"),
+    "market_share_attribute_454": _retail_sql("finish", "special_attribute"),
     "market_share_dense": _DENSE,
     "display_intervals": _INTERVAL_SQL,
     **{name: _view_sql(v) for name, v in VIEWS.items()},

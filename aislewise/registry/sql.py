@@ -102,7 +102,7 @@ PRICED = """priced AS (
 SHARE_KEYS = "channel, parent_brand, brand, sub_brand, merchant, major_cat, sub_cat, minor_cat, special_attribute"
 
 
-def dense(day: str, source: str, named: bool, named_merchant: bool, start: str = "1995-01-01") -> str:
+def dense(day: str, source: str, named: bool, named_merchant: bool, start: str = "1995-01-01", attribute: str = "major_cat") -> str:
     """Gap-filled series, written the long way: every observed month opens the whole range of its key."""
     def brand(c):
         return f"coalesce({c}, 'unbranded') AS {c}" if named else c
@@ -111,7 +111,7 @@ def dense(day: str, source: str, named: bool, named_merchant: bool, start: str =
     return f"""keyed AS (
   SELECT {day} AS seen, channel, {brand('parent_brand')}, {brand('brand')}, {brand('sub_brand')},
          {merchant} AS merchant, major_cat, sub_cat, minor_cat,
-         coalesce(CAST(major_cat AS VARCHAR), major_cat) AS special_attribute, gmv, item_price, item_quantity
+         coalesce(CAST({attribute} AS VARCHAR), major_cat) AS special_attribute, gmv, item_price, item_quantity
   FROM {source}
 ), grouped AS (
   SELECT seen, {SHARE_KEYS}, sum(gmv) AS gmv, count(*) AS sample_size,
