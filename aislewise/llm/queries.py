@@ -67,7 +67,42 @@ _OPERATORS = (
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
+# Words as the contract cuts them; a backslash reaches the regular expression as written.
+_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
 ORACLE = {
+    "op5_rotation_codes": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ),
+        reached(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN l ON r.b = l.a)
+        SELECT a AS vec_id, (SELECT count(*) FROM l WHERE l.a = reached.a) AS n_links, min(b) AS component_id, a = min(b) AS kept
+        FROM reached GROUP BY a
+    """,
+    "op6_positional_index": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        win AS (
+            SELECT DISTINCT item_id, w[k : k + 12] AS phrase
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)
+        ),
+        sizes AS (SELECT DISTINCT len(phrase) AS size FROM win),
+        places AS (SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes),
+        found AS (
+            SELECT doc_id, p, size, item_id FROM (SELECT doc_id, p, size, w[p : p + size - 1] AS phrase FROM places) JOIN win USING (phrase)
+        ),
+        hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS k FROM found) GROUP BY doc_id),
+        owners AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN owners USING (doc_id)
+    """,
     "op9_warc_revisits": """
         WITH p AS (
             SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest

@@ -118,6 +118,8 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = 0
         if not pending:
             if not len(view):
+                if head is not None or buffer:
+                    raise ValueError("the file ends within a record")
                 return
             pending, view = bytes(view[: 1 << 16]), view[1 << 16 :]
         buffer += unpack.decompress(pending)

@@ -155,7 +155,7 @@ def test_queries_with_sql_match_it(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("pages", "documents", "embeddings"):
+    for name in ("pages", "documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     for name, sql in queries.ORACLE.items():
         df = queries.QUERIES[name](spark, sf_dir)
