@@ -61,7 +61,7 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each; a longer text is a part of its own."""
     sizes = np.diff(offsets_of(batch.column(column)))
     start, total = 0, 0
@@ -99,7 +99,7 @@ def texts_of(array: pa.Array) -> Iterator[bytes]:
 
 
 def map_arrow(
-    df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str, limit: int = 2 << 20
+    df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str, limit: int = 1 << 20
 ) -> DataFrame:
     """``mapInArrow`` over parts of bounded text size. ``column`` is the text that bounds a part."""
 
