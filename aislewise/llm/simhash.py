@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aislewise.llm import minhash
 from aislewise.llm.common import ASCII_LOWER, components, cut, map_arrow, spanning, texts_of
 
 THRESHOLD = 3
@@ -162,12 +163,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_column: str = "doc_id",
 
 
 def representatives(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay when one document of each group does.
+    """The rows of ``docs``, with all their columns, that stay when one document of each group of near copies does.
 
-    The smallest id of a group stays. Of rows that repeat an id one stays; rows without an id all stay.
+    Near copies are those of :mod:`minhash`; fingerprints are too coarse for them. The smallest id of a group
+    stays. Of rows that repeat an id one stays; rows without an id all stay.
     """
-    kept = near_duplicates(docs, words).where("kept and doc_id is not null").groupBy("doc_id").count()
-    kept = cut(kept.select(F.col("doc_id").alias("kept_id"), F.col("count").alias("kept_rows")), "kept")
+    kept = minhash.kept(docs, words).groupBy(F.col("doc_id").alias("kept_id")).agg(F.sum("n").alias("kept_rows"))
+    kept = cut(kept, "kept")
     same = docs["doc_id"].cast("long") == kept["kept_id"]
     once = docs.join(kept.where("kept_rows = 1"), same, "left_semi")
     repeated = kept.where("kept_rows > 1")
