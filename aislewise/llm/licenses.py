@@ -1,8 +1,9 @@
 """License notices by conditional compression.
 
-Lines with the vocabulary of license notices form candidate blocks. A block is compressed alone and with
-each template as raw zstandard dictionary; the share of bytes the template saves ranks the licenses. The
-winners are confirmed on the wording: the words of template and block are aligned, and what differs is
+Lines with the vocabulary of license notices form candidate blocks. The words of a template are aligned with
+the places of a block that could hold most of them, whatever stands around them. The text between the first
+and last matched word is compressed alone and with the template as raw zstandard dictionary; the share of
+bytes the template saves, the gain, tells a notice from the same words in other text. What differs is
 returned. A notice may name its holder and year freely; those words of a template are left open.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -91,8 +93,18 @@ class Finding(NamedTuple):
     added: list[str]
 
 
+WORD = re.compile(r"<>|[\w.+-]*\w")
+
+
 def words(text: str) -> list[str]:
-    return re.findall(r"<>|[\w.+-]*\w", text.lower())
+    return WORD.findall(text.lower())
+
+
+class Place(NamedTuple):
+    """A confirmed wording in a block."""
+
+    finding: Finding
+    matched: set[int]  # places of the block's words that are the template's
 
 
 class Templates:
@@ -105,28 +117,56 @@ class Templates:
             for wording in wordings:
                 raw = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 made = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
-                self.with_dictionary.append((name, words(wording), made))
+                said = words(wording)
+                self.with_dictionary.append((name, said, Counter(w for w in said if w != "<>"), made))
 
     def findings(self, block: str) -> list[Finding]:
         """Licenses of a block, by falling gain, each in its best confirmed wording."""
-        data = block.encode()
-        alone = len(self.alone.compress(data))
-        ranked = sorted(((1 - len(made.compress(data)) / alone, name, wording) for name, wording, made in self.with_dictionary), key=lambda x: -x[0])
-        said = words(block)
+        spans = [m.span() for m in WORD.finditer(block)]
+        said = [block[a:b].lower() for a, b in spans]
+        places = []
+        for name, wording, fixed, made in self.with_dictionary:
+            for missing, added, matched in alignments(wording, fixed, said):
+                data = block[spans[min(matched)][0] : spans[max(matched)][1]].encode()
+                gain = 1 - len(made.compress(data)) / len(self.alone.compress(data))
+                if gain >= MIN_GAIN or not (missing or added):
+                    places.append(Place(Finding(name, gain, missing, added), matched))
         found: dict[str, Finding] = {}
-        for gain, name, wording in ranked:
-            if gain < MIN_GAIN:
-                break
-            missing, added, share = differences(wording, said)
-            if share >= MIN_SHARE and (name not in found or len(missing) + len(added) < len(found[name].missing) + len(found[name].added)):
-                found[name] = Finding(name, gain if name not in found else max(gain, found[name].gain), missing, added)
-        return self.distinct(list(found.values()))
+        for f in self.distinct(sorted((p.finding for p in places), key=lambda f: -f.gain)):
+            best = found.get(f.license)
+            if best is None or len(f.missing) + len(f.added) < len(best.missing) + len(best.added):
+                found[f.license] = f._replace(gain=max(f.gain, best.gain) if best else f.gain)
+        return list(found.values())
 
     @staticmethod
     def distinct(found: list[Finding]) -> list[Finding]:
         """Exact wordings win over those that miss words, which are near relatives of the same notice."""
         exact = [f for f in found if not f.missing]
-        return exact or found[:1]
+        return exact or [f for f in found if f.license == found[0].license]
+
+
+def alignments(wording: list[str], fixed: Counter, said: list[str]) -> list[tuple[list[str], list[str], set[int]]]:
+    """Places of a block that hold at least ``MIN_SHARE`` of a wording: missing words, added words, matched places.
+
+    Each is found from the longest run of words that the wording shares with a part of the block, and
+    aligned within half its length around; then the parts before and after that run are searched.
+    """
+    out, parts = [], [(0, len(said))]
+    total, slack = sum(fixed.values()), len(wording) // 2 + 6
+    while parts:
+        low, high = parts.pop()
+        if sum((Counter(said[low:high]) & fixed).values()) < MIN_SHARE * total:
+            continue
+        core = difflib.SequenceMatcher(None, wording, said[low:high], autojunk=False).find_longest_match()
+        at = low + core.b
+        begin = max(low, at - core.a - slack)
+        near = said[begin : min(high, at - core.a + len(wording) + slack)]
+        missing, added, share = differences(wording, near)
+        if share >= MIN_SHARE:
+            match = difflib.SequenceMatcher(None, wording, near, autojunk=False).get_matching_blocks()
+            out.append((missing, added, {begin + b + k for _, b, size in match for k in range(size)}))
+        parts += [(low, at), (at + core.size, high)]
+    return out
 
 
 def differences(wording: list[str], said: list[str]) -> tuple[list[str], list[str], float]:

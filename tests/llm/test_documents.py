@@ -392,6 +392,27 @@ def test_licenses_are_confirmed_on_the_wording(spark, awkward):
     assert licenses.scan(awkward).count() == 0
 
 
+PROSE = "the ship left the old harbour under a grey sky and all of the crew sang as the work of the day was done".split()
+
+
+@pytest.mark.parametrize("around", [15, 40, 200, 700])
+def test_licenses_amid_prose_of_the_same_line(around):
+    made = licenses.Templates(licenses.TEMPLATES)
+    prose = [PROSE[k % len(PROSE)] for k in range(around)]
+    for name, wordings in licenses.TEMPLATES.items():
+        for wording in wordings:
+            said = wording.replace("<> <>", "2020 Somebody").split()
+            text = " ".join([*prose[: around // 2], *said, *prose[around // 2 :]])
+            found = [f for a, b in licenses.windows(text, 0, len(text)) for f in made.findings(text[a:b])]
+            assert any(f.license == name and not f.missing and not f.added for f in found), (name, wording)
+            if len(said) > 30:
+                text = text.replace(" ".join(said[10:13]), f"{said[10]} gladly {said[12]}")
+                found = [f for a, b in licenses.windows(text, 0, len(text)) for f in made.findings(text[a:b])]
+                assert any(f.license == name and ("gladly" in f.added or not f.missing) for f in found), (name, wording)
+    assert made.findings(" ".join(prose)) == []
+    assert made.findings("all of the crew has rights that are reserved for the old, licensed by sea under the sky, MIT or the harbour license") == []
+
+
 def test_documents_queries_return_their_contracts(spark, sf_dir):
     want = {
         "op3_simhash_anchors": ["doc_id", "fingerprint", "component_id"],
