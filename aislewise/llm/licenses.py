@@ -132,17 +132,20 @@ class Templates:
                 if gain >= MIN_GAIN or not (missing or added):
                     places.append(Place(Finding(name, gain, missing, added), matched))
         found: dict[str, Finding] = {}
-        for f in self.distinct(sorted((p.finding for p in places), key=lambda f: -f.gain)):
+        for f in sorted(self.distinct(places), key=lambda f: -f.gain):
             best = found.get(f.license)
             if best is None or len(f.missing) + len(f.added) < len(best.missing) + len(best.added):
                 found[f.license] = f._replace(gain=max(f.gain, best.gain) if best else f.gain)
         return list(found.values())
 
     @staticmethod
-    def distinct(found: list[Finding]) -> list[Finding]:
-        """Exact wordings win over those that miss words, which are near relatives of the same notice."""
-        exact = [f for f in found if not f.missing]
-        return exact or [f for f in found if f.license == found[0].license]
+    def distinct(places: list[Place]) -> list[Finding]:
+        """A wording that misses words is a near relative of a better one of another license if it matches words of it; all others stay."""
+        stay: list[Place] = []
+        for p in sorted(places, key=lambda p: (len(p.finding.missing), len(p.finding.added), -p.finding.gain)):
+            if not p.finding.missing or all(p.finding.license == q.finding.license or p.matched.isdisjoint(q.matched) for q in stay):
+                stay.append(p)
+        return [p.finding for p in stay]
 
 
 def alignments(wording: list[str], fixed: Counter, said: list[str]) -> list[tuple[list[str], list[str], set[int]]]:

@@ -410,7 +410,20 @@ def test_licenses_amid_prose_of_the_same_line(around):
                 found = [f for a, b in licenses.windows(text, 0, len(text)) for f in made.findings(text[a:b])]
                 assert any(f.license == name and ("gladly" in f.added or not f.missing) for f in found), (name, wording)
     assert made.findings(" ".join(prose)) == []
-    assert made.findings("all of the crew has rights that are reserved for the old, licensed by sea under the sky, MIT or the harbour license") == []
+    assert made.findings("all of the crew has rights that are reserved for the old, and licensed by sea or land under the grey sky, where MIT or another harbour gives its own new license") == []
+
+
+def test_several_licenses_of_a_block_all_stay():
+    made = licenses.Templates(licenses.TEMPLATES)
+    apache, gpl2, gpl3 = (licenses.TEMPLATES[k][1] for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0"))
+    other = apache.replace("Licensed under", "Offered under").replace("writing", "print")
+    by = {f.license: f for f in made.findings("Released under the MIT License.\n" + other)}
+    assert set(by) == {"MIT", "Apache-2.0"} and not by["MIT"].missing and by["Apache-2.0"].missing
+    by = {f.license: f for f in made.findings(other + "\n" + gpl3.replace("Foundation", "Club"))}
+    assert set(by) == {"Apache-2.0", "GPL-3.0"} and all(f.missing for f in by.values())
+    by = {f.license: f for f in made.findings(gpl2 + " " + gpl3.replace("redistribute", "share"))}
+    assert set(by) == {"GPL-2.0", "GPL-3.0"} and not by["GPL-2.0"].missing and by["GPL-3.0"].missing == ["redistribute"]
+    assert {f.license for f in made.findings(gpl3.replace("redistribute", "share"))} == {"GPL-3.0"}
 
 
 def test_documents_queries_return_their_contracts(spark, sf_dir):
