@@ -4,7 +4,7 @@ Training: documents are labelled, not tokens, so tokens get their labels first.
 that are far more frequent in toxic training documents than in clean ones are candidates; a greedy cover keeps
 those that explain toxic documents which fewer than three earlier ones explain, so words that merely
 occur beside them are not taken. Many candidates with the very same documents are the words of one copied
-text and left out. A token of a toxic document with a kept feature is labelled 1, every other
+text or phrase; one of them is kept where no other marks those documents. A token of a toxic document with a kept feature is labelled 1, every other
 token 0. The field has two states with hashed word and word-beginning features and transition weights; it
 is trained on shards of a bounded sample by the gradient of its log-likelihood (forward-backward) and the
 shards' weights are averaged.
@@ -213,6 +213,15 @@ def cue_features(rows: DataFrame, max_candidates: int) -> np.ndarray:
         kept.append(names[best])
         loose[best] = False
         need[doc[name == best]] -= 1
+    # Of words that always occur together one marks the documents that no other cue does.
+    bundled = bundle[at] > MAX_BUNDLE
+    while True:
+        gain = np.where(bundled, np.bincount(name, need[doc] == COVER, len(names)) - cost, 0)
+        best = int(gain.argmax()) if len(gain) else 0
+        if not len(gain) or gain[best] < MIN_SUPPORT:
+            break
+        kept.append(names[best])
+        need[doc[name == best]] -= 1
     return np.sort(np.array(kept, np.int64))
 
 

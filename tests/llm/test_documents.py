@@ -273,6 +273,19 @@ def test_toxic_spans_on_held_out_documents(spark):
             assert texts[r.doc_id][s.start : s.end].lower() in ("scumbag", "moronic", "filthpig")
 
 
+def test_words_that_always_occur_together_mark_their_documents(spark):
+    rng, rows = np.random.default_rng(3), []
+    copied = " ".join(f"copied{k}text" for k in rng.integers(0, 99999, 50))
+    for i in range(600):
+        w = [f"word{k}" for k in rng.integers(0, 300, 60)]
+        if i % 5 == 0:
+            w[30:33] = ["scumbag", "moronic", "filthpig"]
+        rows.append((i, copied if i % 20 == 1 else " ".join(w), int(i % 5 == 0 or i % 20 == 1)))
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    found = toxicity.tag(both.drop("toxic"), both.drop("text"), remainder(5) != 0).join(both.drop("text"), "doc_id").collect()
+    assert sum(r.toxic for r in found) == 150 and all(r.predicted == r.toxic for r in found)
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = synthetic(spark)
     rows = quality.grade(docs, labels, remainder(4) != 2).join(labels, "doc_id").collect()
