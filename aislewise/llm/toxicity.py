@@ -240,10 +240,11 @@ def train(batches, cues: np.ndarray):
                 n += part.num_rows
     field = Field(np.zeros(1 << BITS), -3.0, np.zeros((2, 2)))
     squares = [np.full(1 << BITS, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-    for k in range(STEPS if parts else 0):
+    steps = max(STEPS, len(parts)) if parts else 0
+    for k in range(steps):
         found = gradient(field, *parts[k % len(parts)])
         squares = [s + g * g for s, g in zip(squares, found, strict=True)]
-        moved = [(1 - 0.5 * k / STEPS) * g / np.sqrt(s) for g, s in zip(found, squares, strict=True)]
+        moved = [(1 - 0.5 * k / steps) * g / np.sqrt(s) for g, s in zip(found, squares, strict=True)]
         field = Field(field.weights + moved[0], field.bias + moved[1], field.step + moved[2])
     yield pa.RecordBatch.from_pydict(
         {

@@ -286,6 +286,18 @@ def test_words_that_always_occur_together_mark_their_documents(spark):
     assert sum(r.toxic for r in found) == 150 and all(r.predicted == r.toxic for r in found)
 
 
+def test_training_reads_every_part(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    texts = ["plain words here"] * 2 + ["you are scum today"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [t], "label": [k // 2]}) for k, t in enumerate(texts)]
+    data = np.frombuffer(b"scum", np.uint8)
+    word = toxicity.features(tokens.tokenize(data, np.array([0, 4]), toxicity.PREFIXES))[:1, 0]
+    trained = next(toxicity.train(batches, word.astype(np.int64))).to_pylist()[0]
+    assert trained["n"] == 3 and np.frombuffer(trained["weights"], np.float32)[toxicity.slot(word)[0]] > 0
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = synthetic(spark)
     rows = quality.grade(docs, labels, remainder(4) != 2).join(labels, "doc_id").collect()
