@@ -166,13 +166,13 @@ def representatives(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay when one document of each group of near copies does.
 
     Near copies are those of :mod:`minhash`; fingerprints are too coarse for them. The smallest id of a group
-    stays. Of rows that repeat an id one stays; rows without an id all stay.
+    stays. Rows are told apart by their id and a hash of their text: of equal ones one stays, other texts under
+    an id stay. Rows without an id all stay.
     """
-    kept = minhash.kept(docs, words).groupBy(F.col("doc_id").alias("kept_id")).agg(F.sum("n").alias("kept_rows"))
-    kept = cut(kept, "kept")
-    same = docs["doc_id"].cast("long") == kept["kept_id"]
-    once = docs.join(kept.where("kept_rows = 1"), same, "left_semi")
-    repeated = kept.where("kept_rows > 1")
+    kept = minhash.kept(docs, words).select(F.col("doc_id").alias("kept_id"), F.col("copy").alias("kept_copy"), "n")
+    same = (docs["doc_id"].cast("long") == kept["kept_id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["kept_copy"])
+    once = docs.join(kept.where("n = 1"), same, "left_semi")
+    repeated = kept.where("n > 1")
     if not repeated.isEmpty():
-        once = once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+        once = once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return once.unionByName(docs.where(F.col("doc_id").isNull()))

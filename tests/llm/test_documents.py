@@ -106,6 +106,12 @@ def test_representatives_match_brute_force(spark, table, monkeypatch, block):
     assert loose > 40 and Counter(r.doc_id for r in simhash.representatives(docs).collect()) == Counter(smallest.values())
 
 
+def test_other_texts_under_an_id_stay(spark):
+    rows = [(1, "one two three four five six"), (2, "other words of a text that stays here"), (2, "a third text is under that id too"), (2, "ONE two three four five six")]
+    kept = simhash.representatives(spark.createDataFrame([*rows, rows[1]], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(rows[:3])
+
+
 def test_links_of_a_cell_match_brute_force():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
