@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.llm import decontaminate, embeddings, html_text, lengths, licenses, pieces, quality, simhash, toxicity, warc
+from aislewise.llm import collocations, decision_lists, decontaminate, embeddings, html_text, lengths, licenses, merkle, pieces, quality, simhash, toxicity, warc
 from aislewise.llm.common import table
 from aislewise.llm.sampling import remainder
 
@@ -53,6 +53,19 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.vocabulary())
 
 
+def op11_top_order_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decision_lists.sift(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(4) != 2)
+    return found.select("doc_id", *decision_lists.COUNTS, "base_failed", "kept")
+
+
+def op13_postorder_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"), remainder(5) == 0)
+
+
 _OPERATORS = (
     op1_best_region,
     op2_length_histogram,
@@ -64,6 +77,9 @@ _OPERATORS = (
     op8_toxic_spans,
     op9_warc_revisits,
     op10_nbest_pieces,
+    op11_top_order_rollup,
+    op12_decision_list,
+    op13_postorder_log,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
