@@ -112,17 +112,19 @@ def map_arrow(
 
 
 def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """The rows of ``docs``, with all their columns, for whose texts ``keep`` says so."""
+    """The rows of ``docs``, with all their columns, for whose texts ``keep`` says so.
 
-    def run(batches):
+    Only texts go to Python and only verdicts come back; the other columns stay where they are.
+    """
+
+    @F.arrow_udf("boolean")
+    def verdict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            plain = batch.set_column(at, "text", batch.column(at).cast(pa.string()))
-            for part in slices(plain, "text"):
-                yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+            plain = pa.RecordBatch.from_arrays([batch.cast(pa.string())], ["text"])
+            found = [np.zeros(0, bool), *(keep(part.column(0)) for part in slices(plain, "text"))]
+            yield pa.array(np.concatenate(found), pa.bool_())
 
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(verdict(F.col("text").cast("string")))
 
 
 class Forest:

@@ -87,7 +87,96 @@ QUERIES = {f.__name__: f for f in _OPERATORS}
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
+# Unsigned CRC-32 of the id written in digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+def _tree_sql(name: str, levels: int = 6) -> str:
+    """Nodes of the trees whose leaves are ``name_0(tree, seq, size, digest)``, and each node's neighbours in its run.
+
+    ``name_way(tree, seq, left0, right0, ...)`` has the digests before and after a leaf and the nodes above it; null above the root.
+    """
+    nodes = "".join(
+        f"""{name}_{k + 1} AS (
+            SELECT tree, seq // 16 AS seq, any_value(size) AS size, sha256(string_agg(digest, '' ORDER BY seq)) AS digest
+            FROM {name}_{k} WHERE size > {16**k} GROUP BY tree, seq // 16
+        ),
+        {name}_run{k} AS (
+            SELECT a.tree, a.seq, coalesce(string_agg(b.digest, '' ORDER BY b.seq) FILTER (b.seq < a.seq), '') AS before,
+                coalesce(string_agg(b.digest, '' ORDER BY b.seq) FILTER (b.seq > a.seq), '') AS after
+            FROM {name}_{k} a JOIN {name}_{k} b ON a.tree = b.tree AND a.seq // 16 = b.seq // 16 WHERE a.size > {16**k} GROUP BY a.tree, a.seq
+        ),
+        """
+        for k in range(levels)
+    )
+    columns = ", ".join(f"r{k}.before AS before{k}, r{k}.after AS after{k}" for k in range(levels))
+    joins = " ".join(f"LEFT JOIN {name}_run{k} r{k} ON r{k}.tree = l.tree AND r{k}.seq = l.seq // {16**k}" for k in range(levels))
+    roots = " UNION ALL ".join(
+        f"SELECT tree, digest FROM {name}_{k} WHERE size <= {16**k}" + (f" AND size > {16 ** (k - 1)}" if k else "") for k in range(levels + 1)
+    )
+    return f"{nodes}{name}_way AS (SELECT l.tree, l.seq, {columns} FROM {name}_0 l {joins}), {name}_root AS ({roots})"
+
+
+_OTHERS = " || ".join(f"coalesce({way}.before{k} || {way}.after{k}, '')" for way in ("own", "over") for k in range(6))
+_LEAF = " || ".join(_framed(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# One step of the way up at a time: nested in one expression each digest would be written out twice.
+_STEPS = ", ".join(
+    f"""step{k + 1} AS (SELECT * REPLACE (CASE WHEN {way}_before{k % 6} IS NULL THEN node ELSE sha256({way}_before{k % 6} || node || {way}_after{k % 6}) END AS node)
+        FROM step{k})"""
+    for k, way in enumerate(["own"] * 6 + ["over"] * 6)
+)
+_SIDES = ", ".join(f"{way}.{side}{k} AS {way}_{side}{k}" for way in ("own", "over") for side in ("before", "after") for k in range(6))
+
 ORACLE = {
+    "op11_top_order_rollup": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        places AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM w, (VALUES (1), (2), (3)) AS s(size)),
+        f AS (SELECT lang, size, w[k : k + size - 1] AS gram, count(*) AS n FROM places GROUP BY ALL),
+        cuts AS (
+            SELECT c.lang, c.size, c.gram, c.n AS a, k, x.n AS l, y.n AS r, (1000000::HUGEINT * c.n * c.n) // (x.n::HUGEINT * y.n) AS score
+            FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1 AND n >= 10) c
+            JOIN f x ON x.lang = c.lang AND x.gram = c.gram[1 : k] JOIN f y ON y.lang = c.lang AND y.gram = c.gram[k + 1 :]
+        ),
+        weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1),
+        kept AS (
+            SELECT * FROM weakest s WHERE NOT EXISTS (
+                SELECT 1 FROM weakest t WHERE t.lang = s.lang AND t.size = 3 AND s.size = 2 AND (t.gram[1:2] = s.gram OR t.gram[2:3] = s.gram) AND 100 * t.a >= 50 * s.a
+            )
+        ),
+        ranked AS (SELECT *, array_to_string(gram, ' ') AS phrase FROM kept)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang) USING (lang)
+        QUALIFY rank <= 2000
+    """,
+    "op13_postorder_log": f"""
+        WITH rows AS (
+            SELECT doc_id, coalesce('=' || source, '') AS tree, sha256({_LEAF} || {_framed("text")}) AS leaf,
+                CASE WHEN {_CRC} % 5 = 0 THEN sha256({_LEAF} || {_framed(_LOWER)}) END AS other
+            FROM documents
+        ),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS seq, count(*) OVER (PARTITION BY tree) AS size FROM rows
+        ),
+        s_0 AS (SELECT tree, seq, size, leaf AS digest FROM placed), {_tree_sql("s")},
+        t_0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS seq, count(*) OVER () AS size, digest, tree AS source FROM s_root), {_tree_sql("t")},
+        step0 AS (
+            SELECT doc_id, leaf, t_0.digest AS subroot, t_root.digest AS root, sha256({_OTHERS}) AS proof_sha256, coalesce(other, leaf) AS node, {_SIDES}
+            FROM placed JOIN s_way own ON own.tree = placed.tree AND own.seq = placed.seq JOIN t_0 ON t_0.source = placed.tree
+                JOIN t_way AS over ON over.seq = t_0.seq CROSS JOIN t_root
+        ),
+        {_STEPS}
+        SELECT doc_id, leaf, subroot, root, proof_sha256, node AS folded_root, node = root AS verified FROM step12
+    """,
     "op5_rotation_codes": """
         WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
         l AS (

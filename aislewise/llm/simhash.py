@@ -15,11 +15,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.llm import minhash
-from aislewise.llm.common import ASCII_LOWER, components, cut, map_arrow, spanning, texts_of
+from aislewise.llm.common import ASCII_LOWER, components, cut, discard, map_arrow, spanning, texts_of
 
 THRESHOLD = 3
 SEED = 42
@@ -50,17 +49,18 @@ def fingerprint(text: bytes, words: int = 3, seed: int = SEED) -> bytes:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(doc_id, fingerprint, bits)``: 16 hex digits and the same bits as a signed long. A null text has no words."""
+    """``(doc_id, copy, fingerprint, bits)``: a hash of the text, 16 hex digits, and the same bits as a signed long. A null text has no words."""
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [fingerprint(t, words) for t in texts_of(batch.column(1))]
         bits = np.frombuffer(b"".join(found), ">i8").astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([f.hex() for f in found], pa.string()), pa.array(bits)], ["doc_id", "fingerprint", "bits"]
+            [batch.column(0), batch.column(2), pa.array([f.hex() for f in found], pa.string()), pa.array(bits)], ["doc_id", "copy", "fingerprint", "bits"]
         )
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return map_arrow(rows, part, "doc_id long, fingerprint string, bits long", "text")
+    text = F.col(text_column).cast("string")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("copy"))
+    return map_arrow(rows, part, "doc_id long, copy long, fingerprint string, bits long", "text")
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -138,38 +138,44 @@ def links(points: DataFrame) -> DataFrame:
     return at_home.join(around, (at_home.anchor == around.anchor) & near).select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fingerprint, component_id, kept``.
+def classes(docs: DataFrame, point: Column, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(doc_id, copy, fingerprint, bits, component_id)`` of every row of ``docs``; ``copy`` is a hash of its text.
 
-    Equal fingerprints are one point, named by their smallest id, so copies never meet each other. Rows
-    without an id get their fingerprint, a null component and are kept; repeated ids are one document.
-    An empty table gives an empty one.
+    Equal fingerprints are one point, so copies never meet each other; ``point`` names it by its ``id``, the
+    smallest, or by its ``bits``, and a component is named by its smallest point. Rows without an id get their
+    fingerprint and a null component. An empty table gives an empty one.
     """
     prints = cut(fingerprints(docs, words, id_column, text_column), "fingerprints")
-    points = cut(prints.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("id")), "points")
+    points = prints.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("id"))
+    points = cut(points.select("bits", point.alias("id")), "points")
     found = components(spanning(links(points)))
     of_bits = cut(
-        points.join(found, points.id == found.node, "left").select(
-            F.col("bits").alias("point"), F.coalesce("component", "id").alias("component_id")
-        ),
+        points.join(found, points.id == found.node, "left").select(F.col("bits").alias("point"), F.coalesce("component", "id").alias("component")),
         "classes",
     )
-    return prints.join(of_bits, prints.bits == of_bits.point, "left").select(
-        "doc_id",
-        "fingerprint",
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-        (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"),
-    )
+    discard(points)
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
+    return prints.join(of_bits, prints.bits == of_bits.point, "left").select("doc_id", "copy", "fingerprint", "bits", component)
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, fingerprint, component_id, kept`` (see :func:`classes`).
+
+    Rows without an id are kept; repeated ids are one document.
+    """
+    kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    return classes(docs, F.col("id"), words, id_column, text_column).select("doc_id", "fingerprint", "component_id", kept.alias("kept"))
 
 
-def representatives(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay when one document of each group of near copies does.
+def representatives(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay when one of each group of near copies does.
 
-    Near copies are those of :mod:`minhash`; fingerprints are too coarse for them. The smallest id of a group
-    stays. Rows are told apart by their id and a hash of their text: of equal ones one stays, other texts under
-    an id stay. Rows without an id all stay.
+    The smallest id of a group stays, and under it, if rows repeat an id, the text with the smallest hash; of
+    equal rows one stays. Rows without an id all stay. Only keys meet before it is known what stays.
     """
-    kept = minhash.kept(docs, words).select(F.col("doc_id").alias("kept_id"), F.col("copy").alias("kept_copy"), "n")
+    rows = classes(docs, F.col("bits"), words).where("doc_id is not null").groupBy("component_id", "doc_id", "copy").agg(F.count("*").alias("n"))
+    least = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "copy", "n")).alias("x"))
+    kept = cut(least.select(F.col("x.doc_id").alias("kept_id"), F.col("x.copy").alias("kept_copy"), F.col("x.n").alias("n")), "kept")
     same = (docs["doc_id"].cast("long") == kept["kept_id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["kept_copy"])
     once = docs.join(kept.where("n = 1"), same, "left_semi")
     repeated = kept.where("n > 1")
