@@ -25,8 +25,8 @@ def of_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates goes on, compared by five-word shingles."""
-    return simhash.representatives(docs, words=5)
+    """One document of each group of near duplicates goes on: SimHash of three-word shingles, three bits."""
+    return simhash.representatives(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
