@@ -132,15 +132,22 @@ def exact_matches(texts: DataFrame, starts: DataFrame, phrases: DataFrame) -> Da
     """``(own_id, doc_id, copy, n_words, hits)`` of every row of ``texts``.
 
     ``hits`` are the places ``(start, length, phrase_id)``, in order and each once, that hold a whole phrase.
+    Words are counted in the scan; only texts with a place to look at are read for their words, and if many
+    have one, only those are shuffled.
     """
     wanted = starts.join(phrases, "phrase_id").groupBy(*KEY).agg(F.collect_set(F.struct("start", "phrase", "phrase_id")).alias("wanted"))
-    read = texts.select("own_id", *KEY, words_of(F.col("text")).alias("words")).join(wanted, KEY, "left")
+    wanted = cut(wanted, "wanted")
+    read = texts.join(wanted, KEY).select(*KEY, words_of(F.col("text")).alias("words"), "wanted")
     part = lambda c: F.transform(F.slice("words", c["start"] + 1, F.size(c["phrase"])), folded)
     hits = F.transform(
         F.filter("wanted", lambda c: part(c) == c["phrase"]),
         lambda c: F.struct(c["start"].alias("start"), F.size(c["phrase"]).alias("length"), c["phrase_id"].alias("phrase_id")),
     )
-    return read.select("own_id", *KEY, F.size("words").cast("long").alias("n_words"), F.array_sort(hits).alias("hits"))
+    found = read.select(*KEY, F.array_sort(hits).alias("hits")).where(F.size("hits") > 0)
+    # Rows with equal keys have equal texts.
+    found = cut(found.groupBy(*KEY).agg(F.first("hits").alias("hits")), "hits")
+    counted = texts.select("own_id", *KEY, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    return counted.join(found, KEY, "left")
 
 
 def covered(hits: Column) -> Column:
@@ -154,7 +161,7 @@ def covered(hits: Column) -> Column:
 
 def judge(texts: DataFrame, items: DataFrame, size: int, share: int) -> tuple[DataFrame, DataFrame]:
     """Of each row of ``texts`` (see ``keyed``) its hits and verdict, and the phrases with the items that hold them."""
-    wins = cut(windows(items.where(F.col("item_id").isNotNull()), size), "windows")
+    wins = cut(windows(items, size), "windows")
     phrases = phrases_of(wins)
     terms = cut(phrases.select(F.explode("phrase").alias("word")).distinct(), "terms")
     rarest = cut(rarest_terms(phrases, cut(term_counts(texts, terms), "counts")), "rarest")
@@ -165,7 +172,7 @@ def judge(texts: DataFrame, items: DataFrame, size: int, share: int) -> tuple[Da
     judged = found.select(
         "own_id", *KEY, "n_words", covered(hits).alias("n_hit"), F.array_distinct(F.transform(hits, lambda h: h["phrase_id"])).alias("phrases")
     )
-    owners = wins.join(phrases, "phrase").select("phrase_id", "item_id").distinct()
+    owners = wins.where("item_id IS NOT NULL").join(phrases, "phrase").select("phrase_id", "item_id").distinct()
     written = cut(judged.withColumn("contaminated", verdict), "judged"), cut(owners, "owners")
     discard(postings)
     return written
@@ -176,8 +183,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
 
     A document word inside any occurrence of a window of an item is hit; a document is contaminated if at
     least one word in ``share`` is. Null texts have no words. Rows without an id or with a repeated one
-    are judged by their own text. Items without an id or words take no part. No document or no item gives
-    no match.
+    are judged by their own text. Items without an id hit words like others, but are neither counted nor listed;
+    items without words take no part. No document or no item gives no match.
     """
     judged, owners = judge(keyed(docs), items, size, share)
     of_doc = (

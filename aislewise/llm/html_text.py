@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from aislewise.llm.common import map_arrow, texts_of
 
 MAX_LABELLED = 5_000
-MAX_FEATURES = 2_000
 
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
@@ -73,13 +72,21 @@ def chrome(tag: str, attributes: str, inside: bool) -> bool:
     return bool(words & TALK) or bool(words & CHROME) and not words & BODY
 
 
+def markup_end(page: str) -> int:
+    """Where the last tag may end; a comment that is never closed reaches to the end of the page."""
+    last = page.rfind(">") + 1
+    return len(page) if page.find("<!--", last) >= 0 else last
+
+
 def runs(page: str) -> Iterator[Run]:
     """The pieces of a page in order. Unclosed and unopened tags are taken as they come."""
     at = 0
     stack: list[tuple[str, bool]] = []
     off = inside = 0
     block, link = "", 0
-    for m in MARKUP.finditer(page):
+    unclosed: set[str] = set()
+    # No tag begins after the last end of one, so that broken markup is not searched again from each of its tags.
+    for m in MARKUP.finditer(page, 0, markup_end(page)):
         if m.start() < at:
             continue
         if m.start() > at:
@@ -91,7 +98,9 @@ def runs(page: str) -> Iterator[Run]:
         tag = tag.lower()
         if tag in RAW and not close:
             if not attributes.rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+                stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+                if not stop:
+                    unclosed.add(tag)
                 # A head or a form control that is never closed hides nothing else.
                 at = stop.end() if stop else at if tag in ("head", "button", "select", "object") else len(page)
             yield Run(None, tag, off > 0, inside > 0, tag not in INLINE)
@@ -174,7 +183,8 @@ def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> Weights:
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inner"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("outer")
     )
     word, tag = {}, {}
-    for r in sums.orderBy(F.desc(F.col("inner") + F.col("outer")), "kind", "feature").limit(MAX_FEATURES).collect():
+    # One row for each tag name of the labelled pages, whose number is bounded.
+    for r in sums.collect():
         odds = math.log((r.inner + 2) / (r.outer + 1))
         if r.kind == "word":
             word[r.feature] = min(2.0, max(0.02, odds))
@@ -199,8 +209,15 @@ def main_text(page: str, weights: Weights) -> str:
                 best, best_at = total, (start, k + 1)
         if total <= 0:
             total, start = 0.0, k + 1
+    first, stop = best_at
+    # A region within a content element is widened to all of it: tags that labelled pages lack end no article.
+    if first < stop and all(run.inside for run in pieces[first:stop] if run.text is not None and not run.off):
+        while stop < len(pieces) and pieces[stop].inside:
+            stop += 1
+        while first and pieces[first - 1].inside:
+            first -= 1
     out = []
-    for run in pieces[best_at[0] : best_at[1]]:
+    for run in pieces[first:stop]:
         if run.text is None:
             out.append(" " if run.gap else "")
         elif not run.off:

@@ -1,17 +1,17 @@
 """License notices by conditional compression.
 
-Lines with the vocabulary of license notices form candidate blocks. The words of a template are aligned with
-the places of a block that could hold most of them, whatever stands around them. The text between the first
-and last matched word is compressed alone and with the template as raw zstandard dictionary; the share of
-bytes the template saves, the gain, tells a notice from the same words in other text. What differs is
-returned. A notice may name its holder and year freely; those words of a template are left open.
+Lines with the vocabulary of license notices form candidate blocks. Windows of a block, a little longer than a
+wording, are compressed alone and with the wording as raw zstandard dictionary; the share of bytes that the
+wording saves ranks them, for its words save little in any other text. The winners are aligned with the
+wording word by word: what differs is returned, and the gain of the notice itself decides whether a changed one
+counts. A notice may name its holder and year freely; those words of a template are left open.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from aislewise.llm.common import map_arrow, texts_of
 
 CUES = r"(?i)licen[cs]|copyright|\(c\)|all rights reserved|permission|warrant|redistribut|spdx|public domain|creative commons|\bcc[ -](?:by|0)"
-MIN_GAIN = 0.25
+# A window is looked at if a wording saves this much of it, a changed notice counts if it saves this much of the notice.
+RANK_GAIN, MIN_GAIN = 0.1, 0.25
 MIN_SHARE = 0.85
 WINDOW = 400
 GAP = 3
@@ -87,7 +88,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 
 
 class Finding(NamedTuple):
+    """A confirmed notice: its license, the words of the block it spans, and how its wording differs."""
+
     license: str
+    first: int
+    last: int
     gain: float
     missing: list[str]
     added: list[str]
@@ -100,11 +105,14 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-class Place(NamedTuple):
-    """A confirmed wording in a block."""
+class Wording(NamedTuple):
+    license: str
+    words: list[str]
+    compressor: zstandard.ZstdCompressor
 
-    finding: Finding
-    matched: set[int]  # places of the block's words that are the template's
+    @property
+    def slack(self) -> int:
+        return len(self.words) // 2 + 6
 
 
 class Templates:
@@ -112,64 +120,67 @@ class Templates:
 
     def __init__(self, templates: dict[str, tuple[str, ...]]):
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.with_dictionary = []
+        self.wordings = []
         for name, wordings in templates.items():
             for wording in wordings:
                 raw = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 made = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
-                said = words(wording)
-                self.with_dictionary.append((name, said, Counter(w for w in said if w != "<>"), made))
+                self.wordings.append(Wording(name, words(wording), made))
+
+    def gain(self, wording: Wording, data: bytes) -> float:
+        """Share of the compressed size that the wording as dictionary saves."""
+        return 1 - len(wording.compressor.compress(data)) / len(self.alone.compress(data))
+
+    def candidates(self, block: str, spans: list[tuple[int, int]]) -> list[tuple[float, Wording, int, int]]:
+        """Windows of the block's words in which a wording saves at least ``RANK_GAIN``, by falling gain.
+
+        A window is half as long again as the wording and moves by half of it, so each notice lies whole in one.
+        """
+        out = []
+        for wording in self.wordings:
+            size, step = len(wording.words) + wording.slack, max(1, wording.slack)
+            for low in range(0, max(1, len(spans) - size + step), step):
+                high = min(low + size, len(spans))
+                gain = self.gain(wording, block[spans[low][0] : spans[high - 1][1]].encode())
+                if gain >= RANK_GAIN:
+                    out.append((gain, wording, low, high))
+        return sorted(out, key=lambda c: -c[0])
 
     def findings(self, block: str) -> list[Finding]:
-        """Licenses of a block, by falling gain, each in its best confirmed wording."""
+        """Notices of a block: winners of the compression whose wording is confirmed, in order of place.
+
+        The best ranked windows are aligned first. A place whose every word the wording has is exact. One that
+        misses or adds words counts if its own gain is at least ``MIN_GAIN`` and it shares no matched word with
+        a better place; an exact one counts unless it lies within an exact place of the same license.
+        """
         spans = [m.span() for m in WORD.finditer(block)]
         said = [block[a:b].lower() for a, b in spans]
-        places = []
-        for name, wording, fixed, made in self.with_dictionary:
-            for missing, added, matched in alignments(wording, fixed, said):
-                data = block[spans[min(matched)][0] : spans[max(matched)][1]].encode()
-                gain = 1 - len(made.compress(data)) / len(self.alone.compress(data))
+        places: dict[tuple, tuple[Finding, set[int]]] = {}
+        for _, wording, low, high in self.candidates(block, spans) if spans else ():
+            for missing, added, matched in confirmed(wording.words, said[low:high]):
+                first, last = low + min(matched), low + max(matched)
+                gain = self.gain(wording, block[spans[first][0] : spans[last][1]].encode())
                 if gain >= MIN_GAIN or not (missing or added):
-                    places.append(Place(Finding(name, gain, missing, added), matched))
-        found: dict[str, Finding] = {}
-        for f in sorted(self.distinct(places), key=lambda f: -f.gain):
-            best = found.get(f.license)
-            if best is None or len(f.missing) + len(f.added) < len(best.missing) + len(best.added):
-                found[f.license] = f._replace(gain=max(f.gain, best.gain) if best else f.gain)
-        return list(found.values())
-
-    @staticmethod
-    def distinct(places: list[Place]) -> list[Finding]:
-        """A wording that misses words is a near relative of a better one of another license if it matches words of it; all others stay."""
-        stay: list[Place] = []
-        for p in sorted(places, key=lambda p: (len(p.finding.missing), len(p.finding.added), -p.finding.gain)):
-            if not p.finding.missing or all(p.finding.license == q.finding.license or p.matched.isdisjoint(q.matched) for q in stay):
-                stay.append(p)
-        return [p.finding for p in stay]
-
-
-def alignments(wording: list[str], fixed: Counter, said: list[str]) -> list[tuple[list[str], list[str], set[int]]]:
-    """Places of a block that hold at least ``MIN_SHARE`` of a wording: missing words, added words, matched places.
-
-    Each is found from the longest run of words that the wording shares with a part of the block, and
-    aligned within half its length around; then the parts before and after that run are searched.
-    """
-    out, parts = [], [(0, len(said))]
-    total, slack = sum(fixed.values()), len(wording) // 2 + 6
-    while parts:
-        low, high = parts.pop()
-        if sum((Counter(said[low:high]) & fixed).values()) < MIN_SHARE * total:
-            continue
-        core = difflib.SequenceMatcher(None, wording, said[low:high], autojunk=False).find_longest_match()
-        at = low + core.b
-        begin = max(low, at - core.a - slack)
-        near = said[begin : min(high, at - core.a + len(wording) + slack)]
-        missing, added, share = differences(wording, near)
-        if share >= MIN_SHARE:
-            match = difflib.SequenceMatcher(None, wording, near, autojunk=False).get_matching_blocks()
-            out.append((missing, added, {begin + b + k for _, b, size in match for k in range(size)}))
-        parts += [(low, at), (at + core.size, high)]
-    return out
+                    places[wording.license, first, last, len(matched)] = (Finding(wording.license, first, last, gain, missing, added), {low + k for k in matched})
+        stay: list[tuple[Finding, set[int]]] = []
+        for f, matched in sorted(places.values(), key=lambda p: (len(p[0].missing) + len(p[0].added), -len(p[1]), -p[0].gain, p[0].first, p[0].license)):
+            exact = not (f.missing or f.added)
+            if all(matched.isdisjoint(other) or exact and not (g.license == f.license and matched <= other) for g, other in stay):
+                stay.append((f, matched))
+        return sorted((f for f, _ in stay), key=lambda f: (f.first, f.license))
+
+
+def confirmed(wording: list[str], said: list[str]) -> Iterator[tuple[list[str], list[str], set[int]]]:
+    """Missing words, added words and matched places of the wording in a window: where it stands word by word, else at its best alignment."""
+    whole = False
+    for at in range(len(said) - len(wording) + 1):
+        if all(a == b or a == "<>" for a, b in zip(wording, said[at:])):
+            whole = True
+            yield [], [], {at + k for k, w in enumerate(wording) if w != "<>"}
+    missing, added, share = differences(wording, said)
+    if not whole and share >= MIN_SHARE:
+        match = difflib.SequenceMatcher(None, wording, said, autojunk=False).get_matching_blocks()
+        yield missing, added, {b + k for _, b, size in match for k in range(size)}
 
 
 def differences(wording: list[str], said: list[str]) -> tuple[list[str], list[str], float]:
@@ -207,21 +218,38 @@ def blocks(text: str, cue: re.Pattern) -> list[tuple[int, int]]:
     return out
 
 
-def windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """A block in overlapping windows of at most ``WINDOW`` words, so that aligning stays cheap; nothing is left out."""
-    places = [m.span() for m in re.finditer(r"\S+", text[start:end])]
-    if len(places) <= WINDOW:
+def windows(text: str, start: int, end: int, size: int) -> list[tuple[int, int]]:
+    """A block in windows of at most ``size`` words that overlap by half, so that what is half as long lies whole in one."""
+    places = [m.span() for m in WORD.finditer(text, start, end)]
+    if len(places) <= size:
         return [(start, end)]
-    step = WINDOW // 2
-    return [(start + places[k][0], start + places[min(k + WINDOW, len(places)) - 1][1]) for k in range(0, len(places) - step, step)]
+    step = size // 2
+    return [(places[k][0], places[min(k + size, len(places)) - 1][1]) for k in range(0, len(places) - step, step)]
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """``(doc_id, start, end, license, gain, exact, missing, added)``: one row per license notice found.
 
-    ``start`` and ``end`` are characters of the block. A text that is null, empty or without a cue gives no
-    row; equal rows give equal findings. A block in which no license is confirmed gives one row with a null license.
+    ``start`` and ``end`` are characters of the notice; a block of text in which no license is confirmed gives one
+    row with a null license and the block's characters. A text that is null, empty or without a cue gives no row.
+    Equal rows give equal findings. A wording may be of any length; ``templates`` replaces the list.
     """
+    longest = max(len(words(w)) for wordings in templates.values() for w in wordings)
+    size = max(WINDOW, 4 * longest)
+
+    def notices(text: str, start: int, end: int) -> list[tuple]:
+        found: dict[tuple, tuple] = {}
+        for a, b in windows(text, start, end, size):
+            block = text[a:b]
+            if block not in known:
+                if len(known) >= 20_000:
+                    known.clear()
+                spans = [m.span() for m in WORD.finditer(block)]
+                known[block] = [(spans[f.first][0], spans[f.last][1], f) for f in made[0].findings(block)]
+            for low, high, f in known[block]:
+                exact = not (f.missing or f.added)
+                found.setdefault((a + low, f.license), (a + low, a + high, f.license, f.gain, exact, f.missing, f.added))
+        return sorted(found.values(), key=lambda r: r[:3])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
@@ -231,24 +259,12 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) ->
         for doc_id, data in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
             text = data.decode()
             for start, end in blocks(text, cue):
-                found = []
-                for a, b in windows(text, start, end):
-                    block = text[a:b]
-                    if block not in known:
-                        if len(known) >= 20_000:
-                            known.clear()
-                        known[block] = made[0].findings(block)
-                    found += known[block]
-                best: dict[str, Finding] = {}
-                for f in found:
-                    if f.license not in best or len(f.missing) < len(best[f.license].missing):
-                        best[f.license] = f
-                for f in best.values() or [Finding(None, 0.0, [], [])]:
-                    rows.append((doc_id, start, end, f.license, f.gain, bool(f.license) and not f.missing and not f.added, f.missing, f.added))
+                for notice in notices(text, start, end) or [(start, end, None, 0.0, False, [], [])]:
+                    rows.append((doc_id, *notice))
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(TYPES)], NAMES)
 
     made: list[Templates] = []
-    known: dict[str, list[Finding]] = {}
+    known: dict[str, list[tuple[int, int, Finding]]] = {}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(rows.where(F.col("text").rlike(CUES)), run, SCHEMA, "text")
 

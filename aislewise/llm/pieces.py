@@ -302,7 +302,8 @@ def encode(docs: DataFrame, v: Vocabulary, n: int = 4) -> DataFrame:
         ids = best.ids[spread(best.at, which)]
         size = np.diff(best.at)[which]
         total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[s.first])
-        at = np.concatenate(([0], np.cumsum(size)))[s.first]
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        at = bounds[s.first]
         score, gap = best.score[which], best.gap[which]
         scores = np.array([score[a:b].sum() for a, b in zip(s.first[:-1], s.first[1:], strict=True)])
         flat = ids.tolist()
@@ -311,14 +312,14 @@ def encode(docs: DataFrame, v: Vocabulary, n: int = 4) -> DataFrame:
             a, b = int(s.first[i]), int(s.first[i + 1])
             same.append(decode(flat[at[i] : at[i + 1]], v) == text)
             near = a + np.sort(least(gap[a:b], n - 1))
-            lists.append(alternatives(near[np.isfinite(gap[near])], a, s, size, float(scores[i]), int(at[i + 1] - at[i]), n) if b > a else [])
+            lists.append(alternatives(near[np.isfinite(gap[near])], a, s, bounds, flat, float(scores[i]), int(at[i + 1] - at[i]), n) if b > a else [])
         arrays = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
         return pa.RecordBatch.from_arrays(
             [batch.column(0), arrays, pa.array(total(size)), pa.array(scores), pa.array(same), pa.array(lists, NBEST)],
             ["doc_id", "ids", "n_pieces", "score", "round_trip", "nbest"],
         )
 
-    def alternatives(near: np.ndarray, first: int, s: Split, size: np.ndarray, score: float, pieces: int, n: int) -> list[dict]:
+    def alternatives(near: np.ndarray, first: int, s: Split, bounds: np.ndarray, flat: list[int], score: float, pieces: int, n: int) -> list[dict]:
         ways = [(0.0, pieces, ())]
         for i in near.tolist():
             chars = tuple(s.chars[s.start[i] : s.start[i] + s.length[i]].tolist())
@@ -326,11 +327,13 @@ def encode(docs: DataFrame, v: Vocabulary, n: int = 4) -> DataFrame:
                 if len(known) >= 100_000:
                     known.clear()
                 known[chars] = nbest(chars, n, v)
-            found = known[chars]
+            found, own = known[chars], flat[bounds[i] : bounds[i + 1]]
+            # Of paths with equal scores the two searches may put different ones first.
+            others = [(other, ids) for other, ids in found if ids != own][: n - 1]
             more = [
-                (loss + found[0][0] - other, count + len(ids) - int(size[i]), (*changes, (i - first, ids)))
+                (loss + found[0][0] - other, count + len(ids) - len(own), (*changes, (i - first, ids)))
                 for loss, count, changes in ways
-                for other, ids in found[1:]
+                for other, ids in others
             ]
             ways = sorted(ways + more, key=itemgetter(0))[:n]
         return [

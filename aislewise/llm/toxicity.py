@@ -35,7 +35,6 @@ MIN_SUPPORT = 5
 MIN_LIFT = 40
 COVER = 3
 MAX_BUNDLE = 12
-MAX_CANDIDATES = 50_000
 
 
 class Field(NamedTuple):
@@ -129,13 +128,13 @@ def gradient(field: Field, tokens: Tokens, truth: np.ndarray, hashes: np.ndarray
     return by_slot, miss.sum(), (seen - pair.sum(axis=1)).reshape(2, 2)
 
 
-def fit(rows: DataFrame, max_candidates: int = MAX_CANDIDATES) -> Field:
+def fit(rows: DataFrame) -> Field:
     """A field from ``rows(doc_id, text, label)``, a bounded number of them (``labelled`` takes them).
 
     Without toxic rows every text scores close to zero.
     """
     rows = cut(rows.repartition(SHARDS, F.xxhash64("doc_id")), "toxic-sample")
-    cues = cue_features(rows, max_candidates)
+    cues = cue_features(rows)
     found = rows.coalesce(SHARDS).mapInArrow(lambda batches: train(batches, cues), "weights binary, bias double, step array<double>, n long").collect()
     found = [r for r in found if r.n]
     discard(rows)
@@ -152,8 +151,11 @@ def fit(rows: DataFrame, max_candidates: int = MAX_CANDIDATES) -> Field:
     )
 
 
-def cue_features(rows: DataFrame, max_candidates: int) -> np.ndarray:
-    """Features that mark a token of a toxic document as toxic, as signed hashes, sorted."""
+def cue_features(rows: DataFrame) -> np.ndarray:
+    """Features that mark a token of a toxic document as toxic, as signed hashes, sorted.
+
+    Candidates are features of the bounded sample's toxic documents; nothing else bounds their number.
+    """
 
     def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = tokenize(*bytes_of(batch.column(1)), PREFIXES)
@@ -176,8 +178,6 @@ def cue_features(rows: DataFrame, max_candidates: int) -> np.ndarray:
         .groupBy("feature")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("toxic") >= MIN_SUPPORT) & lift)
-        .orderBy(F.desc("toxic"), "feature")
-        .limit(max_candidates)
         .select("feature", "clean")
         .toPandas()
         .sort_values("feature")

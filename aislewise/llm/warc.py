@@ -21,6 +21,8 @@ from aislewise.llm.common import cut, new_path
 
 END = "\r\n\r\n"
 MIN_BYTES = 100
+# Payload bytes of a file, largest payload of the first class of sizes, and how much larger each further class goes.
+FILE_BYTES, SMALL, STEP = 1 << 29, 1 << 16, 1 << 6
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + END
 COLUMNS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -62,12 +64,14 @@ def one_line(url: Column) -> Column:
     return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, records_per_file: int = 20_000) -> None:
+def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Write one record per page as gzip-compressed WARC files below ``path``.
 
     Of pages with equal payloads of at least ``min_bytes`` that with the smallest id is a response, the
     others are revisits without payload. Rows without an id, and rows that repeat the id and payload of a
-    response, are responses. Line breaks in an URL are percent-encoded; a null URL is left out.
+    response, are responses. Line breaks in an URL are percent-encoded; a null URL is left out. A file holds
+    payloads of at most ``file_bytes`` or a single record: payloads are written by classes of size, each with
+    as many records a file as its largest ones allow.
     """
     again = cut(revisits(pages, min_bytes), "revisits").withColumnRenamed("page_id", "of").withColumnRenamed("payload_digest", "with")
     rows = plain_pages(pages)
@@ -81,7 +85,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, recor
         F.lit("WARC/1.0"),
         line("WARC-Type", F.when(old, "revisit").otherwise("response")),
         line("WARC-Record-ID", record_uri(F.col("page_id"))),
-        line("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         optional("WARC-Target-URI", one_line(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(old, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_uri(F.col("refers_to"))))).otherwise(""),
@@ -90,8 +94,12 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, recor
         line("Content-Length", size.cast("string")),
         F.lit(END),
     )
-    writer = rows.select(F.concat(head, body).alias("value")).write.option("maxRecordsPerFile", records_per_file)
-    writer.text(path, compression="gzip", lineSep=END)
+    largest = rows.agg(F.max("payload_bytes")).first()[0] or 0
+    low, high = -1, SMALL
+    while low < largest:
+        some = rows.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high)).select(F.concat(head, body).alias("value"))
+        some.write.mode("append").option("maxRecordsPerFile", max(1, file_bytes // high)).text(path, compression="gzip", lineSep=END)
+        low, high = high, high * STEP
 
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -109,16 +109,16 @@ def contaminated(docs, items, size=13):
     wanted = {}
     for item, text in items:
         w = words(text)
-        for i in range(max(1, len(w) - size + 1)) if w and item is not None else ():
-            wanted.setdefault(tuple(w[i : i + size]), set()).add(str(item))
+        for i in range(max(1, len(w) - size + 1)) if w else ():
+            wanted.setdefault(tuple(w[i : i + size]), set()).update([] if item is None else [str(item)])
     out = []
     for doc, text in docs:
         w, hit, found = words(text), set(), set()
         for n in {len(k) for k in wanted}:
             for i in range(len(w) - n + 1):
-                if owners := wanted.get(tuple(w[i : i + n])):
+                if tuple(w[i : i + n]) in wanted:
                     hit.update(range(i, i + n))
-                    found |= owners
+                    found |= wanted[tuple(w[i : i + n])]
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)))
     return Counter(out)
@@ -337,6 +337,14 @@ def test_n_best_of_a_segment_matches_brute_force(text):
     assert round(float(best.score[0]), 6) == want[0][0] and (want[0][0], best.ids.tolist()) in want
 
 
+def test_alternatives_of_tied_paths(spark):
+    names = {0: ("▁", -1.0), 1: ("a", -1.0), 2: ("b", -1.0), 3: ("ab", -2.0), 4: ("▁a", -2.0)}
+    v = pieces.from_pieces(names, {b: 10 + b for b in range(256)})
+    r = pieces.encode(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), v, 3).first()
+    ways = [r.ids, *(c.ids for x in r.nbest for c in x.changes)]
+    assert sorted(map(tuple, ways)) == [(0, 1, 2), (0, 3), (4, 2)] and {x.score for x in r.nbest} == {-3.0}
+
+
 def test_n_best_of_a_text_matches_brute_force(spark):
     v = small_vocabulary()
     text = "ab ba aab"
@@ -401,16 +409,58 @@ def test_licenses_amid_prose_of_the_same_line(around):
         for wording in wordings:
             said = wording.replace("<> <>", "2020 Somebody").split()
             text = " ".join([*prose[: around // 2], *said, *prose[around // 2 :]])
-            found = [f for a, b in licenses.windows(text, 0, len(text)) for f in made.findings(text[a:b])]
+            found = [f for a, b in licenses.windows(text, 0, len(text), 800) for f in made.findings(text[a:b])]
             assert any(f.license == name and not f.missing and not f.added for f in found), (name, wording)
             if len(said) > 30:
                 text = text.replace(" ".join(said[10:13]), f"{said[10]} gladly {said[12]}")
-                found = [f for a, b in licenses.windows(text, 0, len(text)) for f in made.findings(text[a:b])]
+                found = [f for a, b in licenses.windows(text, 0, len(text), 800) for f in made.findings(text[a:b])]
                 assert any(f.license == name and ("gladly" in f.added or not f.missing) for f in found), (name, wording)
     assert made.findings(" ".join(prose)) == []
     assert made.findings("all of the crew has rights that are reserved for the old, and licensed by sea or land under the grey sky, where MIT or another harbour gives its own new license") == []
 
 
+def test_every_notice_has_its_own_row(spark):
+    long = " ".join(f"clause{k} grants license{k % 7}" for k in range(160))
+    own = {**licenses.TEMPLATES, "Own-1.0": (long,)}
+    twice = "Released under the MIT License. We sang all day. Released under the MIT License."
+    text = " ".join(PROSE * 21) + " " + long + " " + " ".join(PROSE * 30)
+    rows = [(1, twice), (1, twice), (2, text), (None, "All rights reserved.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit(1))
+    found = licenses.scan(df, own).collect()
+    mit = sorted(r.start for r in found if r.license == "MIT")
+    assert mit == [0, 0, twice.rindex("Released"), twice.rindex("Released")]
+    assert [(text[r.start : r.end], r.exact) for r in found if r.license == "Own-1.0"] == [(long, True)]
+    assert len([r for r in found if r.doc_id is None]) == 1 and len(found) == 6
+
+
+def test_the_gain_decides_what_is_aligned_and_what_counts():
+    wording = " ".join(f"alpha{k}" for k in range(40))
+    made = licenses.Templates({"X": (wording,)})
+    # The same words in another order save less, though as many of them are there.
+    shuffled = " ".join(np.random.default_rng(0).permutation(wording.split()))
+    exact, near = (made.gain(made.wordings[0], t.encode()) for t in (wording, shuffled))
+    assert exact > licenses.MIN_GAIN and near < exact
+    assert [f.missing for f in made.findings(wording)] == [[]] and made.findings(shuffled) == []
+    spans = [(m.start(), m.end()) for m in licenses.WORD.finditer(wording)]
+    gains = [g for g, *_ in made.candidates(wording, spans)]
+    assert gains and gains == sorted(gains, reverse=True) and min(gains) >= licenses.RANK_GAIN
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_notices_match_brute_force_over_all_windows(seed):
+    rng = np.random.default_rng(seed)
+    made = licenses.Templates(licenses.TEMPLATES)
+    short = [w for w in made.wordings if len(w.words) < 15]
+    text = " ".join(" ".join(rng.choice(PROSE, rng.integers(1, 9))) + " " + " ".join(short[k].words).replace("<> <>", "2020 somebody") for k in rng.integers(0, len(short), 5))
+    said = licenses.words(text)
+    fits = lambda w, i: i + len(w.words) <= len(said) and all(a in (b, "<>") for a, b in zip(w.words, said[i:]))
+    want = {(w.license, i) for w in short for i in range(len(said)) if fits(w, i)}
+    found = made.findings(text)
+    assert all(f.missing == [] for f in found if not f.added)
+    # Each place of a wording is within a notice of its license.
+    assert all(any(f.license == name and f.first <= i <= f.last for f in found) for name, i in want)
+
+
 def test_several_licenses_of_a_block_all_stay():
     made = licenses.Templates(licenses.TEMPLATES)
     apache, gpl2, gpl3 = (licenses.TEMPLATES[k][1] for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0"))

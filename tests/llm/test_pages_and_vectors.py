@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import html
 import re
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -67,7 +70,7 @@ def awkward_pages(spark):
 
 def test_archives_round_trip(spark, tmp_path):
     pages = awkward_pages(spark)
-    warc.write_archive(pages, str(tmp_path / "a"), records_per_file=3)
+    warc.write_archive(pages, str(tmp_path / "a"), file_bytes=3 * warc.SMALL)
     back = warc.read_archive(spark, str(tmp_path / "a"), payload=True)
     found = sorted(((r.page_id or 0), r.record_type, r.payload_bytes, r.refers_to) for r in warc.resolved(back).collect())
     assert found == [(0, "response", 150, None), (1, "response", 4, None), (2, "response", 4, None), (3, "response", 150, None), (3, "response", 150, None),
@@ -77,6 +80,55 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.deduplicated(pages.limit(0)).count() == 0
 
 
+def test_large_payloads_go_to_files_of_bounded_size(spark, tmp_path):
+    pages = spark.range(6).selectExpr("id AS page_id", "'u' AS url", "concat(id, repeat('x', IF(id < 3, 1000000, 10))) AS html").coalesce(1)
+    warc.write_archive(pages, str(tmp_path / "a"), file_bytes=1 << 22)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(str(tmp_path / "a")).count()
+    assert files == 4
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        warc.write_archive(pages.limit(1), str(tmp_path / "b"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(str(tmp_path / "b")).first().content
+    stated = dt.datetime.fromisoformat(next(warc.records(bytes(content)))[0]["WARC-Date"])
+    assert abs((dt.datetime.now(dt.UTC) - stated).total_seconds()) < 600
+    assert [r.payload_bytes for r in warc.read_archive(spark, str(tmp_path / "a")).orderBy("page_id").collect()] == [1000001] * 3 + [11] * 3
+
+
+ARTICLE = "<body><div class=nav>Menu</div><article><h1>Title</h1><p>" + "word " * 30 + "</p>%s</article><footer>foot</footer></body>"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<table><tr><td>one</td><td>two</td></tr></table>", "one two"),
+        ("<dl><dt>term</dt><dd>meaning</dd></dl>", "term meaning"),
+        ("<ul><li><a href=x>link</a></li></ul>", "link"),
+        ("<figure><img src=x><figcaption>caption</figcaption></figure>", "caption"),
+        ("<section><h2>closing</h2></section>", "closing"),
+        ("<pre><code>code()</code></pre>", "code()"),
+        ("<figure>" + "<img src=x>" * 40 + "</figure><p>seven words are in this last paragraph</p>", "seven words are in this last paragraph"),
+        ("<div class=comments><p>a reader says so</p></div>", ""),
+    ],
+)
+def test_an_article_is_kept_whole(html, text):
+    weights = html_text.Weights({"p": 1.5, "h1": 1.0}, {"p": -0.05, "/p": -0.05, "h1": -0.05, "/h1": -0.05})
+    assert html_text.main_text(ARTICLE % html, weights) == ("Title " + "word " * 30 + text).strip()
+
+
+@pytest.mark.parametrize("junk", ["<a href='", "<a ", "<button>", '<a href="x>', "<!-- x", "<select><p>", "<<<", "<a b='>"])
+def test_broken_markup_takes_linear_time(junk):
+    began = time.perf_counter()
+    html_text.main_text(junk * (1_000_000 // len(junk)), html_text.Weights({}, {}))
+    assert time.perf_counter() - began < 5
+
+
+def test_weights_of_many_tag_names(spark):
+    rows = [(k, "<article><p>" + "".join(f"<x{k}-{j}>a b</x{k}-{j}>" for j in range(60)) + "</p></article>") for k in range(60)]
+    assert len(html_text.fit(spark.createDataFrame(rows, "page_id long, html string")).tag) > 3000
+
+
 def brute(rows, threshold=0.98):
     groups, links, forest = {}, {}, Forest()
     for r in rows:
