@@ -45,6 +45,24 @@ def changes_table(previous: DataFrame, current: DataFrame, keys: Sequence[str],
     )
 
 
+def changes_applied(base: DataFrame, changes: DataFrame, keys: Sequence[str], stamp: str = "record_status_timestamp") -> DataFrame:
+    """The release that ``changes``, rows of any number of :func:`changes_table` results, make of ``base``.
+
+    Of a key's changes the newest wins; one that deletes leaves no row (a later insert brings the key back).
+    Columns are those of the base; a column the changes lack keeps its value. Keys are not null, as in
+    :func:`changes_table`. With base and changes bucketed
+    alike by the keys nothing is shuffled: the changes are reduced, and met by the base, within buckets.
+    """
+    rest = [c for c in base.columns if c not in keys]
+    content = F.struct("record_status", *[F.col(c) for c in rest if c in changes.columns])
+    newest = changes.groupBy(*keys).agg(F.max_by(content, F.col(stamp)).alias("__new"))
+    met = base.join(newest, list(keys), "full_outer")
+    touched = F.col("__new").isNotNull()
+    alive = F.coalesce(F.col("__new.record_status") != "DELETE", F.lit(True))
+    new = lambda c: F.when(touched, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c)
+    return met.where(alive).select(*(new(c) if c in rest and c in changes.columns else F.col(c) for c in base.columns))
+
+
 def pit_rows(release: DataFrame, released_at, stamp: str = "publication_timestamp") -> DataFrame:
     """Rows of a release under its release time, ready to append to the history."""
     return release.withColumn(stamp, moment(released_at))

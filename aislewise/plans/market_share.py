@@ -61,7 +61,7 @@ def _share_keys(items: DataFrame, attribute: str, name_missing: bool, name_missi
     return items.select(*plain, special, *brands, merchant.alias("merchant"))
 
 
-def _monthly_series(
+def monthly_series(
     items: DataFrame,
     attribute: str,
     first: dt.date | None,
@@ -84,7 +84,7 @@ def _monthly_series(
 def market_share_dense(items: DataFrame, attribute: str = "major_cat", start_date=None) -> DataFrame:
     """First-generation mart: gap-filled monthly metrics keyed by ``trunc_day``, no trailing sums."""
     first = month_start(start_date) if start_date is not None else None
-    monthly, last = _monthly_series(items, attribute, first, "standard", False, False)
+    monthly, last = monthly_series(items, attribute, first, "standard", False, False)
     dense = fill_months(monthly, KEYS, "date", ITEM_METRICS, last, first)
     return dense.withColumnRenamed("date", "trunc_day")
 
@@ -103,13 +103,27 @@ def market_share(
     alone answers that.
     """
     first = month_start(start_date) if start_date is not None else None
-    monthly, last = _monthly_series(items, attribute, first, calendar, True, calendar == "standard")
+    monthly, last = monthly_series(items, attribute, first, calendar, True, calendar == "standard")
+    return with_calendar(rolled(monthly, last, first), last, first, calendar)
+
+
+def rolled(monthly: DataFrame, last: Column, first: dt.date | None) -> DataFrame:
+    """Gap-filled months of observed ``monthly`` rows with their trailing sums, without calendar columns."""
     units = implied_units(F.col("gmv"), F.col("item_subtotal_observed"), F.col("item_quantity_observed"))
     summed = ("gmv", "units", "sample_size")
     # Totals run over observed months; added months repeat them, so the gaps add no summing.
     totals, running = running_totals(monthly.withColumn("units", metric(units)), KEYS, "date", summed, ["units"])
     dense = fill_months(totals, KEYS, "date", ITEM_METRICS, last, first, blank=["units"], carry=running)
     trailing = trailing_from_totals(dense, KEYS, "date", summed, may_be_null=["units"])
+    counts = {"item_quantity_observed", *[c for c in METRIC_COLUMNS if c.startswith("sample_size")]}
+    metrics = [
+        (F.col(c).cast("int") if c in counts else metric(F.col(c))).alias(c) for c in METRIC_COLUMNS
+    ]
+    return trailing.select("date", *KEYS, *metrics)
+
+
+def with_calendar(mart: DataFrame, last: Column, first: dt.date | None, calendar: str) -> DataFrame:
+    """The published columns of :func:`rolled` rows of a table whose last month is ``last``."""
     date = F.col("date")
     if calendar == "454":
         reach = F.add_months(last, -11)
@@ -117,12 +131,12 @@ def market_share(
         # Months that pass a year's end hold its last one.
         newest = F.when(since > retail_month_number(last), 12).otherwise(retail_month_number(last))
         named = {"retail_month_number": "month", "retail_quarter_rank": "quarter"}
-        dated = trailing.withColumns(
+        dated = mart.withColumns(
             {named.get(name, name.replace("retail_", "")): c for name, c in retail_month_columns(date).items()}
             | {"max_month": newest, "max_quarter": F.ceil(newest / 3).cast("int"), "max_date": last}
         )
     else:
-        dated = trailing.withColumns(
+        dated = mart.withColumns(
             {
                 "month_start": date,
                 "month_end": F.last_day(date),
@@ -140,11 +154,7 @@ def market_share(
         )
     order = ("parent_brand", "brand", "sub_brand", "major_cat", "sub_cat", "minor_cat", "merchant", "channel",
              "special_attribute")
-    counts = {"item_quantity_observed", *[c for c in METRIC_COLUMNS if c.startswith("sample_size")]}
-    metrics = [
-        (F.col(c).cast("int") if c in counts else metric(F.col(c))).alias(c) for c in METRIC_COLUMNS
-    ]
-    return dated.select(*CALENDAR_COLUMNS, *order, *metrics)
+    return dated.select(*CALENDAR_COLUMNS, *order, *METRIC_COLUMNS)
 
 
 def market_share_tables(items: DataFrame, special_attributes: Iterable[str] = (), start_date=None) -> dict[str, DataFrame]:

@@ -431,7 +431,7 @@ _TAGGED = """tagged AS (
          coalesce(CASE WHEN finish IS NULL THEN '{"major_cat":"' || major_cat || '"}' END, attributes_json) AS attrs_json
   FROM items
 )"""
-_RELEASES = (
+RELEASES = (
     "base AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders)",
     "previous AS (SELECT * FROM base WHERE o_orderstatus <> 'P')",
     """current_rows AS (SELECT * REPLACE (CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice + 100 ELSE o_totalprice END AS o_totalprice)
@@ -545,14 +545,14 @@ UNION ALL SELECT {_LINE}, count(*), 'only_second' FROM (SELECT * FROM second_row
         f"SELECT '{c}' AS \"column\", {_stat_columns(c)}, {_stat_columns(c, '_second', "channel = 'ONLINE'")}, "
         f"(sum({c}), min({c}), max({c}), count({c})) IS NOT DISTINCT FROM (sum({c}) FILTER (channel = 'ONLINE'), "
         f"min({c}) FILTER (channel = 'ONLINE'), max({c}) FILTER (channel = 'ONLINE'), count({c}) FILTER (channel = 'ONLINE')) AS stats_match FROM items" for c in ("item_price", "item_quantity", "gmv")]),
-    "changes_table": sql.with_(*_RELEASES) + """SELECT o_orderkey, coalesce(n.o_custkey, p.o_custkey) AS o_custkey,
+    "changes_table": sql.with_(*RELEASES) + """SELECT o_orderkey, coalesce(n.o_custkey, p.o_custkey) AS o_custkey,
        coalesce(n.o_orderstatus, p.o_orderstatus) AS o_orderstatus, coalesce(n.o_totalprice, p.o_totalprice) AS o_totalprice,
        coalesce(n.o_orderpriority, p.o_orderpriority) AS o_orderpriority,
        CASE WHEN p.o_custkey IS NULL THEN 'INSERT' WHEN n.o_custkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS record_status
 FROM previous p FULL JOIN current_rows n USING (o_orderkey)
 WHERE p.o_custkey IS NULL OR n.o_custkey IS NULL
    OR (p.o_custkey, p.o_orderstatus, p.o_totalprice, p.o_orderpriority) IS DISTINCT FROM (n.o_custkey, n.o_orderstatus, n.o_totalprice, n.o_orderpriority)""",
-    "pit_append": sql.with_(*_RELEASES, """history AS (SELECT *, DATE '2024-01-01' AS publication_timestamp FROM previous
+    "pit_append": sql.with_(*RELEASES, """history AS (SELECT *, DATE '2024-01-01' AS publication_timestamp FROM previous
   UNION ALL SELECT *, DATE '2024-02-01' FROM current_rows)""") + _rows([
         f"""SELECT * EXCLUDE (rn), '{name}' AS as_of FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY publication_timestamp DESC) AS rn
 FROM history WHERE publication_timestamp <= DATE '{day}') WHERE rn = 1""" for name, day in (("between", "2024-01-15"), ("after", "2024-02-15"))]),

@@ -17,7 +17,7 @@ TRAILING = [c for c in ms.METRIC_COLUMNS if "trailing" in c]
 BASE = ["gmv", "units", "sample_size", "item_subtotal_observed", "item_quantity_observed"]
 
 
-def _mart_report(mart, key="brand"):
+def mart_report(mart, key="brand"):
     """The mart summed over categories: every row of it counts, the result stays small enough to compare."""
     by = [*ms.CALENDAR_COLUMNS, "channel", key]
     sums = [F.sum(c).alias(c) for c in (*BASE, *TRAILING)]
@@ -36,19 +36,19 @@ def _dense(t):
 
 def market_share_std(spark, sf_dir):
     t = at(spark, sf_dir)
-    return _mart_report(ms.market_share(_items(t), "major_cat", START_DATE, "standard"))
+    return mart_report(ms.market_share(_items(t), "major_cat", START_DATE, "standard"))
 
 
 def market_share_454(spark, sf_dir):
     t = at(spark, sf_dir)
-    return _mart_report(ms.market_share(_items(t), "major_cat", START_DATE, "454"))
+    return mart_report(ms.market_share(_items(t), "major_cat", START_DATE, "454"))
 
 
 def _by_attribute(calendar):
     """Market share of a special attribute, items without one under their category."""
     def query(spark, sf_dir):
         items = _items(at(spark, sf_dir), [*ms.ITEM_COLUMNS, "finish"])
-        return _mart_report(ms.market_share(items, "finish", START_DATE, calendar), "special_attribute")
+        return mart_report(ms.market_share(items, "finish", START_DATE, calendar), "special_attribute")
 
     return query
 

@@ -9,6 +9,7 @@ from fnmatch import fnmatchcase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aislewise.operators.publish import changes_applied
 from aislewise.operators.quality import standardize_attributes, validate_attributes
 from aislewise.operators.schema import next_version, release_of, repair_null_types, schema_change
 
@@ -138,6 +139,22 @@ def append_release(df: DataFrame, schema: str, name: str) -> None:
     df.write.format("parquet").mode("append").saveAsTable(table_name(schema, name))
 
 
+def append_changes(changes: DataFrame, schema: str, name: str, keys: Sequence[str], buckets: int) -> str:
+    """Append a change set to its table, in buckets of the keys as the batch table has them."""
+    full = table_name(schema, name)
+    changes.write.format("parquet").mode("append").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(full)
+    return full
+
+
+def compact_changes(spark: SparkSession, schema: str, base: str, changes: str, keys: Sequence[str], buckets: int, name: str) -> str:
+    """Write the batch table that the change sets make of ``base`` as ``name``, in the same buckets.
+
+    The former table and its change sets stay whole until the new one is complete.
+    """
+    made = changes_applied(spark.table(table_name(schema, base)), spark.table(table_name(schema, changes)), keys)
+    return write_table(made, schema, name, bucket_by=(buckets, keys))
+
+
 def copy_table(spark: SparkSession, source: str, schema: str, name: str) -> dict[str, object]:
     """Copy a table and compare the row counts of both."""
     target = write_table(spark.table(source), schema, name)
