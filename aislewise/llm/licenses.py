@@ -123,12 +123,13 @@ class Templates:
         self.wordings = []
         for name, wordings in templates.items():
             for wording in wordings:
-                raw = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                raw = zstandard.ZstdCompressionDict(wording.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 made = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
                 self.wordings.append(Wording(name, words(wording), made))
 
-    def gain(self, wording: Wording, data: bytes) -> float:
-        """Share of the compressed size that the wording as dictionary saves."""
+    def gain(self, wording: Wording, text: str) -> float:
+        """Share of the compressed size that the wording as dictionary saves, whatever the case of letters."""
+        data = text.lower().encode()
         return 1 - len(wording.compressor.compress(data)) / len(self.alone.compress(data))
 
     def candidates(self, block: str, spans: list[tuple[int, int]]) -> list[tuple[float, Wording, int, int]]:
@@ -141,7 +142,7 @@ class Templates:
             size, step = len(wording.words) + wording.slack, max(1, wording.slack)
             for low in range(0, max(1, len(spans) - size + step), step):
                 high = min(low + size, len(spans))
-                gain = self.gain(wording, block[spans[low][0] : spans[high - 1][1]].encode())
+                gain = self.gain(wording, block[spans[low][0] : spans[high - 1][1]])
                 if gain >= RANK_GAIN:
                     out.append((gain, wording, low, high))
         return sorted(out, key=lambda c: -c[0])
@@ -159,7 +160,7 @@ class Templates:
         for _, wording, low, high in self.candidates(block, spans) if spans else ():
             for missing, added, matched in confirmed(wording.words, said[low:high]):
                 first, last = low + min(matched), low + max(matched)
-                gain = self.gain(wording, block[spans[first][0] : spans[last][1]].encode())
+                gain = self.gain(wording, block[spans[first][0] : spans[last][1]])
                 if gain >= MIN_GAIN or not (missing or added):
                     places[wording.license, first, last, len(matched)] = (Finding(wording.license, first, last, gain, missing, added), {low + k for k in matched})
         stay: list[tuple[Finding, set[int]]] = []

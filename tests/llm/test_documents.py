@@ -438,7 +438,7 @@ def test_the_gain_decides_what_is_aligned_and_what_counts():
     made = licenses.Templates({"X": (wording,)})
     # The same words in another order save less, though as many of them are there.
     shuffled = " ".join(np.random.default_rng(0).permutation(wording.split()))
-    exact, near = (made.gain(made.wordings[0], t.encode()) for t in (wording, shuffled))
+    exact, near = (made.gain(made.wordings[0], t) for t in (wording, shuffled))
     assert exact > licenses.MIN_GAIN and near < exact
     assert [f.missing for f in made.findings(wording)] == [[]] and made.findings(shuffled) == []
     spans = [(m.start(), m.end()) for m in licenses.WORD.finditer(wording)]
