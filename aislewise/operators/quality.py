@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What the checks look at unless told otherwise, and the bounds they apply (fixed values).
 CRITICAL = ("order_date", "brand", "merchant", "item_price", "item_quantity", "gmv", "user_id")
-MONETARY = ("item_price", "gmv", "full_price_estimate", "item_quantity")
+MONETARY = ("item_price", "gmv", "full_price_estimate")
+QUANTITIES = ("item_quantity",)
 DATES = ("order_date", "panel_end_date", "panel_start_date", "cohort_date")
 NON_EMPTY = ("brand", "merchant", "user_id", "order_id", "product_id")
 IDENTIFIERS = ("order_id", "user_id", "row_id")
@@ -54,7 +56,7 @@ def null_check(df: DataFrame, columns: Sequence[str] = CRITICAL) -> DataFrame:
     return found.withColumns({"null_percentage": share, "status": _status(F.col("null_count") > 0)})
 
 
-def negative_check(df: DataFrame, columns: Sequence[str] = MONETARY, max_price: float = MAX_PRICE) -> DataFrame:
+def negative_check(df: DataFrame, columns: Sequence[str] = (*MONETARY, *QUANTITIES), max_price: float = MAX_PRICE) -> DataFrame:
     """Negative amounts, with the range of each column and a flag for implausibly large ones."""
     found = _sideways(
         df,

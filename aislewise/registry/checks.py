@@ -482,9 +482,9 @@ def _has(label: str) -> str:
 
 
 ORACLE = {
-    "dq_nulls": sql.with_(sql.ITEMS) + _rows([_null_row(c) for c in (*quality.CRITICAL, "web_description", "parent_brand")]),
+    "dq_nulls": sql.with_(sql.ITEMS) + _rows([_null_row(c) for c in ("order_date", "brand", "merchant", "item_price", "item_quantity", "gmv", "user_id", "web_description", "parent_brand")]),
     "dq_negative": sql.with_(sql.ITEMS) + _rows([
-        _negative_row(c, "(gmv - item_price)" if c == "full_price_estimate" else c) for c in quality.MONETARY]),
+        _negative_row(c, "(gmv - item_price)" if c == "full_price_estimate" else c) for c in ("item_price", "gmv", "full_price_estimate", "item_quantity")]),
     "dq_dates": sql.with_(sql.ITEMS) + f"""SELECT 'order_date' AS "column", old AS too_old_count, new AS too_new_count, min_date, max_date,
        non_null_count, old + new AS total_invalid, CASE WHEN old + new > 0 THEN 'FAILED' ELSE 'PASSED' END AS status
 FROM (SELECT count(*) FILTER (WHERE order_date < DATE '{EARLIEST}') AS old, count(*) FILTER (WHERE order_date > DATE '{LATEST}') AS new,
