@@ -1,5 +1,5 @@
 """Registered queries by area, each with the SQL that checks it."""
 
-from aislewise.registry import basics, checks, people, products, releases, reports, share
+from aislewise.registry import basics, checks, large, people, products, releases, reports, share
 
-MODULES = (basics, share, products, reports, people, checks, releases)
+MODULES = (basics, share, products, reports, people, checks, releases, large)
