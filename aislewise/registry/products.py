@@ -91,64 +91,92 @@ QUERIES = {
 
 # --- oracle -----------------------------------------------------------------------------------------
 
+# Product key of the marts (fixed value).
 _KEYS = "channel, major_cat, sub_cat, minor_cat, web_description, merchant, brand, sub_brand, product_id"
 _BASE = (
     sql.ITEMS,
     "newest AS (SELECT max(month) AS last FROM items)",
-    """described AS (SELECT items.* EXCLUDE (merchant, merchant_clean), merchant_clean AS merchant, last
-       FROM items, newest WHERE web_description IS NOT NULL)""",
+    f"""sold AS (
+  SELECT {{{", ".join(f"'{k}': {'merchant_clean' if k == 'merchant' else k}" for k in _KEYS.split(", "))}}} AS product,
+         month, order_date, parent_brand, item_price * item_quantity AS spend, item_quantity, gmv, last
+  FROM items CROSS JOIN newest WHERE web_description IS NOT NULL
+)""",
 )
-_SUMS = """min(parent_brand) AS parent_brand, CAST(sum(item_price * item_quantity) AS DOUBLE) AS total_spend,
-         CAST(sum(item_quantity) AS DOUBLE) AS total_units, CAST(sum(gmv) AS DOUBLE) AS gmv, count(*) AS observations"""
-
-
-def _interval_sql(name: str, period: str, season: str, keep: str, shown: str, reported: str, order: str | None = None) -> str:
-    order = order or period
-    return f"""SELECT {_KEYS}, '{NAMES[name]}' AS display_interval, 'sku' AS product_id_type,
-       CAST(period AS DATE) AS period_starting, CAST({reported} AS DATE) AS max_date, parent_brand, total_spend,
-       total_units, gmv, observations, last_obs, last_gmv, new_sku_flag
-FROM (
-  SELECT *, lag(observations) OVER (PARTITION BY {_KEYS}, season ORDER BY pos) AS last_obs,
-         lag(gmv) OVER (PARTITION BY {_KEYS}, season ORDER BY pos) AS last_gmv,
-         CAST(row_number() OVER (PARTITION BY {_KEYS} ORDER BY pos) = 1 AS INTEGER) AS new_sku_flag
-  FROM (SELECT {_KEYS}, last, {period} AS period, {season} AS season, {order} AS pos, {_SUMS}
-        FROM described WHERE {keep} GROUP BY ALL)
-) WHERE pos = {shown}"""
+_SHOWN = ", ".join(f"now.product.{k} AS {k}" for k in _KEYS.split(", "))
+
+
+def _compared(label: str, begins: str, season: str, kept: str, shown: str, reported: str, starting: str = "now.begins",
+              named: str = "period_starting", extra: str = "") -> str:
+    """Periods of a product beside the latest comparable one before, by a join of periods with periods.
+
+    ``begins`` is the first day of the period that a sale counts for; periods of equal ``season`` compare.
+    """
+    return f"""WITH periods AS (
+  SELECT product, {begins} AS begins, {season} AS season, min(parent_brand) AS parent_brand, sum(spend) AS total_spend,
+         sum(item_quantity) AS total_units, sum(gmv) AS gmv, count(*) AS observations, min(order_date) AS opened,
+         max(order_date) AS closed
+  FROM sold WHERE {kept} GROUP BY ALL
+), chosen AS (
+  SELECT periods.*, last FROM periods CROSS JOIN newest WHERE {shown}
+), comparable AS (
+  SELECT c.product, c.begins, max(p.begins) AS earlier
+  FROM chosen c JOIN periods p ON p.product = c.product AND p.season = c.season AND p.begins < c.begins
+  GROUP BY c.product, c.begins
+), debut AS (
+  SELECT product, min(begins) AS begins FROM periods GROUP BY product
+)
+SELECT {_SHOWN}, '{label}' AS display_interval, 'sku' AS product_id_type, CAST({starting} AS DATE) AS {named},
+       CAST({reported} AS DATE) AS max_date, now.parent_brand, CAST(now.total_spend AS DOUBLE) AS total_spend,
+       CAST(now.total_units AS DOUBLE) AS total_units, CAST(now.gmv AS DOUBLE) AS gmv, now.observations,
+       before.observations AS last_obs, CAST(before.gmv AS DOUBLE) AS last_gmv,
+       CAST(debut.product IS NOT NULL AS INTEGER) AS new_sku_flag{extra}
+FROM chosen now
+LEFT JOIN comparable ON comparable.product = now.product AND comparable.begins = now.begins
+LEFT JOIN periods before ON before.product = now.product AND before.begins = comparable.earlier
+LEFT JOIN debut ON debut.product = now.product AND debut.begins = now.begins"""
 
 
 _INTERVALS = {
-    "sku_annual": _interval_sql(
-        "sku_annual", "year", "0", "year < date_trunc('year', last)", "date_trunc('year', last) - INTERVAL 12 MONTH",
-        "date_trunc('year', last) - INTERVAL 1 MONTH"),
-    "sku_ytd": _interval_sql("sku_ytd", "year", "0", "month(month) <= month(last)", "date_trunc('year', last)", "last"),
-    "sku_quarter": _interval_sql(
-        "sku_quarter", "date_trunc('quarter', month)", "quarter(month)",
-        "date_trunc('quarter', month) < date_trunc('quarter', last)", "date_trunc('quarter', last) - INTERVAL 3 MONTH",
-        "date_trunc('quarter', last) - INTERVAL 1 DAY"),
-    "sku_month": _interval_sql("sku_month", "month", "month(month)", "TRUE", "last", "last"),
-    "sku_t12": _interval_sql(
-        "sku_t12", "last - INTERVAL 11 MONTH", "0", "month >= last - INTERVAL 23 MONTH", "1", "last",
-        "CASE WHEN month >= last - INTERVAL 11 MONTH THEN 1 ELSE 0 END"),
+    # The last complete year, any earlier year before it.
+    "sku_annual": _compared(
+        "Last Year", "make_date(year(month), 1, 1)", "0", "year(month) < year(last)", "year(begins) = year(last) - 1",
+        "make_date(year(last) - 1, 12, 1)"),
+    # The running year, years cut after the month of the newest one.
+    "sku_ytd": _compared(
+        "Year-To-Date", "make_date(year(month), 1, 1)", "0", "month(month) <= month(last)", "year(begins) = year(last)", "last"),
+    # The last complete quarter, the same quarter of an earlier year.
+    "sku_quarter": _compared(
+        "Last Quarter", "make_date(year(month), 3 * quarter(month) - 2, 1)", "quarter(month)",
+        "4 * year(month) + quarter(month) < 4 * year(last) + quarter(last)",
+        "4 * year(begins) + quarter(begins) = 4 * year(last) + quarter(last) - 1",
+        "make_date(year(last), 3 * quarter(last) - 2, 1) - 1"),
+    "sku_month": _compared("Last Month", "month", "month(month)", "TRUE", "begins = last", "last"),
+    # Twelve months up to the newest one against the twelve before them.
+    "sku_t12": _compared(
+        "Trailing 12 Months", "CAST(last - to_months(CAST(11 + 12 * (datediff('month', month, last) // 12) AS INTEGER)) AS DATE)",
+        "0", "datediff('month', month, last) < 24", "datediff('month', begins, last) = 11", "last"),
 }
 
-_SERIES = sql.with_(*_BASE) + f"""SELECT {_KEYS}, 'Monthly Time Series' AS display_interval, 'sku' AS product_id_type,
-       month AS period_month, last AS max_date, parent_brand, total_spend, total_units, gmv, observations,
-       lag(observations) OVER k AS last_obs, lag(gmv) OVER k AS last_gmv,
-       CAST(row_number() OVER k = 1 AS INTEGER) AS new_sku_flag, first_observation_in_month, last_observation_in_month
-FROM (SELECT {_KEYS}, month, last, {_SUMS}, min(order_date) AS first_observation_in_month,
-             max(order_date) AS last_observation_in_month FROM described GROUP BY ALL)
-WINDOW k AS (PARTITION BY {_KEYS} ORDER BY month)"""
+_SERIES = _compared(
+    "Monthly Time Series", "month", "0", "TRUE", "TRUE", "last", named="period_month",
+    extra=", now.opened AS first_observation_in_month, now.closed AS last_observation_in_month")
+
+
+def _after_base(text: str) -> str:
+    return sql.with_(*_BASE) + f"SELECT * FROM ({text})"
+
 
 ORACLE = {
-    **{name: sql.with_(*_BASE) + text for name, text in _INTERVALS.items()},
-    "sku_analysis": sql.with_(*_BASE) + "\nUNION ALL\n".join(f"({text})" for text in _INTERVALS.values()),
-    "sku_time_series": _SERIES,
-    "sku_attributes": sql.with_(*_BASE) + f"""
+    **{name: _after_base(text) for name, text in _INTERVALS.items()},
+    "sku_analysis": _after_base("\nUNION ALL ".join(f"SELECT * FROM ({text})" for text in _INTERVALS.values())),
+    "sku_time_series": _after_base(_SERIES),
+    "sku_attributes": sql.with_(sql.ITEMS) + f"""
 SELECT brand, '{{' || concat_ws(',', '"finish":"' || finish || '"', '"region":"' || region || '"') || '}}' AS attributes_json,
        'OBJECT<' || concat_ws(', ', CASE WHEN finish IS NOT NULL THEN 'finish: STRING' END,
                                 CASE WHEN region IS NOT NULL THEN 'region: STRING' END) || '>' AS kind,
        count(*) AS product_months, count(finish) AS with_finish
-FROM (SELECT {_KEYS}, month, min(finish) AS finish, min(region) AS region FROM described GROUP BY ALL)
+FROM (SELECT {_KEYS.replace("merchant", "merchant_clean")}, month, min(finish) AS finish, min(region) AS region
+      FROM items WHERE web_description IS NOT NULL GROUP BY ALL)
 GROUP BY 1, 2, 3""",
     "sku_scorecard": sql.with_(*_BASE, f"ytd AS ({_INTERVALS['sku_ytd']})", """card AS (
   SELECT merchant, brand, web_description, product_id, min(major_cat) AS major_category, min(sub_cat) AS sub_category,
