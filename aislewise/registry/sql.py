@@ -145,7 +145,3 @@ def units(gmv: str, iso: str, iqo: str) -> str:
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
-
-
-# Four quarters up to the current one, over every quarter of the report.
-LAST_FOUR = "ROWS BETWEEN 3 PRECEDING AND CURRENT ROW"
