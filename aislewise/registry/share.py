@@ -214,79 +214,67 @@ _DENSE = _OLD + """SELECT date AS trunc_day, parent_brand, merchant, major_cat,
        CAST(sum(iso) AS DOUBLE) AS item_subtotal_observed, CAST(sum(iqo) AS DOUBLE) AS item_quantity_observed
 FROM dense GROUP BY ALL"""
 
-_GRAIN = {"Monthly": "month", "Quarterly": "quarter", "Year-to-Date": "year", "Trailing 12 Months": "month"}
+# First day and length in months of a displayed period, and the months before it that it also covers.
+_PERIODS = {"Monthly": ("month", 1, 0), "Quarterly": ("quarter", 3, 0), "Year-to-Date": ("year", None, 0), "Trailing 12 Months": ("month", 1, 11)}
 
 
 def _view_ctes(v: view.ShareView) -> str:
-    """The page query step by step, without the early aggregate."""
-    column = view.LEVELS[v.level]
-    tests = [f"{c} IN ({', '.join(repr(x) for x in xs)})" for c, xs in v.choices.items() if xs]
-    where = " AND ".join(tests) or "TRUE"
-    ytd = f"month(date) <= {v.ytd_max_month}" if v.interval == "Year-to-Date" else "TRUE"
-    trailing = v.interval == "Trailing 12 Months"
-    by_cat = "PARTITION BY display_cat ORDER BY display_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW"
-    full = f"sum(month(display_time)) OVER ({by_cat}) = 78" if trailing else "TRUE"
-    sample = f"sum(sample_size) OVER ({by_cat})" if trailing else "sample_size"
-    return _OLD + f""", filtered AS (
-  SELECT *, {column} AS cat FROM dense WHERE {where}
-), top_cats AS (
-  SELECT cat FROM (SELECT cat, sum(gmv) AS g FROM filtered WHERE cat IS NOT NULL GROUP BY cat) ORDER BY g DESC, cat LIMIT {v.top}
-), flagged AS (
-  SELECT coalesce(t.cat, 'Other Categories') AS display_cat, f.* EXCLUDE (cat)
-  FROM filtered f LEFT JOIN top_cats t ON f.cat = t.cat
-), timed AS (
-  SELECT *, CAST(date_trunc('{_GRAIN[v.interval]}', date) AS DATE) AS display_time FROM flagged WHERE {ytd}
-), samples AS (
-  SELECT display_time, display_cat, sum(sample_size) AS sample_size FROM timed GROUP BY ALL
-), sample_windows AS (
-  SELECT display_cat, {sample} AS sample_size, {full} AS is_full FROM samples
-), guard AS (
-  SELECT display_cat, CAST(sum(sample_size) AS DOUBLE) / count(sample_size) AS breakdown_ssg,
-         CAST(sum(sample_size) AS DOUBLE) / count(sample_size) >= {v.min_sample} AS is_over_threshold
-  FROM sample_windows WHERE is_full GROUP BY display_cat
+    """Amounts per period and category, and the categories whose mean sample carries a line of their own."""
+    grain, _, reach = _PERIODS[v.interval]
+    wanted = [f"{c} IN ({', '.join(repr(x) for x in xs)})" for c, xs in v.choices.items() if xs]
+    months = f"month(date) <= {v.ytd_max_month}" if v.interval == "Year-to-Date" else "TRUE"
+    return _OLD + f""", amounts AS (
+  SELECT date, {view.LEVELS[v.level]} AS cat, sum(gmv) AS gmv, sum(sample_size) AS sample_size, sum(iso) AS iso, sum(iqo) AS iqo
+  FROM dense WHERE {" AND ".join(wanted) or "TRUE"} GROUP BY ALL
+), largest AS (
+  SELECT cat FROM amounts WHERE cat IS NOT NULL GROUP BY cat ORDER BY sum(gmv) DESC, cat LIMIT {v.top}
+), cells AS (
+  SELECT CAST(date_trunc('{grain}', date) AS DATE) AS opens,
+         CASE WHEN cat IN (FROM largest) THEN cat ELSE 'Other Categories' END AS name, * EXCLUDE (date, cat)
+  FROM amounts WHERE {months}
+), sampled AS (
+  SELECT opens, name, sum(sample_size) AS sample_size FROM cells GROUP BY ALL
+), covered AS (
+  SELECT own.opens, own.name, sum(past.sample_size) AS sample_size
+  FROM sampled own JOIN sampled past
+    ON past.name = own.name AND past.opens BETWEEN own.opens - INTERVAL {reach} MONTH AND own.opens
+  GROUP BY own.opens, own.name HAVING count(*) = {reach + 1}
+), carried AS (
+  SELECT name, CAST(sum(sample_size) AS DOUBLE) / count(*) AS mean_sample FROM covered GROUP BY name
 )"""
 
 
 def _view_sql(v: view.ShareView) -> str:
-    trailing = v.interval == "Trailing 12 Months"
-    by_cat = "PARTITION BY display_cat ORDER BY display_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW"
-
-    def value(c):
-        return f"sum({c}) OVER ({by_cat})" if trailing else c
-
-    full = f"sum(month(display_time)) OVER ({by_cat}) = 78" if trailing else "TRUE"
-    end = {
-        "Monthly": "INTERVAL 1 MONTH", "Quarterly": "INTERVAL 3 MONTH", "Trailing 12 Months": "INTERVAL 1 MONTH",
-        "Year-to-Date": f"INTERVAL {v.ytd_max_month or 1} MONTH",
-    }[v.interval]
-    start = "CAST(display_time - INTERVAL 11 MONTH AS DATE)" if trailing else "display_time"
+    _, length, reach = _PERIODS[v.interval]
+    length = length or v.ytd_max_month or 1
     metric = {"GMV": "gmv", "Units": "units"}[v.metric] + ("_perc" if v.as_share else "")
-    texts = [xs for xs in (v.choices.get(c) for c in ("minor_cat", "sub_cat", "major_cat")) if xs and len(xs) <= 2]
-    text = ", ".join(texts[0]) if texts else "Multiple Categories"
-    shown = {"gmv": "CAST(gmv AS DOUBLE)", "units": "CAST(round(units, 4) AS DOUBLE)", "gmv_perc": "gmv_perc",
-             "units_perc": "units_perc"}[metric]
-    return _view_ctes(v) + f""", safe AS (
-  SELECT coalesce(g.display_cat, 'Other Categories') AS display_cat, t.* EXCLUDE (display_cat)
-  FROM timed t LEFT JOIN (SELECT display_cat FROM guard WHERE is_over_threshold) g USING (display_cat)
-), pooled AS (
-  SELECT display_time, display_cat, sum(gmv) AS gmv, sum(sample_size) AS sample_size, sum(iso) AS iso, sum(iqo) AS iqo
-  FROM safe GROUP BY ALL
-), measured AS (
-  SELECT *, CAST({sql.units('gmv', 'iso', 'iqo')} AS DECIMAL(36,8)) AS units, {sql.ratio('iso', 'iqo')} AS asp FROM pooled
-), windowed AS (
-  SELECT display_time, display_cat, asp, {value('gmv')} AS gmv, {value('units')} AS units,
-         CAST({value('sample_size')} AS BIGINT) AS sample_size, {full} AS is_full
-  FROM measured
-), shares AS (
-  SELECT *, {sql.ratio('gmv', 'sum(gmv) OVER (PARTITION BY display_time)')} AS gmv_perc,
-         {sql.ratio('units', 'sum(units) OVER (PARTITION BY display_time)')} AS units_perc
-  FROM windowed WHERE is_full
+    digits = 6 if v.as_share else 4
+    few = [xs for xs in (v.choices.get(c) for c in ("minor_cat", "sub_cat", "major_cat")) if xs and len(xs) <= 2]
+    text = ", ".join(few[0]) if few else "Multiple Categories"
+    return _view_ctes(v) + f""", lines AS (
+  SELECT opens, CASE WHEN name IN (SELECT name FROM carried WHERE mean_sample >= {v.min_sample}) THEN name
+                     ELSE 'Other Categories' END AS line,
+         sum(gmv) AS gmv, sum(sample_size) AS sample_size, {sql.ratio('sum(iso)', 'sum(iqo)')} AS asp
+  FROM cells GROUP BY ALL
+), priced AS (
+  SELECT *, CAST(CAST(gmv AS DOUBLE) / nullif(asp, 0) AS DECIMAL(36,8)) AS units FROM lines
+), periods AS (
+  SELECT own.opens AS display_time, own.line AS display_cat, own.asp, sum(past.gmv) AS gmv, sum(past.units) AS units,
+         CAST(sum(past.sample_size) AS BIGINT) AS sample_size
+  FROM priced own JOIN priced past
+    ON past.line = own.line AND past.opens BETWEEN own.opens - INTERVAL {reach} MONTH AND own.opens
+  GROUP BY ALL HAVING count(*) = {reach + 1}
+), totals AS (
+  SELECT display_time, sum(gmv) AS all_gmv, sum(units) AS all_units FROM periods GROUP BY display_time
+), page AS (
+  SELECT display_time, display_cat, CAST(gmv AS DOUBLE) AS gmv, CAST(round(units, 4) AS DOUBLE) AS units, sample_size, asp,
+         {sql.ratio('gmv', 'all_gmv')} AS gmv_perc, round({sql.ratio('units', 'all_units')}, 6) AS units_perc
+  FROM periods JOIN totals USING (display_time)
 )
-SELECT display_time, display_cat, CAST(gmv AS DOUBLE) AS gmv, CAST(round(units, 4) AS DOUBLE) AS units, sample_size,
-       asp, gmv_perc, round(units_perc, 6) AS units_perc, '{text}' AS category_texts,
-       round({shown}, {6 if v.as_share else 4}) AS display_metric, {start} AS period_starting,
-       CAST(display_time + {end} - INTERVAL 1 DAY AS DATE) AS period_end
-FROM shares"""
+SELECT *, '{text}' AS category_texts, round({metric}, {digits}) AS display_metric,
+       CAST(display_time - INTERVAL {reach} MONTH AS DATE) AS period_starting,
+       CAST(display_time + INTERVAL {length} MONTH AS DATE) - 1 AS period_end
+FROM page"""
 
 
 _INTERVAL_SQL = """
@@ -310,7 +298,7 @@ ORACLE = {
     "display_intervals": _INTERVAL_SQL,
     **{name: _view_sql(v) for name, v in VIEWS.items()},
     "guardrail": _view_ctes(VIEWS["share_display_month"])
-    + " SELECT display_cat, breakdown_ssg, is_over_threshold FROM guard",
+    + f" SELECT name AS display_cat, mean_sample AS breakdown_ssg, mean_sample >= {VIEWS['share_display_month'].min_sample} AS is_over_threshold FROM carried",
     "risk_message": f"WITH page AS ({_view_sql(VIEWS['share_display_month'])}) "
     "SELECT CASE WHEN min(sample_size) < 200 OR count(*) FILTER (WHERE display_cat = 'Other Categories') > 0 "
     "THEN 'The sample behind part of this view is thin, so some categories are pooled. A longer period or fewer filters show more.' "
