@@ -144,18 +144,16 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Ma
     return ranked.groupBy(*group).agg(*picked).select(*keys, *shown)
 
 
-def _thin_sample_flags(banded: DataFrame, quarters: DataFrame, min_avg: float, min_median: float) -> DataFrame:
+def _thin_sample_flags(rolled: DataFrame, min_avg: float, min_median: float) -> DataFrame:
     """One row: how many bands have a thin average and how many a thin median rolling sample.
 
-    The sample is rolled per department, class, merchant, channel and band, after summing sub-classes, so
-    the result does not depend on the order of sub-classes inside a quarter.
+    Samples are those of a department, class, merchant, channel and band; sub-classes are summed, so the
+    result does not depend on their order inside a quarter.
     """
-    keys = [k for k in BAND_KEYS if k != "sub_class"]
-    facts = banded.groupBy("quarter", *keys).agg(F.sum("sample_size").alias("sample_size"))
-    rolled = rolling_periods(facts, quarters, keys, "quarter", {"rolling_sample_size": "sample_size"}, 4)
     size = "rolling_sample_size"
-    averages = rolled.groupBy("price_band").agg(ratio(F.sum(size), F.count(size)).alias("avg_size"))
-    medians = exact_percentiles(rolled, ["price_band"], size, {"median_size": 0.5})
+    summed = rolled.groupBy("quarter", *[k for k in BAND_KEYS if k != "sub_class"]).agg(F.sum(size).alias(size))
+    averages = summed.groupBy("price_band").agg(ratio(F.sum(size), F.count(size)).alias("avg_size"))
+    medians = exact_percentiles(summed, ["price_band"], size, {"median_size": 0.5})
     return averages.join(medians, "price_band").agg(
         F.count_if(F.col("avg_size") < min_avg).alias("sample_size_flag_avg"),
         F.count_if(F.col("median_size") < min_median).alias("sample_size_flag_median"),
@@ -173,8 +171,13 @@ def _shown(result: DataFrame, flags: DataFrame, start: int, step: int) -> DataFr
 
 
 def _rolled(banded: DataFrame, quarters: DataFrame) -> DataFrame:
-    facts = banded.filter(F.col("gmv").isNotNull())
-    return rolling_periods(facts, quarters, BAND_KEYS, "quarter", {"rolling_merchant_gmv": "gmv"}, 4)
+    """Gmv and sample of four quarters per band key, from one pass over the facts."""
+    sums = {"rolling_merchant_gmv": "gmv", "rolling_sample_size": "sample_size"}
+    return rolling_periods(banded, quarters, BAND_KEYS, "quarter", sums, 4)
+
+
+def _sold(rolled: DataFrame) -> DataFrame:
+    return rolled.filter(F.col("rolling_merchant_gmv").isNotNull()).drop("rolling_sample_size")
 
 
 def _quarter_range(column: str, first: str | None, last: str | None) -> Column:
@@ -202,10 +205,10 @@ def band_share_merchant(
     min_median: float = MIN_MEDIAN_SAMPLE,
 ) -> DataFrame:
     """Rolling four-quarter share of each merchant inside one price band, merchants beyond the top pooled."""
-    banded = _banded(charts, start, step, choices, min_sample)
+    rolled = _rolled(_banded(charts, start, step, choices, min_sample), quarters)
     wanted = dict(zip("ABCDE", labels.price_band_labels(start, step))).get(band[0], labels.price_band_labels(start, step)[4])
     segment = (
-        _rolled(banded, quarters)
+        _sold(rolled)
         .filter(F.col("price_band") == wanted)
         .groupBy("quarter", F.col("merchant").alias("final_name"))
         .agg(F.sum("rolling_merchant_gmv").alias("segment_gmv"))
@@ -220,7 +223,7 @@ def band_share_merchant(
         .join(totals, "quarter")
         .select("quarter", "final_name", ratio(F.col("segment_gmv"), F.col("total_gmv")).alias("market_share"))
     )
-    return _shown(shares, _thin_sample_flags(banded, quarters, min_avg, min_median), start, step)
+    return _shown(shares, _thin_sample_flags(rolled, min_avg, min_median), start, step)
 
 
 def band_share(
@@ -237,8 +240,8 @@ def band_share(
     min_median: float = MIN_MEDIAN_SAMPLE,
 ) -> DataFrame:
     """Rolling four-quarter share of each price band."""
-    banded = _banded(charts, start, step, choices, min_sample)
-    segment = _rolled(banded, quarters).groupBy("quarter", "price_band").agg(
+    rolled = _rolled(_banded(charts, start, step, choices, min_sample), quarters)
+    segment = _sold(rolled).groupBy("quarter", "price_band").agg(
         F.sum("rolling_merchant_gmv").alias("segment_gmv")
     )
     totals = segment.groupBy("quarter").agg(F.sum("segment_gmv").alias("total_gmv"))
@@ -248,7 +251,7 @@ def band_share(
         .join(totals, "quarter")
         .select("quarter", "price_band", ratio(F.col("segment_gmv"), F.col("total_gmv")).alias("market_share"))
     )
-    return _shown(shares, _thin_sample_flags(banded, quarters, min_avg, min_median), start, step)
+    return _shown(shares, _thin_sample_flags(rolled, min_avg, min_median), start, step)
 
 
 def band_export(
@@ -264,16 +267,16 @@ def band_export(
     min_median: float = MIN_MEDIAN_SAMPLE,
 ) -> DataFrame:
     """Rolling gmv per quarter, channel, category, retailer and band, as exported from the page."""
-    banded = _banded(charts, start, step, choices, min_sample)
+    rolled = _rolled(_banded(charts, start, step, choices, min_sample), quarters)
     rows = (
-        _rolled(banded, quarters)
+        _sold(rolled)
         .filter(_quarter_range("quarter", first_quarter, last_quarter))
         .select(
             "quarter", "channel", "department", "class", "sub_class", F.col("merchant").alias("retailer"), "price_band",
             F.col("rolling_merchant_gmv").alias("rolling_4q_merchant_gmv"),
         )
     )
-    shown = _shown(rows, _thin_sample_flags(banded, quarters, min_avg, min_median), start, step)
+    shown = _shown(rows, _thin_sample_flags(rolled, min_avg, min_median), start, step)
     return shown.drop("sample_size_flag_avg", "sample_size_flag_median")
 
 

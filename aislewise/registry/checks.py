@@ -224,14 +224,26 @@ def null_type_repair(spark, sf_dir):
     return tidy(repaired.withColumn("product_attributes", F.to_json("product_attributes")))
 
 
+def _content(orders):
+    """Rows of the orders and a sum of hashes of their content."""
+    texts = [F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus")]
+    texts += [(F.col("o_totalprice") * 100).cast("decimal(20,0)").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")]
+    hashed = F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in texts]))
+    return orders.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.conv(F.substring(hashed, 1, 10), 16, 10).cast("bigint")).alias("content"),
+    )
+
+
 def copy_check(spark, sf_dir):
-    """Orders copied to shared storage and counted on both sides."""
+    """Orders copied to shared storage; rows and content of both sides."""
     orders = at(spark, sf_dir)("orders")
-    copy = copy_files(orders, "orders_copy")
-    counts = orders.agg(F.count(F.lit(1)).alias("source_rows"))
-    return counts.withColumn("target_rows", copy.agg(F.count(F.lit(1))).scalar()).withColumn(
-        "match", F.col("source_rows") == F.col("target_rows")
+    source, target = _content(orders), _content(copy_files(orders, "orders_copy"))
+    found = source.withColumnsRenamed({"rows": "source_rows", "content": "source_content"}).withColumns(
+        {"target_rows": target.select("rows").scalar(), "target_content": target.select("content").scalar()}
     )
+    same = (F.col("source_rows") == F.col("target_rows")) & F.col("source_content").eqNullSafe(F.col("target_content"))
+    return found.withColumn("match", same)
 
 
 MONTH = dt.date(2024, 1, 15)
@@ -481,6 +493,57 @@ def _has(label: str) -> str:
     return f"coalesce(list_contains(string_split(replace(packages, ', ', ','), ','), '{label}'), TRUE)"
 
 
+# Accepted types of the item base and the order of its first columns (fixed values).
+_MANDATORY_TYPES = {
+    "order_date": "date timestamp string", "merchant": "string", "brand": "string",
+    "item_price": "double float decimal int bigint", "item_quantity": "int bigint double float",
+    "gmv": "double float decimal", "panel_flag": "string boolean int", "month": "date string int",
+    "user_id": "string bigint int",
+}
+_OPTIONAL_TYPES = {
+    "order_id": "string bigint int", "product_id": "string bigint int", "web_description": "string", "channel": "string",
+    "source": "string", "year": "date int string", "factor_age": "float string int", "age": "string int double",
+    "gender": "string", "region": "string", "state": "string", "panel_end_date": "date timestamp string",
+    "full_price_estimate": "double float decimal", "category": "string", "subcategory": "string",
+}
+_FIRST_COLUMNS = ("order_date", "merchant", "month", "brand", "item_price", "item_quantity", "gmv", "panel_flag", "user_id")
+
+
+def _schema_sql() -> str:
+    """The item base described by DuckDB itself, held against the accepted types; counts from its rows."""
+    def listed(types, kind):
+        return [f"('{c}', '{accepted.replace(' ', '/')}', '{kind}')" for c, accepted in types.items()]
+
+    accepted = ", ".join([*listed(_MANDATORY_TYPES, "mandatory"), *listed(_OPTIONAL_TYPES, "optional")])
+    order = ", ".join(f"('{c}', {i})" for i, c in enumerate(_FIRST_COLUMNS))
+    base = sql.with_(sql.ITEMS) + "SELECT * RENAME (attributes_json AS product_attributes) FROM items"
+    return f"""WITH accepted (name, types, kind) AS (VALUES {accepted}),
+wanted (name, place) AS (VALUES {order}),
+described AS (
+  SELECT column_name AS name, row_number() OVER () - 1 AS position,
+         CASE WHEN column_name = 'product_attributes' THEN 'variant' WHEN column_type = 'VARCHAR' THEN 'string'
+              WHEN column_type = 'INTEGER' THEN 'int' ELSE lower(column_type) END AS found
+  FROM (DESCRIBE {base})
+), counts AS (
+  UNPIVOT (SELECT count(COLUMNS(*)) FROM ({base})) ON COLUMNS(*) INTO NAME name VALUE non_null_count
+), typed AS (
+  SELECT name, found, types, list_contains(string_split(types, '/'), string_split(found, '(')[1]) AS ok
+  FROM described JOIN accepted USING (name)
+), placed AS (
+  SELECT name, position, row_number() OVER (ORDER BY place) - 1 AS expected FROM wanted JOIN described USING (name)
+), findings AS (
+  SELECT 'mandatory' AS "check", name, coalesce(found, 'missing') AS detail, found IS NOT NULL AS good, 'FAILED' AS bad
+  FROM accepted LEFT JOIN described USING (name) WHERE kind = 'mandatory'
+  UNION ALL SELECT 'type', name, CASE WHEN ok THEN found ELSE found || ', expected ' || types END, ok, 'FAILED' FROM typed
+  UNION ALL SELECT 'optional', name, CASE WHEN found IS NULL THEN 'absent' ELSE 'present' END, TRUE, NULL
+  FROM accepted LEFT JOIN described USING (name) WHERE kind = 'optional'
+  UNION ALL SELECT 'order', name, 'position ' || position || ', expected ' || expected, position = expected, 'WARNING' FROM placed
+  UNION ALL SELECT 'undocumented', name, found, FALSE, 'WARNING' FROM described ANTI JOIN accepted USING (name)
+)
+SELECT name AS "column", "check", detail, CASE WHEN good THEN 'PASSED' ELSE bad END AS status, non_null_count
+FROM findings LEFT JOIN counts USING (name)"""
+
+
 ORACLE = {
     "dq_nulls": sql.with_(sql.ITEMS) + _rows([_null_row(c) for c in ("order_date", "brand", "merchant", "item_price", "item_quantity", "gmv", "user_id", "web_description", "parent_brand")]),
     "dq_negative": sql.with_(sql.ITEMS) + _rows([
@@ -558,8 +621,12 @@ WHERE p.o_custkey IS NULL OR n.o_custkey IS NULL
 FROM history WHERE publication_timestamp <= DATE '{day}') WHERE rn = 1""" for name, day in (("between", "2024-01-15"), ("after", "2024-02-15"))]),
     "null_type_repair": sql.with_(sql.ITEMS) + """SELECT brand, CAST(sum(gmv) AS DOUBLE) AS gmv, CAST(NULL AS VARCHAR) AS gender,
        CAST(NULL AS VARCHAR) AS product_attributes FROM items GROUP BY brand""",
-    "copy_check": """SELECT (SELECT count(*) FROM orders) AS source_rows, (SELECT count(o_orderkey) FROM orders) AS target_rows,
-       (SELECT count(*) FROM orders) = (SELECT count(o_orderkey) FROM orders) AS match""",
+    "copy_check": """SELECT n AS source_rows, content AS source_content, n AS target_rows, content AS target_content, TRUE AS match
+FROM (SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(o_orderkey AS VARCHAR), '-'),
+         coalesce(CAST(o_custkey AS VARCHAR), '-'), coalesce(o_orderstatus, '-'),
+         coalesce(CAST(CAST(o_totalprice * 100 AS DECIMAL(20,0)) AS VARCHAR), '-'),
+         coalesce(strftime(o_orderdate, '%Y-%m-%d'), '-'))), 1, 10) AS BIGINT)) AS BIGINT) AS content FROM orders)""",
+    "schema_report": _schema_sql(),
     "run_status": sql.with_(_LOG, """summary AS (SELECT demo_name, count(*) AS runs_count, count(error) AS runs_with_error,
          min(end_timestamp) AS first_attempt, max(end_timestamp) AS last_attempt,
          arg_max("user", (end_timestamp, run_id)) AS "user" FROM log WHERE end_timestamp >= '2024-01-01' AND end_timestamp < '2024-02-01'

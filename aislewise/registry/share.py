@@ -44,6 +44,31 @@ def market_share_454(spark, sf_dir):
     return mart_report(ms.market_share(_items(t), "major_cat", START_DATE, "454"))
 
 
+def row_digests(mart):
+    """One row per key of the mart: its months, and a sum of hashes over all columns of all its rows.
+
+    The hash of a row covers calendar, key and metrics, so two errors cannot cancel as they might in sums.
+    """
+    numbers = ["gmv", "units", "item_subtotal_observed", *[c for c in TRAILING if not c.startswith("sample")]]
+    texts = [
+        F.coalesce((F.round(c, 4) * 10000).cast("bigint").cast("string") if c in numbers else F.col(c).cast("string"), F.lit("-"))
+        for c in (*ms.CALENDAR_COLUMNS, *ms.KEYS, *ms.METRIC_COLUMNS)
+    ]
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 12), 16, 10).cast("bigint")
+    return mart.groupBy(*ms.KEYS).agg(
+        F.count(F.lit(1)).alias("months"), F.min("date").alias("first_month"), F.max("date").alias("last_month"),
+        F.sum(hashed).alias("row_hashes"),
+    )
+
+
+def _rows(calendar):
+    """Every row of the mart at its own grain."""
+    def query(spark, sf_dir):
+        return row_digests(ms.market_share(_items(at(spark, sf_dir)), "major_cat", START_DATE, calendar))
+
+    return query
+
+
 def _by_attribute(calendar):
     """Market share of a special attribute, items without one under their category."""
     def query(spark, sf_dir):
@@ -121,6 +146,8 @@ def trailing_gap_rows(spark, sf_dir):
 QUERIES = {
     "market_share_std": market_share_std,
     "market_share_454": market_share_454,
+    "market_share_rows": _rows("standard"),
+    "market_share_rows_454": _rows("454"),
     "market_share_attribute": _by_attribute("standard"),
     "market_share_attribute_454": _by_attribute("454"),
     "market_share_dense": market_share_dense,
@@ -168,12 +195,34 @@ _STD_CALENDAR = """date AS month_start, last_day(date) AS month_end, CAST(month(
          CAST(year(date) AS INTEGER) AS year, max(date) OVER () AS max_date"""
 
 
+_CALENDAR = ("date", "month_start", "month_end", "month", "quarter_start", "quarter_end", "quarter", "year_start", "year_end",
+             "year", "max_month", "max_quarter", "max_date")
+
+
 def _report_sql(source: str, key: str) -> str:
-    by = ", ".join([*ms.CALENDAR_COLUMNS, "channel", key])
+    by = ", ".join([*_CALENDAR, "channel", key])
     return f"SELECT {by}, " + ",\n       ".join(_REPORT_SELECT) + f"\nFROM {source} GROUP BY {by}"
 
 
-def _standard_sql(attribute: str, key: str) -> str:
+def _rows_sql(source: str) -> str:
+    def text(c):
+        if c == "item_subtotal_observed":
+            return "CAST(CAST(round(iso, 4) * 10000 AS BIGINT) AS VARCHAR)"
+        if c == "item_quantity_observed":
+            return "CAST(CAST(iqo AS INTEGER) AS VARCHAR)"
+        if c.startswith(("gmv", "units")):
+            return f"coalesce(CAST(CAST(round({c}, 4) * 10000 AS BIGINT) AS VARCHAR), '-')"
+        return f"coalesce(CAST({c} AS VARCHAR), '-')"
+
+    measures = ["gmv", "units", "sample_size", "item_subtotal_observed", "item_quantity_observed"]
+    measures += [f"{m}_trailing_{n}m" for m in ("gmv", "units", "sample_size") for n in (3, 6, 12)]
+    row = " || '|' || ".join(text(c) for c in [*_CALENDAR, *sql.SHARE_KEYS.split(", "), *measures])
+    return f"""SELECT {sql.SHARE_KEYS}, count(*) AS months, min(date) AS first_month, max(date) AS last_month,
+       CAST(sum(CAST('0x' || substr(md5({row}), 1, 12) AS BIGINT)) AS BIGINT) AS row_hashes
+FROM {source} GROUP BY ALL"""
+
+
+def _standard_sql(attribute: str, key: str | None) -> str:
     return sql.with_(
         sql.ITEMS,
         sql.dense("month", "items", True, True, attribute=attribute),
@@ -184,10 +233,10 @@ def _standard_sql(attribute: str, key: str) -> str:
          {_trailing_sql()}
   FROM dated WINDOW {_windows_sql()}
 )""",
-    ) + _report_sql("mart", key)
+    ) + (_report_sql("mart", key) if key else _rows_sql("mart"))
 
 
-def _retail_sql(attribute: str, key: str) -> str:
+def _retail_sql(attribute: str, key: str | None) -> str:
     return sql.with_(
         sql.ITEMS,
         sql.RETAIL_CALENDAR,
@@ -204,7 +253,7 @@ def _retail_sql(attribute: str, key: str) -> str:
   FROM measured m LEFT JOIN retail_months ON date = retail_month_for_trailing
 )""",
         f"mart AS (SELECT *, {_trailing_sql()} FROM dated WINDOW {_windows_sql()})",
-    ) + _report_sql("mart", key)
+    ) + (_report_sql("mart", key) if key else _rows_sql("mart"))
 
 
 _OLD = sql.with_(sql.ITEMS, sql.dense("month", "items", False, False))
@@ -292,6 +341,8 @@ FROM shown GROUP BY display_interval"""
 ORACLE = {
     "market_share_std": _standard_sql("major_cat", "brand"),
     "market_share_454": _retail_sql("major_cat", "brand"),
+    "market_share_rows": _standard_sql("major_cat", None),
+    "market_share_rows_454": _retail_sql("major_cat", None),
     "market_share_attribute": _standard_sql("finish", "special_attribute"),
     "market_share_attribute_454": _retail_sql("finish", "special_attribute"),
     "market_share_dense": _DENSE,
