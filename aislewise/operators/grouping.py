@@ -146,14 +146,12 @@ def rolling_periods(
 
     The reporting grid (every key in every period) is never built. A fact row is repeated under the
     periods whose window covers it, at most ``span`` of them, and summed there; grid cells whose window
-    holds no fact would be NULL and are dropped by the reports anyway. Spark broadcasts a short period list
-    by itself.
+    holds no fact would be NULL and are dropped by the reports anyway. The list of periods is read once: every
+    period carries the ones whose window covers it. Spark broadcasts a short period list by itself.
     """
-    numbered = ordered_positions(periods, period, "__at")
-    last = scalar(numbered, F.max("__at"))
-    placed = facts.join(numbered, period)
-    spread = placed.withColumn(
-        "__at", F.explode(F.sequence(F.col("__at"), F.least(F.col("__at") + span - 1, last)))
-    ).drop(period)
-    sums = spread.groupBy(*keys, "__at").agg(*[F.sum(src).alias(out) for out, src in values.items()])
-    return sums.join(numbered, "__at").drop("__at")
+    listed = periods.filter(F.col(period).isNotNull()).select(period).distinct()
+    in_order = Window.orderBy(period)
+    covering = F.array_compact(F.array(*[F.lead(period, i).over(in_order) for i in range(span)]))
+    placed = facts.join(listed.select(F.col(period).alias("__own"), covering.alias("__covering")), F.col(period) == F.col("__own"))
+    spread = placed.withColumn(period, F.explode("__covering"))
+    return spread.groupBy(*keys, period).agg(*[F.sum(src).alias(out) for out, src in values.items()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislewise.functions import labels
@@ -130,10 +130,14 @@ def _chart(
     shown_quarters = last_periods(small, "quarter", quarters)
     shown = page_filter(small, choices).join(shown_quarters, "quarter", "left_semi")
     named = label_others(shown, kept, name, other)
+    # At most the shown names by the shown quarters: windows over this keep the plan to one copy of the source.
     by_quarter = named.groupBy(name, "quarter").agg(F.sum("__value").alias("__sum"))
-    quarter_totals = named.groupBy("quarter").agg(F.sum("__value").alias("__quarter_total"))
-    name_totals = named.groupBy(name).agg(F.sum("__value").alias("__name_total"))
-    return by_quarter.join(quarter_totals, "quarter", "left").join(name_totals, name, "left")
+    return by_quarter.withColumns(
+        {
+            "__quarter_total": F.sum("__sum").over(Window.partitionBy("quarter")),
+            "__name_total": F.sum("__sum").over(Window.partitionBy(name)),
+        }
+    )
 
 
 def brand_chart(

@@ -163,11 +163,11 @@ def _thin_sample_flags(rolled: DataFrame, min_avg: float, min_median: float) ->
 def _shown(result: DataFrame, flags: DataFrame, start: int, step: int) -> DataFrame:
     """Attach the flags; hide everything for an unset price step or when both samples are thin."""
     names = ("sample_size_flag_avg", "sample_size_flag_median")
-    both = flags.select(F.struct(*names)).scalar()
-    flagged = result.withColumns({n: both[n] for n in names})
     if step == 0 or start + step == 0:
-        return flagged.filter(F.lit(False))
-    return flagged.filter((both[names[0]] == 0) | (both[names[1]] == 0))
+        return result.withColumns({n: F.lit(None).cast("long") for n in names}).filter(F.lit(False))
+    shown = flags.filter((F.col(names[0]) == 0) | (F.col(names[1]) == 0))
+    # Named once: no row where the subquery has none, and no second copy of its plan for a filter.
+    return result.select("*", F.inline(F.array_compact(F.array(shown.select(F.struct(*names)).scalar()))))
 
 
 def _rolled(banded: DataFrame, quarters: DataFrame) -> DataFrame:
@@ -180,6 +180,11 @@ def _sold(rolled: DataFrame) -> DataFrame:
     return rolled.filter(F.col("rolling_merchant_gmv").isNotNull()).drop("rolling_sample_size")
 
 
+def _share_of_quarter() -> Column:
+    """Part of a quarter's gmv; a quarter has a line per shown merchant or band, so the window stays small."""
+    return ratio(F.col("segment_gmv"), F.sum("segment_gmv").over(Window.partitionBy("quarter")))
+
+
 def _quarter_range(column: str, first: str | None, last: str | None) -> Column:
     test = F.lit(True)
     if first is not None:
@@ -214,14 +219,12 @@ def band_share_merchant(
         .agg(F.sum("rolling_merchant_gmv").alias("segment_gmv"))
     )
     kept = top_n(segment, "final_name", "segment_gmv", top)
-    totals = segment.groupBy("quarter").agg(F.sum("segment_gmv").alias("total_gmv"))
     shares = (
         label_others(page_filter(segment, {"quarter": shown_quarters}), kept, "final_name", labels.OTHER_RETAILERS, top)
         .filter(_quarter_range("quarter", first_quarter, last_quarter))
         .groupBy("quarter", "final_name")
         .agg(F.sum("segment_gmv").alias("segment_gmv"))
-        .join(totals, "quarter")
-        .select("quarter", "final_name", ratio(F.col("segment_gmv"), F.col("total_gmv")).alias("market_share"))
+        .select("quarter", "final_name", _share_of_quarter().alias("market_share"))
     )
     return _shown(shares, _thin_sample_flags(rolled, min_avg, min_median), start, step)
 
@@ -244,12 +247,10 @@ def band_share(
     segment = _sold(rolled).groupBy("quarter", "price_band").agg(
         F.sum("rolling_merchant_gmv").alias("segment_gmv")
     )
-    totals = segment.groupBy("quarter").agg(F.sum("segment_gmv").alias("total_gmv"))
     shares = (
         page_filter(segment, {"quarter": shown_quarters})
         .filter(_quarter_range("quarter", first_quarter, last_quarter))
-        .join(totals, "quarter")
-        .select("quarter", "price_band", ratio(F.col("segment_gmv"), F.col("total_gmv")).alias("market_share"))
+        .select("quarter", "price_band", _share_of_quarter().alias("market_share"))
     )
     return _shown(shares, _thin_sample_flags(rolled, min_avg, min_median), start, step)
 
