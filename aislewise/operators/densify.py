@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aislewise.functions.measures import metric
 from aislewise.functions.periods import FACTOR_TOTAL, month_factor
 
 _MONTH = "interval 1 month"
@@ -134,7 +133,3 @@ def trailing_gaps(series: DataFrame, keys: Sequence[str], month: str, since=None
     factor = F.sum(month_factor(span, F.col(month))).over(rows)
     checked = series.withColumn("partition_factor", factor).filter(F.col("partition_factor") < FACTOR_TOTAL[span])
     return checked if since is None else checked.filter(F.col(month) >= F.lit(since))
-
-
-def fixed_point(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: metric(F.col(c)) for c in columns})

@@ -11,7 +11,7 @@ from aislewise.functions.labels import sample_risk
 from aislewise.functions.measures import ratio
 from aislewise.functions.periods import floor_to
 from aislewise.operators.grouping import null_safe_join, scalar
-from aislewise.sources.items import OPTIONAL_TYPES, with_optional
+from aislewise.sources.items import with_optional
 
 KEYS = (
     "channel", "major_cat", "sub_cat", "minor_cat", "web_description", "merchant", "brand", "sub_brand", "product_id",
@@ -267,8 +267,3 @@ def reconcile_gmv(items: DataFrame, share: DataFrame, dates: DataFrame | None =
     by_share = share.filter(F.col("trunc_day") == last).groupBy(*keys).agg(F.sum("gmv").alias("share_gmv"))
     both = null_safe_join(by_item, by_share, keys, "left")
     return both.withColumn("gmv_gap", F.col("share_gmv") - F.col("sku_gmv"))
-
-
-def optional_coverage(columns: Sequence[str]) -> dict[str, bool]:
-    """Which optional item columns a table has."""
-    return {c: c in columns for c in OPTIONAL_TYPES}

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aislewise.operators import digests, paging, rules, variants
+from aislewise.operators import digests, paging, profile, quality, rules, variants
 from aislewise.operators.range_join import range_join
 from aislewise.plans.medians import rolling_medians
 from aislewise.registry import checks, sql
 from aislewise.registry.common import at, tidy
 from aislewise.sources import inputs
 from aislewise.sources.items import filter_items
+from aislewise.sources.sinks import copy_files
 
 
 def compare_buckets(spark, sf_dir):
@@ -101,6 +102,16 @@ def attribute_types(spark, sf_dir):
     return variants.variant_keys(_part_attributes(spark, sf_dir), "attributes")
 
 
+def sampled_profile(spark, sf_dir):
+    """Null shares from half of the files of the item base, sorted so that nulls cluster, held against all rows."""
+    columns = ["order_id", "line_number", "sku", "parent_brand", "web_description", "finish"]
+    items = filter_items(at(spark, sf_dir), columns).sort("finish", "sku")
+    with_files = copy_files(items, "profile_items", rows_per_file=10_000)
+    found = profile.sampled_profile(with_files, 0.5).join(quality.nonnull_profile(with_files), "column")
+    off = F.abs(F.col("null_share") - (1 - F.col("non_null_count") / F.col("table_rows")))
+    return found.select("column", "table_rows", "non_null_count", (off <= F.col("error_bound")).alias("within_bound"))
+
+
 QUERIES = {
     "compare_buckets": compare_buckets,
     "contracts_in_force": contracts_in_force,
@@ -111,6 +122,7 @@ QUERIES = {
     "export_page": export_page,
     "typed_attributes": typed_attributes,
     "attribute_types": attribute_types,
+    "sampled_profile": sampled_profile,
 }
 
 _RANKED = """ranked AS (
@@ -120,6 +132,10 @@ _RANKED = """ranked AS (
 )"""
 
 ORACLE = {
+    "sampled_profile": sql.with_(sql.ITEMS) + """SELECT "column", (SELECT count(*) FROM items) AS table_rows, non_null_count, TRUE AS within_bound
+FROM (UNPIVOT (SELECT count(order_id) AS order_id, count(line_number) AS line_number, count(sku) AS sku, count(parent_brand) AS parent_brand,
+                      count(web_description) AS web_description, count(finish) AS finish FROM items)
+      ON COLUMNS(*) INTO NAME "column" VALUE non_null_count)""",
     "compare_buckets": sql.with_(*checks.RELEASES)
     + """SELECT *, 'only_first' AS side, count(*) AS surplus FROM (SELECT * FROM previous EXCEPT ALL SELECT * FROM current_rows) GROUP BY ALL
 UNION ALL

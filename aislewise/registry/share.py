@@ -94,7 +94,7 @@ def display_intervals(spark, sf_dir):
         F.struct(F.lit(i).alias("display_interval"), interval_start(i, F.col("month")).alias("display_time"))
         for i in DISPLAY_INTERVALS
     ]
-    return (
+    offered = (
         months.select(F.inline(F.array(*shown)))
         .groupBy("display_interval")
         .agg(
@@ -103,6 +103,7 @@ def display_intervals(spark, sf_dir):
             F.max("display_time").alias("last_period"),
         )
     )
+    return ms.display_interval_table(spark).join(offered, "display_interval", "left")
 
 
 VIEWS = {

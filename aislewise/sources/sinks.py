@@ -48,10 +48,10 @@ def warehouse_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def copy_files(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to its own folder in the warehouse and return the copy."""
+def copy_files(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+    """Write a frame to its own folder in the warehouse and return the copy; 0 sets no bound on the rows of a file."""
     path = warehouse_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
