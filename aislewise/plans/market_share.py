@@ -12,7 +12,7 @@ from aislewise.functions import labels
 from aislewise.functions.measures import implied_units, metric
 from aislewise.functions.periods import DISPLAY_INTERVALS, end_of, floor_to
 from aislewise.operators.densify import fill_months, running_totals, trailing_from_totals
-from aislewise.operators.grouping import ITEM_METRICS, hier_agg, largest, scalar
+from aislewise.operators.grouping import ITEM_METRICS, hier_agg, largest
 from aislewise.sources.calendars import month_start, retail_month_columns, retail_month_number, retail_month_of
 
 KEYS = (
