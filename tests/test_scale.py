@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from aislewise.plans import leakage
+from aislewise.plans import leakage, sku
 
 
 def exchanges(df, by=""):
@@ -52,3 +52,18 @@ def test_a_retailer_without_a_name_is_a_retailer(spark):
     assert got == {(None, None, Decimal("5.0000"), Decimal("0.0000"), 7), (None, "m", Decimal("3.0000"), Decimal("4.0000"), 9)}
     # One shuffle of user rows; the others move sums per cell.
     assert exchanges(report, "user_id") == 1 and exchanges(report) == 4
+
+
+def test_product_marts_deal_items_once(spark):
+    months = [dt.date(2024, 1, 1), dt.date(2024, 2, 1)]
+    rows = [(m + dt.timedelta(days=i % 3), m, "ONLINE", "x", "y", "z", f"w{i % 2}", "M", "b", "s", None if i < 2 else f"p{i}", i % 2,
+             Decimal("1.00"), Decimal("2.00"), Decimal("3.00")) for m in months for i in range(6)]
+    items = spark.createDataFrame(
+        rows, "order_date date, month date, channel string, major_cat string, sub_cat string, minor_cat string, web_description string, "
+        "merchant_clean string, brand string, sub_brand string, parent_brand string, product_id int, item_price decimal(18,2), "
+        "item_quantity decimal(12,2), gmv decimal(18,4)")
+    series = sku.sku_time_series(items)
+    got = {(r.product_id, r.period_month, r.parent_brand, r.observations, r.last_obs, r.total_spend) for r in series.collect()}
+    assert got == {(p, m, f"p{p + 2}", 3, None if m == months[0] else 3, Decimal("6.0000")) for p in (0, 1) for m in months}
+    assert exchanges(series) == 1
+    assert exchanges(sku.sku_analysis(items)) == 1
