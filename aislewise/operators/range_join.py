@@ -57,6 +57,18 @@ def binned(intervals: DataFrame, first: Column, last: Column, lowest: Column, hi
     return levelled.withColumn("__bin", F.explode(bins)).drop("__lowest", "__highest")
 
 
+def lookups(points: DataFrame, placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Points repeated under their bin of each level in use, where there are keys only of the levels their key uses."""
+    # At most LEVELS numbers, whatever the number of intervals.
+    used = F.collect_set("__level")
+    if keys:
+        levelled = points.join(placed.groupBy(*keys).agg(used.alias("__levels")), list(keys))
+    else:
+        levelled = points.withColumn("__levels", placed.agg(F.array_sort(used)).scalar())
+    spread = levelled.select("*", F.explode("__levels").alias("__level")).drop("__levels")
+    return spread.withColumn("__bin", F.expr("shiftright(__at, __level)"))
+
+
 def range_join(
     rows: DataFrame, intervals: DataFrame, point: str, start: str, end: str, on: Sequence[str] = (), how: str = "left"
 ) -> DataFrame:
@@ -67,7 +79,7 @@ def range_join(
     intervals match more than once. Rows that repeat are kept as often; ``how`` is ``left`` or ``inner``.
 
     Intervals are kept under one or two bins of a level that fits their length, points are looked up once on each level
-    in use, and a test of the bounds follows: an equi join on (keys, level, bin). Only the different points
+    in use (by their key, if there are keys), and a test of the bounds follows: an equi join on (keys, level, bin). Only the different points
     are looked up, so a hot one costs no more than others and wide rows are joined once. Neither the rows of
     an interval nor its length multiply anything.
     """
@@ -82,10 +94,7 @@ def range_join(
     bounds = rows.agg(F.struct(F.min(_ordinal(rows, point)).alias("low"), F.max(_ordinal(rows, point)).alias("high"))).scalar()
     kept = intervals.dropna(subset=keys) if keys else intervals
     placed = binned(kept, _ordinal(intervals, start), _ordinal(intervals, end), bounds["low"], bounds["high"])
-    # At most LEVELS numbers, whatever the number of intervals.
-    levels = placed.agg(F.array_sort(F.collect_set("__level"))).scalar()
-    spread = points.withColumn("__levels", levels).select("*", F.explode("__levels").alias("__level")).drop("__levels")
-    spread = spread.withColumn("__bin", F.expr("shiftright(__at, __level)"))
+    spread = lookups(points, placed, keys)
     met = spread.join(placed, [*keys, "__level", "__bin"]).filter(F.col("__at").between(F.col("__from"), F.col("__to")))
     found = met.select(*[F.col(c).alias(f"__{c}") for c in (*keys, point)], *[c for c in intervals.columns if c not in keys])
     test = F.col(point) == F.col(f"__{point}")

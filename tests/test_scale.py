@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from aislewise.operators.range_join import binned, lookups, range_join
 from aislewise.plans import leakage, sku
 
 
@@ -67,3 +68,14 @@ def test_product_marts_deal_items_once(spark):
     assert got == {(p, m, f"p{p + 2}", 3, None if m == months[0] else 3, Decimal("6.0000")) for p in (0, 1) for m in months}
     assert exchanges(series) == 1
     assert exchanges(sku.sku_analysis(items)) == 1
+
+
+def test_points_are_looked_up_on_the_levels_of_their_key_only(spark):
+    # One interval per key, each of another level.
+    intervals = spark.createDataFrame([(k, 0, 2**k) for k in range(20)], "k int, s long, e long")
+    points = spark.createDataFrame([(k, p) for k in range(25) for p in (0, 2**k, 2**k + 1)], "k int, p long").withColumn("__at", F.col("p"))
+    placed = binned(intervals, F.col("s"), F.col("e"), F.lit(0), F.lit(2**40))
+    assert lookups(points, placed, ["k"]).count() == 60
+    assert lookups(points, placed, []).count() == 75 * 20
+    met = range_join(points.drop("__at"), intervals, "p", "s", "e", ["k"], "inner")
+    assert sorted((r.k, r.p) for r in met.collect()) == sorted((k, p) for k in range(20) for p in (0, 2**k))
