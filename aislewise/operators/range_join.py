@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 # Levels of a 64-bit axis: bins of level n are 2^n wide.
 LEVELS = 64
+# A join uses every fourth level: a quarter of the lookups of each point, for about 2.5 times the tests of a pair that is met.
+STEP = 4
 
 
 def _ordinal(df: DataFrame, column: str) -> Column:
@@ -36,11 +38,12 @@ def _same_type(rows: DataFrame, intervals: DataFrame, point: str, ends: Sequence
             raise TypeError(f"{c} is {other.simpleString()}, but {point} is {kind.simpleString()}")
 
 
-def binned(intervals: DataFrame, first: Column, last: Column, lowest: Column, highest: Column) -> DataFrame:
+def binned(intervals: DataFrame, first: Column, last: Column, lowest: Column, highest: Column, step: int = 1) -> DataFrame:
     """Intervals clipped to the axis that has points, each under the one or two bins that cover it.
 
     An interval goes to the level whose bins are the first that are wider than it, so it meets at most two of them and
     fills at least a quarter of what they cover: a point that meets it in a bin is inside it often. An end that is NULL is open.
+    With ``step`` only levels divisible by it are used, up to the highest of all.
     """
     clipped = intervals.withColumns({"__lowest": lowest, "__highest": highest})
     clipped = clipped.withColumns(
@@ -52,7 +55,8 @@ def binned(intervals: DataFrame, first: Column, last: Column, lowest: Column, hi
     # The number of binary digits of the length; a length beyond 64 bits has no difference.
     length = F.try_subtract(F.col("__to"), F.col("__from"))
     digits = F.when(length == 0, 0).otherwise(F.length(F.bin(length)))
-    levelled = clipped.withColumn("__level", F.coalesce(digits, F.lit(LEVELS - 1)).cast("int"))
+    level = F.least(F.ceil(F.coalesce(digits, F.lit(LEVELS - 1)) / step) * step, F.lit(LEVELS - 1))
+    levelled = clipped.withColumn("__level", level.cast("int"))
     bins = F.array_distinct(F.array(F.expr("shiftright(__from, __level)"), F.expr("shiftright(__to, __level)")))
     return levelled.withColumn("__bin", F.explode(bins)).drop("__lowest", "__highest")
 
@@ -79,8 +83,9 @@ def range_join(
     intervals match more than once. Rows that repeat are kept as often; ``how`` is ``left`` or ``inner``.
 
     Intervals are kept under one or two bins of a level that fits their length, points are looked up once on each level
-    in use (by their key, if there are keys), and a test of the bounds follows: an equi join on (keys, level, bin). Only the different points
-    are looked up, so a hot one costs no more than others and wide rows are joined once. Neither the rows of
+    in use (by their key, if there are keys), and a test of the bounds follows: an equi join on (keys, level, bin).
+    An inner join looks up the rows themselves, and no pair is moved after it is found. A left join looks up the different
+    points and joins what they meet back to the rows, which keeps rows that meet nothing. Neither the rows of
     an interval nor its length multiply anything.
     """
     if how not in ("left", "inner"):
@@ -90,12 +95,15 @@ def range_join(
     clash = (set(rows.columns) & set(intervals.columns)) - set(keys)
     if clash:
         raise ValueError(f"columns on both sides: {', '.join(sorted(clash))}")
-    points = rows.select(*keys, point).dropna().distinct().withColumn("__at", _ordinal(rows, point))
+    points = rows.dropna(subset=[*keys, point]) if how == "inner" else rows.select(*keys, point).dropna().distinct()
+    points = points.withColumn("__at", _ordinal(rows, point))
     bounds = rows.agg(F.struct(F.min(_ordinal(rows, point)).alias("low"), F.max(_ordinal(rows, point)).alias("high"))).scalar()
     kept = intervals.dropna(subset=keys) if keys else intervals
-    placed = binned(kept, _ordinal(intervals, start), _ordinal(intervals, end), bounds["low"], bounds["high"])
+    placed = binned(kept, _ordinal(intervals, start), _ordinal(intervals, end), bounds["low"], bounds["high"], STEP)
     spread = lookups(points, placed, keys)
     met = spread.join(placed, [*keys, "__level", "__bin"]).filter(F.col("__at").between(F.col("__from"), F.col("__to")))
+    if how == "inner":
+        return met.select(*rows.columns, *[c for c in intervals.columns if c not in keys])
     found = met.select(*[F.col(c).alias(f"__{c}") for c in (*keys, point)], *[c for c in intervals.columns if c not in keys])
     test = F.col(point) == F.col(f"__{point}")
     for k in keys:

@@ -79,3 +79,15 @@ def test_points_are_looked_up_on_the_levels_of_their_key_only(spark):
     assert lookups(points, placed, []).count() == 75 * 20
     met = range_join(points.drop("__at"), intervals, "p", "s", "e", ["k"], "inner")
     assert sorted((r.k, r.p) for r in met.collect()) == sorted((k, p) for k in range(20) for p in (0, 2**k))
+
+
+def test_intervals_of_neighbouring_lengths_share_a_level(spark):
+    intervals = spark.createDataFrame([(i, i + 2**k) for k in range(20) for i in range(3)], "s long, e long")
+    placed = binned(intervals, F.col("s"), F.col("e"), F.lit(0), F.lit(2**40), 4)
+    assert sorted(r[0] for r in placed.select("__level").distinct().collect()) == [4, 8, 12, 16, 20]
+    points = spark.createDataFrame([(p,) for p in range(0, 2**20, 7919)] + [(5,), (5,)], "p long")
+    met = range_join(points, intervals, "p", "s", "e", how="inner")
+    assert sorted(map(tuple, met.collect())) == sorted(
+        (p, s, e) for (p,) in points.collect() for s, e in intervals.collect() if s <= p <= e)
+    # Pairs that are found are not shuffled again: both sides meet in the last shuffles.
+    assert exchanges(met, "p") == 0
