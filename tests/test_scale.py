@@ -91,3 +91,16 @@ def test_intervals_of_neighbouring_lengths_share_a_level(spark):
         (p, s, e) for (p,) in points.collect() for s, e in intervals.collect() if s <= p <= e)
     # Pairs that are found are not shuffled again: both sides meet in the last shuffles.
     assert exchanges(met, "p") == 0
+
+
+def test_rolling_medians_aggregate_items_by_hash(spark):
+    from aislewise.plans.medians import rolling_medians
+
+    rows = [(g, q, float(v)) for g in range(3) for q in range(2) for v in (1, 2, 2, 9)] + [(0, 0, -0.0), (0, 0, 0.0)]
+    items = spark.createDataFrame(rows, "g int, q int, v double")
+    found = rolling_medians(items, ["g"], "q", "v")
+    got = {(r.g, r.q): (r.n_values, r.within) for r in found.collect()}
+    assert got == {(g, q): (4 * (q + 1) + 2 * (g == 0), True) for g in range(3) for q in range(2)}
+    # Rows are dealt once; nothing is expanded before it is summed.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array(true, false))" not in plan and "__sketched" not in plan
