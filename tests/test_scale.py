@@ -81,6 +81,15 @@ def test_points_are_looked_up_on_the_levels_of_their_key_only(spark):
     assert sorted((r.k, r.p) for r in met.collect()) == sorted((k, p) for k in range(20) for p in (0, 2**k))
 
 
+def test_items_dealt_by_product_move_no_product_texts(spark, tables, sf_dir):
+    from aislewise.registry import products, reports
+
+    for query in (products.QUERIES["sku_annual"], products.QUERIES["sku_month"], reports.price_item_base):
+        df = query(spark, sf_dir)
+        assert exchanges(df, "l_partkey") == 1
+        assert exchanges(df, "product_id") == exchanges(df, "sku") == exchanges(df, "channel") == exchanges(df, "quarter") == 0
+
+
 def test_intervals_of_neighbouring_lengths_share_a_level(spark):
     intervals = spark.createDataFrame([(i, i + 2**k) for k in range(20) for i in range(3)], "s long, e long")
     placed = binned(intervals, F.col("s"), F.col("e"), F.lit(0), F.lit(2**40), 4)
