@@ -81,6 +81,26 @@ def test_points_are_looked_up_on_the_levels_of_their_key_only(spark):
     assert sorted((r.k, r.p) for r in met.collect()) == sorted((k, p) for k in range(20) for p in (0, 2**k))
 
 
+def scans(df, column):
+    """Scans of a table that the physical plan runs; those behind a shuffle that is used again are not repeated in it."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+    return sum("FileScan parquet" in line and column in line for line in plan.splitlines())
+
+
+def test_price_reports_scan_their_items_once(spark, tables, sf_dir):
+    from aislewise.registry import reports
+
+    # The priced items once; band reports also the quarters of the report.
+    assert scans(reports.price_quantiles(spark, sf_dir), "l_extendedprice") == 1
+    for query in (reports.band_export, reports.band_share_merchant):
+        found = query(spark, sf_dir)
+        assert scans(found, "l_extendedprice") == 1 and scans(found, "l_orderkey") == 2
+
+
 def test_items_dealt_by_product_move_no_product_texts(spark, tables, sf_dir):
     from aislewise.registry import products, reports
 
