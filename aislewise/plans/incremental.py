@@ -10,6 +10,7 @@ mart only the months from the first changed one on are rewritten, and rows of ot
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +47,27 @@ class IncrementalMart(NamedTuple):
         A release that failed half-way is repeated under its number: its rows replace what it left. A release
         without rows changes nothing.
         """
-        deltas, _ = monthly_series(items, self.attribute, self.first, self.calendar, True, self.calendar == "standard")
+        deltas = self._observed(items)
         path = f"{self.folder}/deltas/release={release}"
         deltas.write.mode("overwrite").parquet(path)
-        deltas = self.spark.read.schema(deltas.schema).parquet(path)
+        self._bring(self.spark.read.schema(deltas.schema).parquet(path), release)
+
+    def add_all(self, items: DataFrame, releases: int) -> None:
+        """Bring releases 1 to ``releases`` of ``items`` in, each row of that in its column ``release``.
+
+        The items are scanned once for all of them, then the releases follow each other as by :meth:`add`.
+        """
+        deltas = self._observed(items.where(F.col("release").between(1, releases)), ["release"])
+        path = f"{self.folder}/deltas"
+        deltas.write.mode("overwrite").partitionBy("release").parquet(path)
+        stored = self.spark.read.schema(deltas.schema).parquet(path)
+        for release in range(1, releases + 1):
+            self._bring(stored.where(F.col("release") == release).drop("release"), release)
+
+    def _observed(self, items: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        return monthly_series(items, self.attribute, self.first, self.calendar, True, self.calendar == "standard", also)[0]
+
+    def _bring(self, deltas: DataFrame, release: int) -> None:
         newest = deltas.agg(F.max("date")).first()[0]
         if newest is None:
             return

@@ -47,8 +47,10 @@ def attribute_columns(special_attributes: Iterable[str]) -> list[str]:
     return list(dict.fromkeys([*special_attributes, "major_cat"]))
 
 
-def _share_keys(items: DataFrame, attribute: str, name_missing: bool, name_missing_merchant: bool) -> DataFrame:
-    """Key columns of the marts. ``name_missing`` labels missing brands; merchants have their own switch."""
+def _share_keys(
+    items: DataFrame, attribute: str, name_missing: bool, name_missing_merchant: bool, also: Iterable[str] = ()
+) -> DataFrame:
+    """Key columns of the marts, and ``also`` others. ``name_missing`` labels missing brands; merchants have their own switch."""
     special = F.coalesce(F.col(attribute).cast("string"), F.col("major_cat")).alias("special_attribute")
     brands = [
         labels.brand_or(labels.UNBRANDED, F.col(b)).alias(b) if name_missing else F.col(b)
@@ -58,7 +60,7 @@ def _share_keys(items: DataFrame, attribute: str, name_missing: bool, name_missi
     if name_missing_merchant:
         merchant = F.coalesce(merchant, F.lit(labels.NO_MERCHANT))
     plain = ["order_date", "channel", "major_cat", "sub_cat", "minor_cat", "gmv", "item_price", "item_quantity"]
-    return items.select(*plain, special, *brands, merchant.alias("merchant"))
+    return items.select(*also, *plain, special, *brands, merchant.alias("merchant"))
 
 
 def monthly_series(
@@ -68,14 +70,15 @@ def monthly_series(
     calendar: str,
     name_missing: bool,
     name_missing_merchant: bool,
+    also: Iterable[str] = (),
 ) -> tuple[DataFrame, Column]:
-    """Observed monthly metrics per key from ``first`` on, and the last month of the whole table."""
-    keyed = _share_keys(items, attribute, name_missing, name_missing_merchant)
+    """Observed monthly metrics per key, and per ``also`` if given, from ``first`` on, and the last month of the whole table."""
+    keyed = _share_keys(items, attribute, name_missing, name_missing_merchant, also)
     if calendar == "454":
         dated = keyed.withColumn("date", retail_month_of(F.col("order_date")))
     else:
         dated = keyed.withColumn("date", floor_to("month", F.col("order_date")))
-    monthly = hier_agg(dated, ["date", *KEYS])
+    monthly = hier_agg(dated, [*also, "date", *KEYS])
     if first is not None:
         monthly = monthly.filter(F.col("date") >= F.lit(first))
     return monthly, largest(monthly, "date")

@@ -133,3 +133,17 @@ def test_rolling_medians_aggregate_items_by_hash(spark):
     # Rows are dealt once; nothing is expanded before it is summed.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(array(true, false))" not in plan and "__sketched" not in plan
+
+
+def test_releases_are_read_in_one_scan(spark, tables, tmp_path):
+    from aislewise.plans.incremental import IncrementalMart
+    from aislewise.plans.market_share import ITEM_COLUMNS
+    from aislewise.sources.items import filter_items
+
+    items = filter_items(tables, ITEM_COLUMNS, "1995-01-01").where("merchant_clean = 'ASIA'")
+    number = F.when(F.col("order_date") < "2000-01-01", 1).when(F.col("order_date") < "2001-03-01", 3)
+    one, two = (IncrementalMart(spark, str(tmp_path / n), "major_cat", "1995-01-01") for n in ("one", "two"))
+    one.add_all(items.withColumn("release", number), 3)
+    for release in (1, 3):
+        two.add(items.where(number == release), release)
+    assert one.read().exceptAll(two.read()).count() == two.read().exceptAll(one.read()).count() == 0
