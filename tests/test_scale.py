@@ -147,3 +147,18 @@ def test_releases_are_read_in_one_scan(spark, tables, tmp_path):
     for release in (1, 3):
         two.add(items.where(number == release), release)
     assert one.read().exceptAll(two.read()).count() == two.read().exceptAll(one.read()).count() == 0
+
+
+def test_percentiles_count_their_values_once(spark):
+    from aislewise.plans.pricing import exact_percentiles
+
+    rows = spark.createDataFrame([(k, float(v)) for k in "ab" for v in range(9)], "k string, v double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = exact_percentiles(rows, ["k"], "v", {"middle": 0.5})
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.k, r.middle) for r in found.collect()) == [("a", 4.0), ("b", 4.0)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    counted = [line for line in plan.splitlines() if "Exchange hashpartitioning(k#" in line and ", v#" in line]
+    assert sum("ReusedExchange" not in line for line in counted) == 1
