@@ -179,19 +179,23 @@ def components(edges: DataFrame) -> DataFrame:
     Every round takes the smallest label among the neighbours and then the label of that label, so the
     number of rounds grows with the logarithm of the longest chain. Each round is written to the shared
     folder; only the number of changed rows reaches the driver. Empty edges give an empty frame.
+
+    The edges are read once: :func:`spanning` may keep others when it runs again, and a node of only one
+    of the two forests would be lost. The joins are told to merge, as the files of a few large components are
+    small beside the rows that a broadcast would hold.
     """
     spark = edges.sparkSession
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = cut(both.union(both.select("v", "u")).where("u <> v").distinct(), "edges")
+    ways = [F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("ab", "ba")]
+    both = cut(edges.select(F.inline(F.array(*ways))).where("u <> v").distinct(), "edges")
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        near = both.hint("merge").join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         hung = cut(
-            labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")),
+            labels.hint("merge").join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")),
             "labels",
         )
         jumped = cut(
-            hung.join(hung.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select(
+            hung.hint("merge").join(hung.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select(
                 "node", "was", F.col("next").alias("label")
             ),
             "labels",

@@ -111,7 +111,11 @@ def anchors_of(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(points: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of the ids of ``points(id, bits)``, distinct bits, that differ in at most three bits."""
+    """Pairs ``(a, b)`` of the ids of ``points(id, bits)``, distinct bits, that differ in at most three bits.
+
+    Spark takes the 2 homes and about 30 replicas of a point for one row each and would broadcast the replicas of
+    a few hundred thousand points, so the join is told to merge.
+    """
 
     def homes(batches):
         for batch in batches:
@@ -135,7 +139,7 @@ def links(points: DataFrame) -> DataFrame:
     at_home = points.select("id", "bits").mapInArrow(homes, "anchor long, id long, bits long")
     around = points.select("id", "bits").mapInArrow(replicas, "anchor long, other long, other_bits long")
     near = (F.col("id") < F.col("other")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= THRESHOLD)
-    return at_home.join(around, (at_home.anchor == around.anchor) & near).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return at_home.hint("merge").join(around, (at_home.anchor == around.anchor) & near).select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
 def classes(docs: DataFrame, point: Column, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -150,12 +154,12 @@ def classes(docs: DataFrame, point: Column, words: int = 3, id_column: str = "do
     points = cut(points.select("bits", point.alias("id")), "points")
     found = components(spanning(links(points)))
     of_bits = cut(
-        points.join(found, points.id == found.node, "left").select(F.col("bits").alias("point"), F.coalesce("component", "id").alias("component")),
+        points.hint("merge").join(found, points.id == found.node, "left").select(F.col("bits").alias("point"), F.coalesce("component", "id").alias("component")),
         "classes",
     )
     discard(points)
     component = F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
-    return prints.join(of_bits, prints.bits == of_bits.point, "left").select("doc_id", "copy", "fingerprint", "bits", component)
+    return prints.hint("merge").join(of_bits, prints.bits == of_bits.point, "left").select("doc_id", "copy", "fingerprint", "bits", component)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -9,12 +9,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from aislewise.llm import decontaminate, lengths, licenses, pieces, quality, queries, simhash, tokens, toxicity
-from aislewise.llm.common import Forest, components, slices
+from aislewise.llm import common, decontaminate, lengths, licenses, pieces, quality, queries, simhash, tokens, toxicity
+from aislewise.llm.common import Forest, components, cut, slices
 from aislewise.llm.sampling import remainder
 
 
@@ -100,6 +101,47 @@ def test_components_of_chains_and_stars(spark):
     assert {found[k] for k in range(10, 61)} == {10} and {found[k] for k in range(100, 140)} == {100} and 7 not in found
 
 
+def test_links_are_merged_whatever_size_spark_takes_points_for(spark):
+    # Of two neighbours the second differs in two bits.
+    n = 20_000
+    points = spark.range(n).select("id", F.expr("xxhash64(id div 2) ^ (id % 2 * 5)").alias("bits"))
+    found = simhash.links(points)
+    assert {(r.a, r.b) for r in found.collect()} == {(k, k + 1) for k in range(0, n, 2)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    plans = []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    for module in (common, simhash):
+        monkeypatch.setattr(module, "cut", noted)
+    words = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, "alone here"), (2, words), (3, words), (4, words + " end"), (None, words)], "doc_id long, text string")
+    found = simhash.near_duplicates(docs)
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(1, 1), (2, 2), (3, 2), (4, 2), (None, None)}
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_components_read_their_edges_once(spark, tmp_path):
+    # Each run keeps another forest of a triangle, as spanning may where rows come in another order.
+    def forest(batches):
+        for _ in batches:
+            runs = len(list(tmp_path.iterdir()))
+            (tmp_path / str(runs)).touch()
+            a, b = ([1, 1], [2, 3]) if runs == 0 else ([2, 1], [3, 3])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    found = components(spark.range(0, 1, 1, 1).mapInArrow(forest, "a long, b long"))
+    assert dict(found.collect()) == {1: 1, 2: 1, 3: 1}
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def words(text):
     lower = (text or "").translate(str.maketrans(decontaminate.UPPER, decontaminate.LOWER))
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)
