@@ -108,7 +108,7 @@ def sampled_profile(spark, sf_dir):
     items = filter_items(at(spark, sf_dir), columns).sort("finish", "sku")
     with_files = copy_files(items, "profile_items", rows_per_file=10_000)
     found = profile.sampled_profile(with_files, 0.5).join(quality.nonnull_profile(with_files), "column")
-    off = F.abs(F.col("null_share") - (1 - F.col("non_null_count") / F.col("table_rows")))
+    off = F.abs(F.col("null_share") - (F.col("table_rows") - F.col("non_null_count")) / F.col("table_rows"))
     return found.select("column", "table_rows", "non_null_count", (off <= F.col("error_bound")).alias("within_bound"))
 
 
